@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 FLAGSHIP = "joint_scores"
@@ -19,9 +21,20 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+#: Modules that register queries.
+MODULES = ["operators.multivalue"]
+
+
+def _load() -> None:
+    for name in MODULES:
+        import_module(f"mailquarry.{name}")
+
+
 def queries() -> dict:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(SQL)
