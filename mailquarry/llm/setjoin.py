@@ -10,7 +10,7 @@ pivot is common is joined recursively: its members move on to regions of pivot
 pairs with a window one wider.  What is still large is split into blocks, each
 pair of blocks being joined once.  Within a region, triangle-inequality windows
 in the symmetric-difference metric discard pairs: the distance to the empty
-set (sizes), to the pivot's position, and to 128 parity pivots (signatures).
+set (sizes), to the pivot's position, and to 256 parity pivots (signatures).
 Survivors are verified on the whole sets, so the result is exact.
 
 Document pivots, as the method has them in low dimension, cannot separate text:
@@ -22,7 +22,9 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,8 @@ MAX_RANKED = 200_000
 MAX_REGION = 60_000
 #: Regions of pivot pairs estimated above this are split into blocks.
 BLOCK = 30_000
+#: 64-bit words of a signature.
+SIG = 4
 
 
 def word_set(*cols: Column) -> Column:
@@ -43,8 +47,87 @@ def word_set(*cols: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), F.lit(1)))
 
 
-def _hashes(words: Column) -> Column:
-    return F.array_sort(F.transform(words, lambda w: F.xxhash64(w)))
+def _batch_words(batch: pa.RecordBatch, texts: list[str]):
+    """Word occurrences of a batch of documents.
+
+    Returns (document index, word index) of every occurrence and the hashes of
+    the batch's words; a batch's words are few beside its occurrences.
+    """
+    cols = [pc.fill_null(batch.column(c).cast(pa.string()), "") for c in texts]
+    text = pc.binary_join_element_wise(*cols, " ") if len(cols) > 1 else cols[0]
+    if pc.any(pc.match_substring_regex(text, "[\u0130\u03a3]")).as_py():  # letters with special lower-casing
+        text = pa.array([x.lower() for x in text.to_pylist()], pa.string())
+    lists = pc.split_pattern_regex(pc.utf8_lower(text), r"[^\p{L}\p{N}]+")
+    doc = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    coded = lists.flatten().dictionary_encode()
+    code, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+    hashes = pd.util.hash_array(np.array(words.to_pylist(), dtype=object), categorize=False) if len(words) else np.empty(0, np.uint64)
+    empty = pc.index(words, "").as_py()
+    keep = code != empty
+    return doc[keep], code[keep].astype(np.int64), hashes
+
+
+def _distinct(doc: np.ndarray, rank: np.ndarray, size: int):
+    """(document, rank) without repeats, sorted."""
+    key = np.sort(doc * size + rank)
+    if len(key):
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+    return key // max(size, 1), key % max(size, 1)
+
+
+def _profile(texts: list[str]):
+    """mapInArrow function: one row for each document (kind 0: id, flags, size and
+    hash of its set), one for each word of a batch (kind 1: hash, documents)."""
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            doc, code, hashes = _batch_words(b, texts)
+            doc, code = _distinct(doc, code, len(hashes))
+            n = np.bincount(doc, minlength=b.num_rows)
+            start = np.concatenate([[0], np.cumsum(n)[:-1]])
+            full = np.nonzero(n)[0]
+            h = []
+            for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+                x = np.zeros(b.num_rows, np.uint64)
+                if len(full):
+                    x[full] = np.add.reduceat(_mix(hashes + np.uint64(salt))[code], start[full])
+                h.append(x.view(np.int64))
+            of = np.bincount(code, minlength=len(hashes))
+            seen = of > 0
+            k = int(seen.sum())
+            none = np.zeros(k, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([np.zeros(b.num_rows, np.int32), np.ones(k, np.int32)])),
+                    pa.array(np.concatenate([b.column("id").to_numpy(zero_copy_only=False), hashes[seen].view(np.int64)])),
+                    pa.array(np.concatenate([n, of[seen]]).astype(np.int32)),
+                    pa.array(np.concatenate([b.column("flags").to_numpy(zero_copy_only=False), none]).astype(np.int32)),
+                    *[pa.array(np.concatenate([x, none])) for x in h],
+                ],
+                names=["kind", "id", "n", "flags", "h1", "h2"],
+            )
+
+    return run
+
+
+def _hashed(texts: list[str]):
+    """mapInArrow function: id and sorted hashes of the document's words."""
+
+    def run(batches):
+        for b in batches:
+            doc, code, hashes = _batch_words(b, texts)
+            order = np.argsort(hashes.view(np.int64))
+            back = np.empty_like(order)
+            back[order] = np.arange(len(order))
+            doc, rank = _distinct(doc, back[code], len(hashes))
+            n = np.bincount(doc, minlength=b.num_rows)
+            offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes.view(np.int64)[order][rank]))
+            yield pa.RecordBatch.from_arrays([b.column("id"), lists], names=["id", "h"])
+
+    return run
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -52,31 +135,35 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(27))
 
 
-def _prefix_rows(t: float, hashes: np.ndarray, freqs: np.ndarray, n_docs: int, max_region: int, block: int):
+def _replicas(texts: list[str], t: float, min_words: int, hashes: np.ndarray, freqs: np.ndarray, max_region: int, block: int):
     """mapInArrow function: documents -> their replicas, one row a region."""
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = batch.column("id").to_numpy(zero_copy_only=False)
         flags = batch.column("flags").to_numpy(zero_copy_only=False).astype(np.int64)
-        lists = batch.column("h")
-        flat = lists.flatten().to_numpy(zero_copy_only=False)
-        n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        doc = np.repeat(np.arange(len(n)), n)
-        start = np.concatenate([[0], np.cumsum(n)[:-1]])
-        if len(hashes):
-            at = np.minimum(np.searchsorted(hashes, flat), len(hashes) - 1)
-            freq = np.where(hashes[at] == flat, freqs[at], 0)
-        else:
-            freq = np.zeros(len(flat), np.int64)
-        order = np.lexsort((flat, freq, doc))
-        flat, freq = flat[order], freq[order]
+        doc, code, words = _batch_words(batch, texts)
+        signed = words.view(np.int64)
+        of = np.zeros(len(words), np.int64)
+        if len(hashes) and len(words):
+            at = np.minimum(np.searchsorted(hashes, signed), len(hashes) - 1)
+            of = np.where(hashes[at] == signed, freqs[at], 0)
+        order = np.lexsort((signed, of))  # rare words first
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        doc, rank = _distinct(doc, back[code], len(words))
+        n = np.bincount(doc, minlength=len(ids))
+        enough = n >= min_words
+        keep = enough[doc]
+        new = np.cumsum(enough) - 1
+        doc, rank, n, ids, flags = new[doc[keep]], rank[keep], n[enough], ids[enough], flags[enough]
+        flat, freq = signed[order][rank], of[order][rank]
+        start = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64) if len(n) else np.empty(0, np.int64)
         pos = np.arange(len(flat)) - np.repeat(start, n)
-        bits = _mix(flat.view(np.uint64))
+        bits = _mix(words)
         sig = []
-        for half in (0, 1):
-            mine = (bits >> np.uint64(6)) & np.uint64(1) == half
-            one = np.where(mine, np.uint64(1) << (bits & np.uint64(63)), np.uint64(0))
-            sig.append(np.bitwise_xor.reduceat(one, start).view(np.int64) if len(n) else one.view(np.int64))
+        for part in range(SIG):
+            one = np.where((bits >> np.uint64(6)) % np.uint64(SIG) == part, np.uint64(1) << (bits & np.uint64(63)), np.uint64(0))
+            sig.append(np.bitwise_xor.reduceat(one[order][rank], start).view(np.int64) if len(n) else np.empty(0, np.int64))
         probe = n - np.ceil(t * n - 1e-9).astype(np.int64) + 1
         index = n - np.ceil(2 * t / (1 + t) * n - 1e-9).astype(np.int64) + 1
         keep = pos < probe[doc]
@@ -110,8 +197,8 @@ def _prefix_rows(t: float, hashes: np.ndarray, freqs: np.ndarray, n_docs: int, m
         n_of, p = n[d], np.concatenate(poss)
         packed = (n_of << 32) | (np.minimum(p, (1 << 24) - 1) << 8) | (flags[d] << 4) | (np.concatenate(sides) << 1) | np.concatenate(in_index)
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(keys)), pa.array(ids[d]), pa.array(packed), pa.array(sig[0][d]), pa.array(sig[1][d])],
-            names=["key", "id", "packed", "s0", "s1"],
+            [pa.array(np.concatenate(keys)), pa.array(ids[d]), pa.array(packed), *[pa.array(x[d]) for x in sig]],
+            names=["key", "id", "packed", *[f"s{k}" for k in range(SIG)]],
         )
 
     def run(batches):
@@ -125,11 +212,11 @@ def _prefix_rows(t: float, hashes: np.ndarray, freqs: np.ndarray, n_docs: int, m
 def _region_pairs(t: float, bipartite: bool):
     """mapInArrow function over rows sorted by key and size: candidate pairs."""
 
-    def pairs(key, ids, packed, s0, s1):
+    def pairs(key, ids, packed, *sigs):
         n = packed >> 32
         pos = (packed >> 8) & 0xFFFFFF
         flags, side, index = (packed >> 4) & 15, (packed >> 1) & 3, packed & 1
-        s0, s1 = s0.view(np.uint64), s1.view(np.uint64)  # bit counts of signed values are those of their magnitude
+        sigs = [s.view(np.uint64) for s in sigs]  # bit counts of signed values are those of their magnitude
         out_a, out_b = [], []
         i = np.nonzero((key[:-1] == key[1:]) & (index[:-1] == 1))[0]
         step = 1
@@ -149,9 +236,11 @@ def _region_pairs(t: float, bipartite: bool):
                 ok &= (((flags[i] & 1) & (flags[j] >> 1)) | ((flags[i] >> 1) & (flags[j] & 1))) != 0
             k = np.nonzero(ok)[0]
             x, y = i[k], j[k]
-            far = np.bitwise_count(s0[x] ^ s0[y]).astype(np.int64) + np.bitwise_count(s1[x] ^ s1[y])
-            near = far <= n[x] + n[y] - 2 * need[k]
-            x, y = x[near], y[near]
+            room = n[x] + n[y] - 2 * need[k]
+            for s in sigs:  # far pairs drop out early
+                room = room - np.bitwise_count(s[x] ^ s[y])
+                near = room >= 0
+                x, y, room = x[near], y[near], room[near]
             if len(x):
                 out_a.append(np.minimum(ids[x], ids[y]))
                 out_b.append(np.maximum(ids[x], ids[y]))
@@ -162,7 +251,7 @@ def _region_pairs(t: float, bipartite: bool):
         return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], names=["a", "b"])
 
     def run(batches):
-        names = ["key", "id", "packed", "s0", "s1"]
+        names = ["key", "id", "packed", *[f"s{k}" for k in range(SIG)]]
         held = [np.empty(0, np.int64) for _ in names]
         for batch in batches:
             new = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
@@ -180,23 +269,15 @@ def _region_pairs(t: float, bipartite: bool):
     return run
 
 
-def _word_frequencies(docs: DataFrame, words: Column, n_words: int, max_ranked: int):
+def _word_frequencies(profile: DataFrame, n_words: int, max_ranked: int):
     """Hashes and document counts of the common words, sorted by hash.
 
     The counts of all words sum up to ``n_words``, hence at most ``max_ranked``
     reach the threshold: what comes to the driver is bounded at any input.
     """
     least = max(2, math.ceil(n_words / max_ranked))
-    got = (
-        docs.select(F.explode(words).alias("w"))
-        .groupBy("w")
-        .agg(F.count(F.lit(1)).alias("c"))
-        .where(F.col("c") >= least)
-        .select(F.xxhash64("w").alias("h"), "c")
-        .toArrow()
-        .sort_by("h")
-    )
-    return got["h"].to_numpy().astype(np.int64), got["c"].to_numpy().astype(np.int64)
+    got = profile.where("kind = 1").groupBy("id").agg(F.sum("n").alias("c")).where(F.col("c") >= least).toArrow().sort_by("id")
+    return got["id"].to_numpy().astype(np.int64), got["c"].to_numpy().astype(np.int64)
 
 
 def similar_sets(
@@ -228,30 +309,26 @@ def similar_sets(
         (flags if bipartite else F.lit(3)).cast("int").alias("flags"),
         *[F.col(c).alias(f"t{k}") for k, c in enumerate(text_cols)],
     ).where(F.col("id").isNotNull())
-    texts = [F.col(f"t{k}") for k in range(len(text_cols))]
-
-    sets = base.select("id", "flags", _hashes(word_set(*texts)).alias("h")).where(F.size("h") >= min_words)
-    keyed = durable(sets.select("id", "flags", F.size("h").alias("n"), F.xxhash64("h").alias("h1"), F.xxhash64(F.lit(7), "h").alias("h2")), "sets")
+    texts = [f"t{k}" for k in range(len(text_cols))]
+    profile = durable(base.mapInArrow(_profile(texts), "kind int, id bigint, n int, flags int, h1 bigint, h2 bigint"), "profile")
+    keyed = profile.where("kind = 0").where(F.col("n") >= min_words)
     classes = keyed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c"), F.bit_or("flags").alias("all_flags")).where("c > 1")
     copies = durable(keyed.join(classes, ["h1", "h2"]).select("id", "rep", "all_flags"), "copies")
-    size = keyed.agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("words")).first()
     members = keyed.select("id", "flags").join(broadcast_if_small(copies.select("id", "rep")), "id", "left").select("id", F.coalesce("rep", "id").alias("rep"), "flags")
 
-    spark = docs.sparkSession
-    ranked = _word_frequencies(base, word_set(*texts), size["words"] or 0, max_ranked)
-    reps = base.join(broadcast_if_small(durable(copies.where("id <> rep").select("id"), "others")), "id", "left_anti")
+    n_words = profile.where("kind = 0").agg(F.sum("n")).first()[0] or 0
+    ranked = _word_frequencies(profile, n_words, max_ranked)
+    reps = base.join(broadcast_if_small(copies.where("id <> rep").select("id")), "id", "left_anti")
     if bipartite:
         both = copies.where("id = rep").select("id", "all_flags")
         reps = reps.join(broadcast_if_small(both), "id", "left").withColumn("flags", F.coalesce("all_flags", "flags")).drop("all_flags")
-    reps = reps.select("id", "flags", _hashes(word_set(*texts)).alias("h")).where(F.size("h") >= min_words)
-    replicas = reps.mapInArrow(
-        _prefix_rows(threshold, *ranked, size["docs"], max_region, block), "key bigint, id bigint, packed bigint, s0 bigint, s1 bigint"
-    )
+    schema = "key bigint, id bigint, packed bigint, " + ", ".join(f"s{k} bigint" for k in range(SIG))
+    replicas = reps.select("id", "flags", *texts).mapInArrow(_replicas(texts, threshold, min_words, *ranked, max_region, block), schema)
     regions = replicas.repartition("key").sortWithinPartitions("key", "packed")
     found = durable(regions.mapInArrow(_region_pairs(threshold, bipartite), "a bigint, b bigint").distinct(), "candidates")
 
     ids = durable(found.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidate_ids")
-    held = durable(base.join(broadcast_if_small(ids), "id", "left_semi").select("id", _hashes(word_set(*texts)).alias("h")), "candidate_sets")
+    held = durable(base.join(broadcast_if_small(ids), "id", "left_semi").select("id", *texts).mapInArrow(_hashed(texts), "id bigint, h array<bigint>"), "candidate_sets")
     both_sets = found.join(held.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a").join(held.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
     inter = F.size(F.array_intersect("ha", "hb"))
     pairs = both_sets.select("a", "b", inter.alias("inter"), (F.size("ha") + F.size("hb") - inter).alias("uni"))
