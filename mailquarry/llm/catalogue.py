@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup, overlap
+from . import neardup, overlap, splits
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,18 @@ def p3_report(spark, d):
     return overlap.overlap_report(_t(spark, d, "emails"), _t(spark, d, "email_splits"))
 
 
+def p6_found(spark, d):
+    return splits.entity_pairs(_t(spark, d, "emails"), _t(spark, d, "domain_aliases"))
+
+
+def p6_assign(spark, d):
+    return splits.grouped_split(_t(spark, d, "emails"), _t(spark, d, "domain_aliases"))
+
+
+def p6_shares(spark, d):
+    return splits.split_shares(_t(spark, d, "emails"), _t(spark, d, "domain_aliases"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
