@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mojibake, neardup, overlap, splits
+from . import authored, mojibake, neardup, overlap, splits
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,14 @@ def p3_report(spark, d):
     return overlap.overlap_report(_t(spark, d, "emails"), _t(spark, d, "email_splits"))
 
 
+def p4_found(spark, d):
+    return authored.line_segments(_t(spark, d, "emails"))
+
+
+def p4_authored(spark, d):
+    return authored.authored_text(_t(spark, d, "emails"))
+
+
 def p5_found(spark, d):
     return mojibake.garbled_fields(_t(spark, d, "emails"), _t(spark, d, "documents")).select("record_id", "field_name")
 
