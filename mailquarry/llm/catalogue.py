@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import authored, mojibake, neardup, overlap, splits
+from . import authored, mojibake, neardup, overlap, pii, splits
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,14 @@ def p1_classes(spark, d):
     return neardup.near_duplicate_classes(_t(spark, d, "emails"), "record_id", ["subject", "body"])
 
 
+def p2_found(spark, d):
+    return pii.mentions(_t(spark, d, "emails"))
+
+
+def p2_redacted(spark, d):
+    return pii.redacted(_t(spark, d, "emails"))
+
+
 def p3_found(spark, d):
     return overlap.cross_split_pairs(_t(spark, d, "emails"), _t(spark, d, "email_splits")).select("record_a", "record_b")
 
