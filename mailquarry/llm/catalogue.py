@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
-from . import authored, mojibake, neardup, overlap, pii, splits
+from . import authored, mojibake, neardup, overlap, packing, pii, splits, subjects, tokens
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,8 +65,52 @@ def p6_shares(spark, d):
     return splits.split_shares(_t(spark, d, "emails"), _t(spark, d, "domain_aliases"))
 
 
+def p8_ids(spark, d):
+    return tokens.encode_texts(_t(spark, d, "documents"))
+
+
+def p8_decoded(spark, d):
+    return tokens.decode_ids(tokens.encode_texts(_t(spark, d, "documents")))
+
+
+def p8_multi_ids(spark, d):
+    return tokens.encode_texts(_t(spark, d, "documents"), "byte_bpe_multi_50k")
+
+
+def p8_word_ids(spark, d):
+    return tokens.encode_texts(_t(spark, d, "documents"), "word_bpe_49k")
+
+
+def p8_piece_ids(spark, d):
+    return tokens.encode_texts(_t(spark, d, "documents"), "piece_bpe_32k")
+
+
+def p9_found(spark, d):
+    return packing.splittable(packing.pack(_t(spark, d, "documents")))
+
+
+def p9_containers(spark, d):
+    return packing.pack(_t(spark, d, "documents"))
+
+
+def p9_fill(spark, d):
+    return packing.fill_report(packing.pack(_t(spark, d, "documents")))
+
+
+def _subject_tables(spark, d):
+    return [_t(spark, d, t) for t in ("documents", "subject_areas", "document_subjects")]
+
+
+def p10_found(spark, d):
+    return subjects.document_areas(*_subject_tables(spark, d))
+
+
+def p10_shares(spark, d):
+    return subjects.area_shares(*_subject_tables(spark, d))
+
+
 def queries() -> dict:
-    return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
+    return {k: v for k, v in globals().items() if re.match(r"p\d+_", k)}
 
 
 def oracle_sql() -> dict[str, str]:
