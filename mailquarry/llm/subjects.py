@@ -40,7 +40,7 @@ WORDS = re.compile(r"[^\W\d_]{2,}")
 SEEDS = {
     "education": "school teacher students pupils exam curriculum homework kindergarten diploma seminar lecture thesis campus enrolment tuition | hausaufgabe einschulung doktorarbeit prüfung vorlesung lehrplan abitur | leçon thèse rentrée bibliothèque épreuve devoirs | asignatura matrícula enseñanza graduación lección | educação redação lição matrícula vestibular | lekcję uczelnię magisterską świadectwo ćwiczenia | лекция школа диссертация контрольная сессия",
     "finance": "lenders investors treasurer dividend ledger overdraft liquidity audit treasury earnings brokers loan equity tax | liquidität dividende anleihe bilanz kreditlinie | créance trésorerie obligation rentabilité comptabilité | inversión tesorería auditoría deuda | dívida tesouraria tributação | obligację należność płynność księgowość pożyczka | ссуда облигация ликвидность прибыль отчётность",
-    "health": "doctors physician nurse clinic patient dosage prescription vaccine inhaler antibiotic migraine surgery | impfung pflegestation krankengymnastik untersuchung blutprobe | ordonnance vaccination rééducation opération sang | cirugía vacunación fisioterapia clínica receta médica | vacinação medicação reabilitação clínica | szczepionkę receptę kroplówkę przychodnię lekarską | аптека прививка терапия больница операция",
+    "health": "doctors physician nurse dosage prescription vaccine inhaler antibiotic migraine surgery | impfung pflegestation krankengymnastik untersuchung blutprobe | ordonnance vaccination rééducation opération sang | cirugía vacunación fisioterapia clínica receta médica | vacinação medicação reabilitação clínica | szczepionkę receptę kroplówkę przychodnię lekarską | аптека прививка терапия больница операция",
     "law": "judge counsel tribunal attorneys solicitor clause plaintiff statute injunction subpoena affidavit deposition court litigation | klage zeugenaussage satzung berufung anwältin | plainte jurisprudence avocate procédure médiation | demanda cláusula apelación jurisdicción abogacía | acusação petição audiência advocacia cláusula | ugodę apelację skargę ustawę świadków | апелляция присяга экспертиза жалоба статья закона",
     "property": "tenants landlord freehold viewings tenancy mortgage terraced housing buyer letting | kaution dachsanierung miete baugenehmigung wohnung | véranda copropriété toiture propriété gardienne | hipoteca azotea vivienda fianza habitación | construção escritura locação varanda habitação | kaucję kwaterę działkę łazienkę klatkę schodową księgę wieczystą | аренда квартира застройка терраса ипотека",
     "science": "researchers laboratory enzyme genome spectrometer neutron hypothesis catalyst telescope microscopy kelvin | hypothese laborprobe messreihe isotopenanalyse teleskopaufnahme | molécule expérience spectroscopie hypothèse mesure | molécula hipótesis medición investigación galaxia | medição hipótese espécie radiação equação | galaktykę hipotezę cząsteczkę próbkę pomiary | молекула гипотеза выборка лаборатория галактика",
@@ -138,9 +138,10 @@ def learn_lexicon(docs: DataFrame, areas: list[str], rounds: int = ROUNDS, vocab
         top, best = p.argmax(1), p.max(1)
         weight = np.minimum(np.log(best / (1 - best)) + 0.2, 3.0)
         lexicon = {w: (int(a), float(x)) for w, a, x, b in zip(got["w"], top, weight, best) if b >= 0.5}
+        counted = set(got["w"])
         for w, a in seeds.items():
-            if len(a) == 1:
-                lexicon.setdefault(w, (a[0], 2.0))
+            if len(a) == 1 and w not in counted:
+                lexicon[w] = (a[0], 2.0)
     return lexicon
 
 
