@@ -155,6 +155,11 @@ FIRST = {
 }
 
 
+#: Share of areas that a document is about among those that some sentence names, as first thought,
+#: and the weight of all first guesses beside the data.
+PRIOR, ANCHOR = 0.75, 0.5
+
+
 def fit_votes(table: pd.DataFrame, rounds: int = 50) -> pd.Series:
     """Posterior of each row of a table of vote combinations (columns of FIRST, n).
 
@@ -162,7 +167,7 @@ def fit_votes(table: pd.DataFrame, rounds: int = 50) -> pd.Series:
     the prior are learned without knowing it.
     """
     given = {f: (np.array(a), np.array(b)) for f, (a, b) in FIRST.items()}
-    prior = 0.3
+    prior = PRIOR
     n = table["n"].to_numpy(float)
     post = np.zeros(len(table))
     for _ in range(rounds):
@@ -173,12 +178,14 @@ def fit_votes(table: pd.DataFrame, rounds: int = 50) -> pd.Series:
         post = 1 / (1 + np.exp(np.clip(no - yes, -500, 500)))
         if not n.sum():
             break
-        prior = float(np.clip((post * n).sum() / n.sum(), 0.01, 0.99))
+        hold = ANCHOR * n.sum()
+        prior = float(((post * n).sum() + hold * PRIOR) / (n.sum() + hold))
         for f, (a, _) in list(given.items()):
             v = table[f].to_numpy(int)
-            # the first guess counts as a hundred rows, so that tiny inputs keep it
-            on = np.array(FIRST[f][0]) * 100 + np.bincount(v, post * n, len(a))
-            off = np.array(FIRST[f][1]) * 100 + np.bincount(v, (1 - post) * n, len(a))
+            # the first guess keeps a weight: only pairs that some sentence names are
+            # seen, so that two classes would else not be told apart by sight alone
+            on = np.array(FIRST[f][0]) * hold * PRIOR + np.bincount(v, post * n, len(a))
+            off = np.array(FIRST[f][1]) * hold * (1 - PRIOR) + np.bincount(v, (1 - post) * n, len(a))
             given[f] = on / on.sum(), off / off.sum()
     return pd.Series(post, index=table.index)
 
@@ -228,7 +235,7 @@ def subject_posteriors(docs: DataFrame, areas: DataFrame, labels: DataFrame, rou
     table = rows.groupBy(*kinds).agg(F.count(F.lit(1)).alias("n")).toPandas()  # at most 3*2*3*3*3 combinations
     table["posterior"] = fit_votes(table).to_numpy() if len(table) else []
     schema = ", ".join(f"{f} int" for f in kinds) + ", posterior double"
-    posts = spark.createDataFrame(list(table[[*kinds, "posterior"]].itertuples(index=False, name=None)), schema)
+    posts = spark.createDataFrame([(*map(int, r[:-1]), float(r[-1])) for r in table[[*kinds, "posterior"]].itertuples(index=False, name=None)], schema)
     area = F.element_at(F.array(*[F.lit(x) for x in names] or [F.lit(None).cast("string")]), F.col("a") + 1)
     return rows.join(F.broadcast(posts), kinds).select("doc_id", area.alias("subject_area"), "votes", "posterior")
 
