@@ -64,46 +64,60 @@ def _sentences(text: str) -> list[list[str]]:
     return [[w.lower() for w in WORDS.findall(s)] for s in SENTENCES.split(text)]
 
 
-def area_counts(sentences: list[list[str]], lexicon: dict[str, tuple[int, float]], k: int) -> tuple[np.ndarray, int]:
-    """Sentences of each area, and the area that the heading names (-1: none)."""
-    votes = np.zeros(k)
-    head = -1
-    for n, words in enumerate(sentences):
+def sentence_areas(sentences: list[list[str]], lexicon: dict[str, tuple[int, float]]) -> list[tuple[int, float]]:
+    """Area and weight of each sentence by its words; (-1, 0) if they don't suffice."""
+    out = []
+    for words in sentences:
         score: dict[int, float] = {}
         for w in set(words):
             hit = lexicon.get(w)
             if hit is not None:
                 score[hit[0]] = score.get(hit[0], 0.0) + hit[1]
-        if score:
-            best = max(score, key=lambda a: (score[a], -a))
-            if score[best] >= SENTENCE:
-                votes[best] += 1
-                if n == 0 and len(words) <= 10:
-                    head = best
-    return votes, head
+        best = max(score, key=lambda a: (score[a], -a)) if score else -1
+        out.append((best, score[best]) if score and score[best] >= SENTENCE else (-1, 0.0))
+    return out
+
+
+def area_counts(sentences: list[list[str]], lexicon: dict[str, tuple[int, float]], k: int) -> tuple[np.ndarray, int]:
+    """Sentences of each area, and the area that the heading names (-1: none)."""
+    found = [a for a, _ in sentence_areas(sentences, lexicon)]
+    votes = np.bincount([a for a in found if a >= 0], minlength=k)
+    return votes, found[0] if found and len(sentences[0]) <= 10 else -1
 
 
 def _word_shares(lexicon: dict[str, tuple[int, float]], k: int):
     """mapInPandas function: words of a batch, documents that hold them, and the
-    shares of the areas in those documents."""
+    shares of the areas where they stand: those of the sentence if its other
+    words give it an area, else those of the document."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        one = np.eye(k)
         for pdf in frames:
             seen: dict[str, np.ndarray] = {}
             for text, labels in zip(pdf["text"], pdf["labels"]):
                 sentences = _sentences(text)
+                areas = sentence_areas(sentences, lexicon)
                 share = np.zeros(k)
                 if labels is not None and len(labels):
                     share[list(labels)] = 1
-                votes, _ = area_counts(sentences, lexicon, k)
+                votes = np.bincount([a for a, _ in areas if a >= 0], minlength=k)
                 share += np.where(votes >= 2, votes, 0)
                 total = share.sum()
-                row = np.concatenate([[1.0, float(total > 0)], share / total if total else np.zeros(k)])
-                for w in {w for s in sentences for w in s}:
+                whole = share / total if total else np.zeros(k)
+                mine: dict[str, list] = {}
+                for words, (a, weight) in zip(sentences, areas):
+                    for w in set(words):
+                        # a word must not vouch for itself
+                        own = lexicon.get(w, (-1, 0.0))
+                        rest = weight - own[1] if own[0] == a else weight
+                        mine.setdefault(w, []).append(one[a] if a >= 0 and rest >= SENTENCE else whole)
+                for w, places in mine.items():
+                    mean = places[0] if len(places) == 1 else sum(places) / len(places)
+                    row = np.concatenate([[1.0, mean.sum()], mean])
                     if w in seen:
                         seen[w] += row
                     else:
-                        seen[w] = row.copy()
+                        seen[w] = row
             yield pd.DataFrame({"w": list(seen), "v": [list(x) for x in seen.values()]})
 
     return run
