@@ -39,15 +39,15 @@ WORDS = re.compile(r"[^\W\d_]{2,}")
 # Seed words of the lexicon, by area and language.
 SEEDS = {
     "education": "school teacher students pupils exam curriculum homework kindergarten diploma seminar lecture thesis campus enrolment tuition | hausaufgabe einschulung doktorarbeit prüfung vorlesung lehrplan abitur | leçon thèse rentrée bibliothèque épreuve devoirs | asignatura matrícula enseñanza graduación lección | educação redação lição matrícula vestibular | lekcję uczelnię magisterską świadectwo ćwiczenia | лекция школа диссертация контрольная сессия",
-    "finance": "lenders investors treasurer dividend ledger overdraft liquidity audit treasury earnings brokers loan equity tax | liquidität dividende anleihe bilanz kreditlinie | créance trésorerie obligation rentabilité comptabilité | inversión tesorería auditoría deuda | dívida tesouraria tributação | obligację należność płynność księgowość pożyczka | ссуда облигация ликвидность прибыль отчётность",
+    "finance": "lenders investors treasurer dividend ledger overdraft liquidity audit treasury earnings brokers loan equity tax | liquidität dividende anleihe bilanz kreditlinie | créance trésorerie obligation rentabilité comptabilité | inversión tesorería auditoría deuda | dívida tesouraria tributação aplicação | obligację należność płynność księgowość pożyczka | ссуда облигация ликвидность прибыль отчётность",
     "health": "doctors physician nurse dosage prescription vaccine inhaler antibiotic migraine surgery | impfung pflegestation krankengymnastik untersuchung blutprobe | ordonnance vaccination rééducation opération sang | cirugía vacunación fisioterapia clínica receta médica | vacinação medicação reabilitação clínica | szczepionkę receptę kroplówkę przychodnię lekarską | аптека прививка терапия больница операция",
     "law": "judge counsel tribunal attorneys solicitor clause plaintiff statute injunction subpoena affidavit deposition court litigation | klage zeugenaussage satzung berufung anwältin | plainte jurisprudence avocate procédure médiation | demanda cláusula apelación jurisdicción abogacía | acusação petição audiência advocacia cláusula | ugodę apelację skargę ustawę świadków | апелляция присяга экспертиза жалоба статья закона",
-    "property": "tenants landlord freehold viewings tenancy mortgage terraced housing buyer letting | kaution dachsanierung miete baugenehmigung wohnung | véranda copropriété toiture propriété gardienne | hipoteca azotea vivienda fianza habitación | construção escritura locação varanda habitação | kaucję kwaterę działkę łazienkę klatkę schodową księgę wieczystą | аренда квартира застройка терраса ипотека",
+    "property": "tenants landlord freehold viewings tenancy mortgage terraced housing buyer letting | kaution dachsanierung miete baugenehmigung wohnung | véranda copropriété toiture propriété location | azotea vivienda fianza | construção escritura locação varanda habitação | kaucję działkę łazienkę klatkę schodową księgę wieczystą | аренда квартира застройка терраса ипотека",
     "science": "researchers laboratory enzyme genome spectrometer neutron hypothesis catalyst telescope microscopy kelvin | hypothese laborprobe messreihe isotopenanalyse teleskopaufnahme | molécule expérience spectroscopie hypothèse mesure | molécula hipótesis medición investigación galaxia | medição hipótese espécie radiação equação | galaktykę hipotezę cząsteczkę próbkę pomiary | молекула гипотеза выборка лаборатория галактика",
     "shopping": "shoppers checkout catalogue discount warranty storefront refund jewellery headphones delivery | geschenkkarte winterjacke lieferung rabattaktion rückgabe | livraison remise étiquette boutique garantie | compra garantía etiqueta devolución tienda | compra devolução promoção coleção garantia | przesyłkę sukienkę reklamację zniżkę półkę sklepową | скидка покупка гарантия доставка витрина",
-    "software": "developers compiler branch refactoring deployed cluster cache endpoint repository debugged heap | datenbank schnittstelle speicherlücke testabdeckung quellcodeprüfung | compilation régression interface version | compilación depuración versión programación | compilação depuração programação versão atualização aplicação | kompilację pamięć podręczną wersję gałąź kodu bazę danych | сборка отладка база данных ветка кода утечка памяти",
-    "sport": "fans club coach supporters stadium goalkeeper midfielder league tournament penalty marathon scoreboard | staffel tabellenführung meisterschaft nachspielzeit torhüterin | finale pénalité équipe mi-temps classement | liga portería jugada clasificación carrera | goleira seleção competição prorrogação classificação | ligę drużynę bramkarkę sztafetę dogrywkę | лига команда победа тренировка эстафета",
-    "travel": "travellers guests airport ferry cruise itinerary campsite hostel passport luggage layover | rundreise bordkarte hotelbuchung fähre zugfahrt | croisière traversée auberge réservation étape | travesía excursión maleta estación | excursão viagem travessia recepção estação | podróż wycieczkę łódź przeprawę | экскурсия поездка гостиница виза переправа",
+    "software": "developers compiler branch refactoring deployed cluster cache endpoint repository debugged heap | datenbank schnittstelle speicherlücke testabdeckung quellcodeprüfung | compilation régression interface version | compilación depuración versión programación | compilação depuração programação versão atualização | kompilację pamięć podręczną wersję gałąź kodu bazę danych | сборка отладка база данных ветка кода утечка памяти",
+    "sport": "fans club coach supporters stadium goalkeeper midfielder league tournament penalty marathon scoreboard | staffel tabellenführung meisterschaft nachspielzeit torhüterin | finale pénalité gardienne classement | liga portería jugada clasificación carrera | goleira seleção competição prorrogação classificação | ligę drużynę bramkarkę sztafetę dogrywkę | лига команда победа тренировка эстафета",
+    "travel": "travellers guests airport ferry cruise itinerary campsite hostel passport luggage layover | rundreise bordkarte hotelbuchung fähre zugfahrt | croisière traversée auberge réservation étape | travesía excursión maleta estación habitación | excursão viagem travessia recepção estação | podróż wycieczkę łódź przeprawę kwaterę | экскурсия поездка гостиница виза переправа",
 }
 
 
@@ -56,7 +56,8 @@ def seed_words(areas: list[str]) -> dict[str, list[int]]:
     out: dict[str, list[int]] = {}
     for k, area in enumerate(areas):
         for w in WORDS.findall(SEEDS.get(area, area).lower()):
-            out.setdefault(w, []).append(k)
+            if k not in out.setdefault(w, []):
+                out[w].append(k)
     return out
 
 
