@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import authored, mojibake, neardup, overlap, packing, pii, splits, subjects, tokens
+from . import authored, mojibake, neardup, overlap, packing, pii, splits, sql, subjects, tokens
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -114,4 +114,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.SQL)
