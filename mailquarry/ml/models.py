@@ -28,10 +28,12 @@ def part_of(key: Column, test_share: float = 0.2, seed: int = SEED) -> Column:
 
 
 def with_class_weight(df: DataFrame, label: str = "label") -> DataFrame:
-    """Weights n / (2 n_c), from one small aggregate; a missing class counts 1."""
-    n = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1)).alias("_all"))
-    return df.join(F.broadcast(n), label).join(F.broadcast(total)).withColumn("weight", F.col("_all") / (2 * F.greatest("_n", F.lit(1)))).drop("_n", "_all")
+    """Weights n / (2 n_c), from a count of the two classes; a missing class counts 1."""
+    n = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
+    weight = F.lit(1.0)
+    for value, count in n.items():
+        weight = F.when(F.col(label) == value, sum(n.values()) / (2 * count)).otherwise(weight)
+    return df.withColumn("weight", weight)
 
 
 def positive(probability: str = "probability") -> Column:
@@ -171,7 +173,7 @@ def ml_email_fused(spark, d):
     """Words with scaled numeric features, at several thresholds."""
     rows = _emails(spark, d)
     model = Pipeline(stages=[word_ngrams("text", vocabulary=20_000), *_fused(NUMERIC), _logistic()]).fit(rows.where("part = 'train'"))
-    scored = model.transform(rows.where("part = 'test'")).select("label", positive().alias("p")).crossJoin(F.broadcast(spark.createDataFrame([(t / 10,) for t in range(2, 9)], "threshold double")))
+    scored = model.transform(rows.where("part = 'test'")).select("label", positive().alias("p")).withColumn("threshold", F.explode(F.array(*[F.lit(t / 10) for t in range(2, 9)])))
     at = F.when(F.col("p") >= F.col("threshold"), 1.0).otherwise(0.0)
     return metrics(scored.withColumn("score", at), "fused", by=F.col("threshold").cast("string"))
 

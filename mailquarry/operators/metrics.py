@@ -71,19 +71,19 @@ def classification_report(d: Spark) -> str:
     union all select 'weighted', round(sum(precision_ * support) / sum(support), 6), round(sum(recall_ * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6), cast(sum(support) as bigint) from k"""
 
 
-def _sweep(first: int = 1, last: int = 19) -> str:
-    grid = " union all ".join(f"select {k * 5 / 100} as threshold" for k in range(first, last + 1))
-    return f"""grid as ({grid}), g as (select s, count(*) as c, sum(y) as p from scores group by s),
+def _sweep(d: Spark, first: int = 1, last: int = 19) -> str:
+    grid = d.array(*[f"{k * 5 / 100}e0" for k in range(first, last + 1)])
+    return f"""g0 as (select s, count(*) as c, sum(y) as p from scores group by s), g as (select s, c, p, {d.unnest(grid)} as threshold from g0),
     c as (select threshold, sum(c) as n, cast(sum(case when s >= threshold then p else 0 end) as bigint) as tp, cast(sum(case when s >= threshold then c - p else 0 end) as bigint) as fp,
-      cast(sum(case when s < threshold then p else 0 end) as bigint) as fn, cast(sum(case when s < threshold then c - p else 0 end) as bigint) as tn from g, grid group by threshold),
+      cast(sum(case when s < threshold then p else 0 end) as bigint) as fn, cast(sum(case when s < threshold then c - p else 0 end) as bigint) as tn from g group by threshold),
     m as (select threshold, tp, fp, fn, tn, {_PRF} from c)"""
 
 
 @statement("threshold_sweep")
 def threshold_sweep(d: Spark) -> str:
     """Metrics at nineteen thresholds: equal scores are counted first, so that the
-    grid joins with the distinct scores and not with the rows."""
-    return f"with {SCORES}, {_sweep()} select cast(threshold as double) as threshold, tp, fp, fn, tn, accuracy, precision_, recall_, f1, balanced_accuracy from m"
+    grid multiplies the distinct scores and not the rows."""
+    return f"with {SCORES}, {_sweep(d)} select cast(threshold as double) as threshold, tp, fp, fn, tn, accuracy, precision_, recall_, f1, balanced_accuracy from m"
 
 
 @statement("threshold_picks")
@@ -92,7 +92,7 @@ def threshold_picks(d: Spark) -> str:
     and the best mean of three; last tie: the smaller threshold."""
     orders = {"accuracy": "accuracy desc, f1 desc", "f1": "f1 desc, balanced_accuracy desc", "tradeoff": "0.5 * accuracy + 0.5 * f1 desc", "dev": "round((accuracy + balanced_accuracy + f1) / 3, 9) desc"}
     picks = " union all ".join(f"select '{k}' as pick, threshold, accuracy, f1 from (select *, row_number() over (order by {o}, threshold) as n from m) t where n = 1" for k, o in orders.items())
-    return f"with {SCORES}, {_sweep()}, p as ({picks}) select pick, cast(threshold as double) as threshold, accuracy, f1 from p"
+    return f"with {SCORES}, {_sweep(d)}, p as ({picks}) select pick, cast(threshold as double) as threshold, accuracy, f1 from p"
 
 
 @statement("class_weights")
@@ -186,9 +186,9 @@ def error_top(d: Spark) -> str:
 def repeat_metrics(d: Spark) -> str:
     """Mean and sample deviation of accuracy over repeated hashed test parts, and the
     repeats that the second strategy wins: one grouped pass over (case, repeat)."""
-    seeds = " union all ".join(f"select {s} as seed" for s in (17, 23, 31, 47, 59))
+    seeds = d.unnest(d.array("17", "23", "31", "47", "59"))
     h = d.sha256("concat(case_id, '#', cast(seed as varchar(20)))")
-    return f"""with {_STRATEGY}, seeds as ({seeds}), k as (select seed, y, base, opt, row_number() over (partition by seed, y order by {h}, case_id) as n, count(*) over (partition by seed, y) as c from cases, seeds),
+    return f"""with {_STRATEGY}, e as (select *, {seeds} as seed from cases), k as (select seed, y, base, opt, row_number() over (partition by seed, y order by {h}, case_id) as n, count(*) over (partition by seed, y) as c from e),
     m as (select seed, avg(case when base = y then 1e0 else 0e0 end) as a, avg(case when opt = y then 1e0 else 0e0 end) as b from k where n > ceil(c * 0.8) group by seed)
     select round(cast(avg(a) as double), 6) as base_mean, round(coalesce(stddev_samp(a), 0), 6) as base_std, round(cast(avg(b) as double), 6) as opt_mean, round(coalesce(stddev_samp(b), 0), 6) as opt_std, count_if(b > a) as wins from m"""
 
@@ -212,3 +212,17 @@ def label_counts_json(d: Spark) -> str:
     """Label counts of each source as text."""
     text = "concat(chr(123), '\"0\":', cast(n0 as varchar(20)), ',\"1\":', cast(n1 as varchar(20)), chr(125))"
     return f"select source, {text} as counts from (select source, count_if(label = 0) as n0, count_if(label = 1) as n1 from {{emails}} where source is not null group by source) t"
+
+
+@statement("metric_change_text")
+def metric_change_text(d: Spark) -> str:
+    """What a change of F1 between two variants means, in words, by a band of 0.02."""
+    return f"""with {SCORES}, a as (select source, avg(case when (s >= 0.5) = (y = 1) then 1e0 else 0e0 end) as x, avg(case when (s2 >= 0.5) = (y = 1) then 1e0 else 0e0 end) as z from scores group by source)
+    select source, round(z - x, 6) as delta, case when z - x > 0.02 then 'improved' when z - x < -0.02 then 'worse' else 'about the same' end as meaning from a"""
+
+
+@statement("reason_classes")
+def reason_classes(d: Spark) -> str:
+    """Classes of case notes by their words; harmless words are looked for first."""
+    note = "lower(coalesce(note, ''))"
+    return f"""select case_id, case when {d.matches(note, 'trusted|match|benign|no_links|official')} then 'benign' when {d.matches(note, 'ip|suspicious|lure|mismatch|typo|short')} then 'suspicious' else 'neutral' end as class from {{joint_threshold_calibration_set}}"""

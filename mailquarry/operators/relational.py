@@ -116,8 +116,7 @@ def numeric_feature_columns(df: DataFrame, least: float = 0.8) -> list[str]:
 @statement("median_impute")
 def median_impute(d: Spark) -> str:
     """Missing numbers become the median of the column, 0 if it has no number."""
-    return """with m as (select coalesce(median(n_chars), 0) as m from {documents})
-    select doc_id, cast(coalesce(n_chars, m) as double) as n_chars from {documents}, m"""
+    return """select doc_id, cast(coalesce(n_chars, (select coalesce(median(n_chars), 0) from {documents})) as double) as n_chars from {documents}"""
 
 
 @statement("numeric_fill")
@@ -209,3 +208,9 @@ def salted_counts(df: DataFrame, key: str, salts: int = 64) -> DataFrame:
 @query("salted_domain_counts")
 def salted_domain_counts(spark, d):
     return salted_counts(spark.read.parquet(f"{d}/emails.parquet").select("sender_domain", "record_id"), "sender_domain")
+
+
+@statement("shuffled_urls")
+def shuffled_urls(d: Spark) -> str:
+    """URLs with their place in a hashed order, by range: no single task sorts all."""
+    return f"select url, substr({d.sha256("concat(url, '#11')")}, 1, 16) as place from (select distinct url from {{url_corpus}} where url is not null) t order by place, url"

@@ -153,7 +153,7 @@ def url_typosquat(d: Spark) -> str:
     name = "lower(case when domain_name like 'www.%' then substr(domain_name, 5) else domain_name end)"
     return f"""with popular as (select distinct {name} as trusted from {{domain_ranks}} where rank_pos <= 1000),
     senders as (select distinct lower(trim(sender_domain)) as domain from {{emails}} where sender_domain is not null),
-    blocked as (select trusted, length(trusted) + o as l from popular, (select -1 as o union all select 0 union all select 1) t),
+    blocked as (select trusted, {d.unnest(d.array("length(trusted) - 1", "length(trusted)", "length(trusted) + 1"))} as l from popular),
     near as (select domain, trusted, levenshtein(domain, trusted) as distance from senders join blocked on length(domain) = l where levenshtein(domain, trusted) <= 1),
     hit as (select domain, min(distance) as distance from near group by domain)
     select n.domain, min(n.trusted) as closest, cast(h.distance as int) as distance from near n join hit h on n.domain = h.domain and n.distance = h.distance where h.distance = 1 group by n.domain, h.distance"""
@@ -171,7 +171,7 @@ def url_rank_lookup(d: Spark) -> str:
 def url_benign(d: Spark) -> str:
     """Two URLs of each ranked domain, as examples of the harmless class."""
     return f"""with n as (select distinct {d.replace_all("lower(trim(domain_name))", '^www[.]', '')} as domain from {{domain_ranks}} where domain_name is not null)
-    select concat(prefix, domain, '/') as url, 0 as label, 'tranco' as source from n, (select 'https://' as prefix union all select 'https://www.') p where contains(domain, '.') and not contains(domain, ' ') and length(domain) <= 253"""
+    select {d.unnest(d.array("concat('https://', domain, '/')", "concat('https://www.', domain, '/')"))} as url, 0 as label, 'tranco' as source from n where contains(domain, '.') and not contains(domain, ' ') and length(domain) <= 253"""
 
 
 @statement("url_corpus_clean")
