@@ -223,87 +223,88 @@ def decode(lines: list[str]) -> list[tuple[int, int, int]]:
     starts = _starts(cue)
     ends = [*starts[1:], n]
     total = [[0.0] * 5]
-    solid = [0]
+    seen = [(0, 0, 0, 0, 0)]  # lines that are not blank, marked, header, notice, text so far
     for c in cue:
-        e, t = EMIT[c], total[-1]
+        e, t, p = EMIT[c], total[-1], seen[-1]
         total.append([t[0] + e[0], t[1] + e[1], t[2] + e[2], t[3] + e[3], t[4] + e[4]])
-        solid.append(solid[-1] + (c != BLANK))
-    best: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        seen.append((p[0] + (c != BLANK), p[1] + (c == MARK), p[2] + (c == HEAD), p[3] + (c == NOTICE), p[4] + (c in (TEXT, NAME, SHORT, LINK, GREET))))
+    # For each label the starts that may still win.  What a span adds lies within
+    # SPAN, so a start that is further behind than that never will.
+    alive: list[list[tuple[float, int, tuple | None]]] = [[], [], [], [], []]
+    best: list[list[float | None]] = []
+    back: list[list[tuple | None]] = []
     for i, k in enumerate(ends):
+        s = starts[i]
+        first = next((c for c in cue[s:k] if c != BLANK), BLANK)
+        row: list[float | None] = [None] * 5
+        link: list[tuple | None] = [None] * 5
         for label in range(5):
-            top = None
-            for j in range(i, -1, -1):
-                s = starts[j]
-                first = next((c for c in cue[s:k] if c != BLANK), BLANK)
-                score = total[k][label] - total[s][label]
-                if label != A:
-                    begin = START[label].get(first)
-                    if begin is None:
-                        continue
-                    score += begin + _span(label, cue, s, k, n, solid)
-                if label in LONGEST:
-                    most, each = LONGEST[label]
-                    score -= each * max(0, solid[k] - solid[s] - most)
-                    if solid[k] - solid[s] > 40:
-                        break
-                if s == 0:
-                    found, back = (0.0 if label != S else -4.0), None
+            begin = 0.0 if label == A else START[label].get(first)
+            mine = alive[label]
+            if begin is not None:
+                if i == 0:
+                    mine.append((begin - (4.0 if label == S else 0.0) - total[s][label], s, None))
                 else:
-                    found, back = None, None
-                    for prev in range(5):
-                        if (p := best.get((j - 1, prev))) is not None:
-                            v = p[0] + STEP[prev][label]
-                            if found is None or v > found:
-                                found, back = v, (j - 1, prev)
-                    if found is None:
-                        continue
-                if top is None or score + found > top[0]:
-                    top = score + found, back, s
-            if top is not None:
-                best[i, label] = top
-    state = max(((len(ends) - 1, x) for x in range(5) if (len(ends) - 1, x) in best), key=lambda z: best[z][0])
+                    v, prev = max((p + STEP[x][label], -x) for x, p in enumerate(best[-1]) if p is not None)
+                    mine.append((v + begin - total[s][label], s, (i - 1, -prev)))
+            top = None
+            for base, at, before in mine:
+                score = base + total[k][label] + (_span(label, cue, at, k, n, seen) if label else 0.0)
+                if top is None or score > top:
+                    top, link[label] = score, (at, before)
+            row[label] = top
+            if len(mine) > 1:
+                most = max(x[0] for x in mine) - SPAN
+                alive[label] = [x for x in mine if x[0] >= most and (label not in LONGEST or seen[k][0] - seen[x[1]][0] <= 40)]
+        best.append(row)
+        back.append(link)
+    state = (len(ends) - 1, max((p, -x) for x, p in enumerate(best[-1]) if p is not None)[1] * -1)
     out = []
     while state is not None:
-        _, back, s = best[state]
+        s, before = back[state[0]][state[1]]
         out.append((s, ends[state[0]], state[1]))
-        state = back
+        state = before
     return out[::-1]
 
 
-def _span(label: int, cue: list[int], s: int, k: int, n: int, solid: list[int]) -> float:
-    """Features of a whole segment."""
-    span = [c for c in cue[s:k] if c != BLANK]
+#: More than the features of a span can make of a difference.
+SPAN = 40.0
+
+
+def _span(label: int, cue: list[int], s: int, k: int, n: int, seen: list[tuple]) -> float:
+    """Length and features of a whole segment."""
+    a, b = seen[s], seen[k]
+    solid, marks, heads, notices, text = (y - x for x, y in zip(a, b))
     if label == M:
-        return 0.0 if MARK in span else -12.0
+        return 0.0 if marks else -12.0
+    while s < k and cue[s] == BLANK:
+        s += 1
+    first = cue[s]
     if label == U:
-        heads = span.count(HEAD)
-        if span[0] == HEAD and heads < 2:
+        if first == HEAD and heads < 2:
             return -12.0
-        text = sum(c in (TEXT, NAME, SHORT, LINK, GREET) for c in span)
-        if span[0] == ATTR and MARK in span[:3]:
+        if first == ATTR and marks and MARK in [c for c in cue[s : s + 8] if c != BLANK][:3]:
             return -8.0
         return (2.0 if heads >= 2 else 0.0) + (0.5 if text else -0.5)
+    most, each = LONGEST[label]
+    score = -each * max(0, solid - most)
     if label == S:
-        score = 0.0
-        if span[0] == NAME:
-            rest = sum(c in (TITLE, CONTACT, NOTE) for c in span[1:])
-            if rest:
+        span = [c for c in cue[s:k] if c != BLANK]
+        if first == NAME:
+            if any(c in (TITLE, CONTACT, NOTE) for c in span[1:]):
                 score += 2.0
             elif k == n or cue[k] in (ATTR, ORIG, HEAD, NOTICE, RULE, NOTE):
                 score += 1.0
             else:
                 score -= 3.0
-        if span[0] == RULE and not any(c in (NAME, TITLE, CONTACT, NOTE, CLOSE) for c in span):
+        if first == RULE and not any(c in (NAME, TITLE, CONTACT, NOTE, CLOSE) for c in span):
             score -= 4.0
-        if span[0] == CLOSE and len(span) == 1 and k < n and cue[k] == TEXT:
+        if first == CLOSE and len(span) == 1 and k < n and cue[k] == TEXT:
             score -= 3.0
         return score
-    if label == D:
-        score = 0.0 if NOTICE in span else -1.0
-        if span[0] == RULE and NOTICE not in span:
-            score -= 5.0
-        return score
-    return 0.0
+    if not notices:
+        score -= 6.0 if first == RULE else 1.0
+    return score
 
 
 def unauthored_lines(body: str) -> list[int]:

@@ -192,5 +192,4 @@ def grouped_split(emails: DataFrame, aliases: DataFrame, proportions: dict[str,
 def split_shares(emails: DataFrame, aliases: DataFrame) -> DataFrame:
     """Records and share of each split."""
     counts = grouped_split(emails, aliases).groupBy("split_name").agg(F.count(F.lit(1)).alias("records"))
-    total = emails.agg(F.count(F.lit(1)).alias("total"))
-    return counts.join(F.broadcast(total)).select("split_name", "records", F.round(F.col("records") / F.col("total"), 4).alias("share"))
+    return counts.select("split_name", "records", F.round(F.col("records") / emails.count(), 4).alias("share"))

@@ -263,6 +263,6 @@ def document_areas(docs: DataFrame, areas: DataFrame, labels: DataFrame) -> Data
 def area_shares(docs: DataFrame, areas: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents of each area and their share of all documents with text."""
     found = document_areas(docs, areas, labels).groupBy("subject_area").agg(F.count(F.lit(1)).alias("documents"))
-    total = docs.where(F.col("text").rlike(r"(?U)\w")).agg(F.count(F.lit(1)).alias("total"))
+    total = max(1, docs.where(F.col("text").rlike(r"(?U)\w")).count())
     every = areas.select("subject_area").where("subject_area is not null").distinct()
-    return every.join(F.broadcast(found), "subject_area", "left").join(F.broadcast(total)).select("subject_area", F.coalesce("documents", F.lit(0)).cast("bigint").alias("documents"), F.round(F.coalesce("documents", F.lit(0)) / F.greatest("total", F.lit(1)), 6).alias("share"))
+    return every.join(F.broadcast(found), "subject_area", "left").select("subject_area", F.coalesce("documents", F.lit(0)).cast("bigint").alias("documents"), F.round(F.coalesce("documents", F.lit(0)) / total, 6).alias("share"))
