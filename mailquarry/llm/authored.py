@@ -318,13 +318,13 @@ def unauthored_lines(body: str) -> list[int]:
 
 
 def _filled(emails: DataFrame, key: str, body: str) -> DataFrame:
-    return emails.select(key, F.col(body).alias("body")).where(F.col("body").rlike(r"(?U)\S"))
+    return emails.select(key, F.col(body).alias("body")).where(F.col(key).isNotNull() & F.col("body").rlike(r"(?U)\S"))
 
 
 def line_segments(emails: DataFrame, key: str = "record_id", body: str = "body") -> DataFrame:
     """(key, line_no) of each line that holds nothing newly written.
 
-    Null, empty and blank bodies give no row; a body of one line is one line.
+    Null, empty and blank bodies and rows without a key give no row; a body of one line is one line.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -343,7 +343,8 @@ def line_segments(emails: DataFrame, key: str = "record_id", body: str = "body")
 def authored_text(emails: DataFrame, key: str = "record_id", body: str = "body") -> DataFrame:
     """(key, authored): the newly written lines of each body, blank edges removed.
 
-    Null bodies stay null; bodies without new text give an empty text.
+    Null bodies stay null; bodies without new text give an empty text; rows
+    without a key are left out.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -358,4 +359,4 @@ def authored_text(emails: DataFrame, key: str = "record_id", body: str = "body")
             yield pd.DataFrame({key: pdf[key], "authored": out})
 
     kind = emails.schema[key].dataType.simpleString()
-    return emails.select(key, F.col(body).alias("body")).mapInPandas(run, f"`{key}` {kind}, authored string")
+    return emails.where(F.col(key).isNotNull()).select(key, F.col(body).alias("body")).mapInPandas(run, f"`{key}` {kind}, authored string")

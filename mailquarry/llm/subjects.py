@@ -208,7 +208,8 @@ def fit_votes(table: pd.DataFrame, rounds: int = 50) -> pd.Series:
 def subject_posteriors(docs: DataFrame, areas: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """(doc_id, subject_area, votes, posterior) of every area that a sentence of a document names.
 
-    Null, empty and blank texts give no row; labels of unknown areas are left out.
+    Null, empty and blank texts and rows without a doc_id give no row; labels of
+    unknown areas are left out.
     """
     names = sorted({r[0] for r in areas.select("subject_area").where("subject_area is not null").collect()})  # the areas in use: a fixed, short list
     k = len(names)
@@ -216,7 +217,7 @@ def subject_posteriors(docs: DataFrame, areas: DataFrame, labels: DataFrame, rou
     index = F.create_map(*[F.lit(x) for pair in zip(names, range(k)) for x in pair])
     marked = labels.where("doc_id is not null").select("doc_id", index[F.col("subject_area")].alias("a")).where("a is not null").distinct()
     human = marked.groupBy("doc_id").agg(F.sort_array(F.collect_set("a")).alias("labels")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    texts = docs.select("doc_id", "text", "sender_domain", "source").where(F.col("text").rlike(r"(?U)\w"))
+    texts = docs.select("doc_id", "text", "sender_domain", "source").where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"(?U)\w"))
     known = texts.join(broadcast_if_small(durable(human, "labels")), "doc_id", "left")
     lexicon = learn_lexicon(known, names, rounds)
 

@@ -165,7 +165,7 @@ def _other(name: str, folder: str):
 
 
 def encode_texts(docs: DataFrame, name: str = "byte_bpe_50k", key: str = "doc_id", text: str = "text", folder: str = TOKENIZERS) -> DataFrame:
-    """(key, ids) of each row; null and empty texts have an empty list."""
+    """(key, ids) of each row with a key; null and empty texts have an empty list."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,11 +175,11 @@ def encode_texts(docs: DataFrame, name: str = "byte_bpe_50k", key: str = "doc_id
             texts = [t or "" for t in pdf[text]]
             yield pd.DataFrame({key: pdf[key], "ids": [byte_level(t) for t in texts] if byte_level else other(texts)})
 
-    return docs.select(key, text).mapInPandas(run, f"`{key}` {kind}, ids array<int>")
+    return docs.where(docs[key].isNotNull()).select(key, text).mapInPandas(run, f"`{key}` {kind}, ids array<int>")
 
 
 def token_counts(docs: DataFrame, name: str = "byte_bpe_50k", key: str = "doc_id", text: str = "text", folder: str = TOKENIZERS) -> DataFrame:
-    """(key, n_tokens) of each row."""
+    """(key, n_tokens) of each row with a key."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,7 +187,7 @@ def token_counts(docs: DataFrame, name: str = "byte_bpe_50k", key: str = "doc_id
         for pdf in frames:
             yield pd.DataFrame({key: pdf[key], "n_tokens": [len(encode(t)) for t in pdf[text]]})
 
-    return docs.select(key, text).mapInPandas(run, f"`{key}` {kind}, n_tokens int")
+    return docs.where(docs[key].isNotNull()).select(key, text).mapInPandas(run, f"`{key}` {kind}, n_tokens int")
 
 
 def decode_ids(encoded: DataFrame, name: str = "byte_bpe_50k", key: str = "doc_id", folder: str = TOKENIZERS) -> DataFrame:
