@@ -204,3 +204,12 @@ def unescape_html(df: DataFrame, col: str, out: str = "plain") -> DataFrame:
 @query("html_unescaped")
 def html_unescaped(spark, d):
     return unescape_html(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), "text").select("doc_id", "plain")
+
+
+@statement("text_urls_corpus")
+def text_urls_corpus(d: Spark) -> str:
+    """URLs as the corpus builder takes them: no brackets within, http:// before www."""
+    found = d.extract_all("coalesce(body, '')", r"""(?i)\b(?:https?://|www[.])[^\s<>"'()\]]+""")
+    clean = d.each(found, "v", d.replace_all("v", r"""[.,;:!?]+$""", ""))
+    whole = d.each(clean, "v", "case when lower(substr(v, 1, 4)) = 'www.' then concat('http://', v) else v end")
+    return f"select record_id, {d.unnest(d.distinct(whole))} as url from {{emails}}"

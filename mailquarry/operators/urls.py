@@ -250,3 +250,24 @@ def url_confusable(spark, d):
     return shown.join(trusted, F.col("registrable") == F.col("trusted")).where(F.substring_index("host", ".", -2) != F.col("trusted")).select("host", "skeleton", "trusted")
 
 
+
+
+@statement("url_decisions")
+def url_decisions(d: Spark) -> str:
+    """Verdict of the feature model: from a score of 0.5 on, or by rule where a listed
+    ending meets two keywords; the rule leaves the score as it is."""
+    f = u.model_features(d, "norm", "host", "norm_path", "query", "norm_scheme", "norm")
+    return f"""with {u.parts(d, _URLS)}, f as (select url, {f} from parts), s as (select url, tld_suspicious, keyword_count, round(mod(url_len * 37, 101) / 101e0, 4) as score from f)
+    select url, score, (tld_suspicious = 1 and keyword_count >= 2) as by_rule, case when score >= 0.5 or (tld_suspicious = 1 and keyword_count >= 2) then 'phishing' else 'legitimate' end as verdict from s"""
+
+
+@statement("url_browser_norm")
+def url_browser_norm(d: Spark) -> str:
+    """The form that a browser keeps: the scheme stays, host in lower case, default ports and fragments go."""
+    return f"""with {u.parts(d, _URLS, decode=False)} select url, case when netloc = '' then '' else concat(scheme, '://', {d.replace_all(d.replace_all('netloc', ':80$', ''), ':443$', '')}, norm_path, case when query <> '' then concat('?', query) else '' end) end as kept from parts"""
+
+
+@statement("urls_by_score")
+def urls_by_score(d: Spark) -> str:
+    """URLs from the highest score down; equal scores by name."""
+    return f"with {_basic(d, '(select distinct url from {url_corpus} where url is not null)')} select url, score from scored order by score desc, url"
