@@ -109,21 +109,23 @@ def mean_probability(d: Spark) -> str:
 
 
 #: Numeric features of a record in long form.
-FEATURES = """wide as (select coalesce(source, 'none') as source, label as y, length(coalesce(body, '')) as f1, length(coalesce(subject, '')) as f2,
-    length(coalesce(body, '')) - length(replace(coalesce(body, ''), '!', '')) as f3, length(coalesce(urls, '')) as f4 from {emails} where label in (0, 1)),
-  long as (select source, y, 'body_length' as feature, cast(f1 as double) as x from wide union all select source, y, 'subject_length', f2 from wide
-    union all select source, y, 'exclamations', f3 from wide union all select source, y, 'urls_length', f4 from wide)"""
+def features(d: Spark) -> str:
+    """``long``: one row for each record and feature, from one scan."""
+    names = d.text_array(["body_length", "subject_length", "exclamations", "urls_length"])
+    return f"""wide as (select coalesce(source, 'none') as source, label as y, length(coalesce(body, '')) as f1, length(coalesce(subject, '')) as f2,
+    length(coalesce(body, '')) - length(replace(coalesce(body, ''), '!', '')) as f3, length(coalesce(urls, '')) as f4, {d.unnest(names)} as feature from {{emails}} where label in (0, 1)),
+  long as (select source, y, feature, cast(case feature when 'body_length' then f1 when 'subject_length' then f2 when 'exclamations' then f3 else f4 end as double) as x from wide)"""
 
 
 @statement("feature_drift")
 def feature_drift(d: Spark) -> str:
     """Mean and population deviation of each feature in each source."""
-    return f"with {FEATURES} select feature, source, round(avg(x), 6) as mean, round(stddev_pop(x), 6) as deviation, count(*) as n from long group by feature, source"
+    return f"with {features(d)} select feature, source, round(avg(x), 6) as mean, round(stddev_pop(x), 6) as deviation, count(*) as n from long group by feature, source"
 
 
 @statement("feature_label_correlation")
 def feature_label_correlation(d: Spark) -> str:
-    return f"with {FEATURES} select feature, round(case when stddev_pop(x) > 1e-12 and stddev_pop(y) > 1e-12 then corr(x, cast(y as double)) else 0 end, 6) as r from long group by feature"
+    return f"with {features(d)} select feature, round(case when stddev_pop(x) > 1e-12 and stddev_pop(y) > 1e-12 then corr(x, cast(y as double)) else 0 end, 6) as r from long group by feature"
 
 
 _ETA = """k as (select feature, source, avg(x) as m, count(*) as n from long group by feature, source),
@@ -134,7 +136,7 @@ _ETA = """k as (select feature, source, avg(x) as m, count(*) as n from long gro
 @statement("eta_squared")
 def eta_squared(d: Spark) -> str:
     """Share of a feature's variance that lies between the sources."""
-    return f"with {FEATURES}, {_ETA} select feature, round(eta2, 6) as eta2 from e"
+    return f"with {features(d)}, {_ETA} select feature, round(eta2, 6) as eta2 from e"
 
 
 _KS = """v as (select feature, source, x, count(*) as c from long group by feature, source, x),
@@ -148,13 +150,13 @@ _KS = """v as (select feature, source, x, count(*) as c from long group by featu
 @statement("ks_pairs")
 def ks_pairs(d: Spark) -> str:
     """Two-sample Kolmogorov-Smirnov statistic of each feature and pair of sources."""
-    return f"with {FEATURES}, {_KS} select feature, s1, s2, round(ks, 6) as ks from ks"
+    return f"with {features(d)}, {_KS} select feature, s1, s2, round(ks, 6) as ks from ks"
 
 
 @statement("feature_risk")
 def feature_risk(d: Spark) -> str:
     """Risk of a feature to tell sources rather than labels, and its rank."""
-    return f"""with {FEATURES}, {_ETA}, {_KS}, r as (select feature, case when stddev_pop(x) > 1e-12 then abs(corr(x, cast(y as double))) else 0 end as r from long group by feature),
+    return f"""with {features(d)}, {_ETA}, {_KS}, r as (select feature, case when stddev_pop(x) > 1e-12 then abs(corr(x, cast(y as double))) else 0 end as r from long group by feature),
     j as (select e.feature, round(eta2, 6) as eta2, round(max(ks), 6) as max_ks, round(max(r), 6) as r from e join ks on e.feature = ks.feature join r on e.feature = r.feature group by e.feature, eta2)
     select feature, eta2, max_ks, r, round(1.5 * eta2 + max_ks - 0.8 * r, 5) as risk, case when max_ks >= 0.4 then 'not portable' when max_ks >= 0.2 then 'partially portable' else 'portable' end as verdict from j"""
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dialect import Spark
 from ..plans.catalogue import query, statement
+from ..runtime import durable
 
 _KEY = "concat(lower(coalesce(subject, '')), '␟', lower(coalesce(body, '')), '␟', lower(coalesce(sender, '')), '␟', coalesce(cast(label as varchar(20)), ''))"
 
@@ -43,20 +44,31 @@ def balance_caps(d: Spark) -> str:
     select record_id, source, label from s where in_source <= 250"""
 
 
+def hashed_rank(d: Spark, source: str, by: str, key: str, h: str) -> str:
+    """``ranked``: the rows of ``source`` with their rank ``n`` in the order of a hash
+    within ``by``, and the size ``c`` of their group.
+
+    Groups may hold any share of the rows: they are ranked in 4,096 buckets (the
+    first digits of the hash), and only the counts of the buckets meet in one task.
+    """
+    return f"""h as (select *, {h} as h, substr({h}, 1, 3) as bucket from {source}),
+    b as (select {by} as g, bucket, count(*) as k from h group by 1, 2),
+    o as (select g, bucket, sum(k) over (partition by g order by bucket) - k as before, sum(k) over (partition by g) as c from b),
+    ranked as (select h.*, o.c, o.before + row_number() over (partition by {by}, h.bucket order by h.h, {key}) as n from h join o on h.bucket = o.bucket and h.{by} = o.g)"""
+
+
 @statement("split_stratified")
 def split_stratified(d: Spark) -> str:
     """80/20 within each label, in a hashed order; the larger part is rounded up."""
-    h = d.sha256("concat(cast(record_id as varchar(20)), '#42')")
-    return f"""with r as (select record_id, label, row_number() over (partition by label order by {h}, record_id) as n, count(*) over (partition by label) as c from {{emails}} where label is not null)
-    select record_id, label, case when n <= ceil(c * 0.8) then 'train' else 'test' end as part from r"""
+    ranked = hashed_rank(d, "(select record_id, label from {emails} where label is not null)", "label", "record_id", d.sha256("concat(cast(record_id as varchar(20)), '#42')"))
+    return f"with {ranked} select record_id, label, case when n <= ceil(c * 0.8) then 'train' else 'test' end as part from ranked"
 
 
 @statement("split_nested")
 def split_nested(d: Spark) -> str:
-    """60/20/20 within each expected label of the joint cases."""
-    h = d.sha256("concat(case_id, '#17')")
-    return f"""with r as (select case_id, expected_joint_label as label, row_number() over (partition by expected_joint_label order by {h}, case_id) as n, count(*) over (partition by expected_joint_label) as c from {{joint_eval_cases}})
-    select case_id, label, case when n <= ceil(c * 0.6) then 'train' when n <= ceil(c * 0.8) then 'dev' else 'test' end as part from r"""
+    """60/20/20 within each expected label of the joint cases; cases without a label form a group."""
+    ranked = hashed_rank(d, "(select case_id, coalesce(expected_joint_label, '') as label from {joint_eval_cases})", "label", "case_id", d.sha256("concat(case_id, '#17')"))
+    return f"with {ranked} select case_id, label, case when n <= ceil(c * 0.6) then 'train' when n <= ceil(c * 0.8) then 'dev' else 'test' end as part from ranked"
 
 
 @statement("source_holdout")
@@ -72,9 +84,9 @@ def source_holdout(d: Spark) -> str:
 @statement("downsample")
 def downsample(d: Spark) -> str:
     """At most 300 records in all, each label keeping its share."""
-    h = d.sha256("concat(cast(record_id as varchar(20)), '#3')")
-    return f"""with r as (select record_id, label, row_number() over (partition by label order by {h}, record_id) as n, count(*) over (partition by label) as c, count(*) over () as t from {{emails}} where label is not null)
-    select record_id, label from r where n <= round(300.0 * c / t)"""
+    ranked = hashed_rank(d, "(select record_id, label from {emails} where label is not null)", "label", "record_id", d.sha256("concat(cast(record_id as varchar(20)), '#3')"))
+    total = "(select count(*) from {emails} where label is not null)"
+    return f"with {ranked} select record_id, label from ranked where n <= round(300.0 * c / {total})"
 
 
 @statement("label_clean")
@@ -139,11 +151,34 @@ def valid_requests(d: Spark) -> str:
     return f"select case_id, case when {blank.format('subject')} and {blank.format('body')} and {blank.format('urls')} then 'rejected' when {blank.format('subject')} and {blank.format('body')} then 'url_only' else 'accepted' end as status from {{joint_eval_cases}}"
 
 
-@statement("case_columns")
-def case_columns(d: Spark) -> str:
+def global_row_number(df: DataFrame, order: list[str], out: str = "n") -> DataFrame:
+    """Numbers all rows from 1 in an order, without sorting them in one task: range
+    partitions are numbered by themselves and shifted by the counts before them."""
+    parts = durable(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranges")
+    counts = sorted((r["_p"], r["count"]) for r in parts.groupBy("_p").count().collect())  # one row a partition
+    before, total = [], 0
+    for p, c in counts:
+        before.append((p, total))
+        total += c
+    offsets = F.broadcast(df.sparkSession.createDataFrame(before, "_p int, _before bigint"))
+    own = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return parts.withColumn("_own", own).join(offsets, "_p").withColumn(out, F.col("_before") + F.col("_own")).drop("_p", "_own", "_before")
+
+
+@query(
+    "case_columns",
+    """select coalesce(nullif(case_id, ''), concat('row-', cast(row_number() over (order by case_id) as varchar))) as case_id,
+  coalesce(nullif(sender_name, ''), 'unknown') as sender, coalesce(nullif(expected_joint_label, ''), nullif(expected_email_label, ''), '') as expected_label from joint_eval_cases""",
+)
+def case_columns(spark, d):
     """Columns of case files by any of their names: an empty cell falls through to the next."""
-    return """select coalesce(nullif(case_id, ''), concat('row-', cast(row_number() over (order by case_id) as varchar(20)))) as case_id,
-      coalesce(nullif(sender_name, ''), 'unknown') as sender, coalesce(nullif(expected_joint_label, ''), nullif(expected_email_label, ''), '') as expected_label from {joint_eval_cases}"""
+    rows = global_row_number(spark.read.parquet(f"{d}/joint_eval_cases.parquet"), ["case_id"])
+    cell = lambda c: F.expr(f"nullif({c}, '')")
+    return rows.select(
+        F.coalesce(cell("case_id"), F.concat(F.lit("row-"), F.col("n").cast("string"))).alias("case_id"),
+        F.coalesce(cell("sender_name"), F.lit("unknown")).alias("sender"),
+        F.coalesce(cell("expected_joint_label"), cell("expected_email_label"), F.lit("")).alias("expected_label"),
+    )
 
 
 @statement("corpus_union")
@@ -178,9 +213,11 @@ def label_snippets(d: Spark) -> str:
     return """select label, record_id, substr(body, 1, 80) as snippet from (select label, record_id, body, row_number() over (partition by label order by record_id) as n from {emails} where body is not null and label is not null) t where n <= 3"""
 
 
-@statement("row_index")
-def row_index(d: Spark) -> str:
-    return "select concat('case_', lpad(cast(row_number() over (order by case_id) - 1 as varchar(20)), 4, '0')) as row_id, case_id from {joint_eval_cases}"
+@query("row_index", "select concat('case_', lpad(cast(row_number() over (order by case_id) - 1 as varchar), 4, '0')) as row_id, case_id from joint_eval_cases")
+def row_index(spark, d):
+    """Row numbers in the order of the cases, as text."""
+    rows = global_row_number(spark.read.parquet(f"{d}/joint_eval_cases.parquet").select("case_id"), ["case_id"])
+    return rows.select(F.concat(F.lit("case_"), F.lpad((F.col("n") - 1).cast("string"), 4, "0")).alias("row_id"), "case_id")
 
 
 @statement("late_records")
