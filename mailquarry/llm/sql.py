@@ -12,6 +12,15 @@ P1 = f"""with {_words("coalesce(subject, '') || ' ' || coalesce(body, '')", 'ema
   p as (select a.record_id as record_a, b.record_id as record_b, a.n as na, b.n as nb, count(*) as c from v a join v b on a.x = b.x and a.record_id < b.record_id and a.n >= 0.7 * b.n and b.n >= 0.7 * a.n group by all)
 select record_a, record_b from p where c >= 0.7 * (na + nb - c) - 1e-9"""
 
+P1_CLASSES = f"""with {_words("coalesce(subject, '') || ' ' || coalesce(body, '')", 'emails', 20)},
+  k as (select record_id, md5(string_agg(x, ' ' order by x)) as h from v group by record_id), c as (select record_id, min(record_id) over (partition by h) as class_id from k),
+  r as (select * from v where record_id in (select class_id from c)),
+  p as (select a.record_id as p, b.record_id as q, a.n as na, b.n as nb, count(*) as c from r a join r b on a.x = b.x and a.record_id <> b.record_id and a.n >= 0.7 * b.n and b.n >= 0.7 * a.n group by all),
+  l as (select p, count(*) as n_links from p where c >= 0.7 * (na + nb - c) - 1e-9 group by p)
+select c.record_id, class_id, coalesce(n_links, 0) as n_links from c left join l on c.class_id = l.p"""
+
+P8_DECODED = "select doc_id, coalesce(text, '') as text from documents where doc_id is not null"
+
 _HELD = """s as (select record_id, assigned_at, run_no, case when lower(trim(split_name)) in ('train', 'training') then 'train' when lower(trim(split_name)) in ('validation', 'val', 'valid', 'dev') then 'validation' when lower(trim(split_name)) in ('test', 'testing') then 'test' end as split from email_splits),
   h as (select record_id, split from (select *, row_number() over (partition by record_id order by assigned_at desc nulls last, run_no desc nulls last, split desc) as k from s where split is not null and record_id is not null) where k = 1),
   e as (select record_id, body, source, split from emails join h using (record_id))"""
@@ -32,4 +41,4 @@ P6 = f"""with recursive d as (select {_DOMAIN.format('domain_name')} as a, {_DOM
   m as (select distinct {_DOMAIN.format('sender_domain')} as x from emails)
 select distinct r.a as domain_a, r.b as domain_b from r where r.a < r.b and r.a in (select x from m) and r.b in (select x from m)"""
 
-SQL = {"p1_found": P1, "p3_found": P3, "p3_report": P3_REPORT, "p6_found": P6}
+SQL = {"p1_found": P1, "p1_classes": P1_CLASSES, "p8_decoded": P8_DECODED, "p3_found": P3, "p3_report": P3_REPORT, "p6_found": P6}
