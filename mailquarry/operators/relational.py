@@ -242,7 +242,7 @@ def salted_counts(df: DataFrame, key: str, salts: int = 64) -> DataFrame:
     return salted.groupBy(key, "_salt").agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg(F.sum("n").alias("n"))
 
 
-@query("salted_domain_counts")
+@query("salted_domain_counts", "select sender_domain, count(*) as n from emails group by sender_domain")
 def salted_domain_counts(spark, d):
     return salted_counts(spark.read.parquet(f"{d}/emails.parquet").select("sender_domain", "record_id"), "sender_domain")
 
