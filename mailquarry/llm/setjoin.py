@@ -37,6 +37,8 @@ MAX_RANKED = 200_000
 MAX_REGION = 60_000
 #: Regions of pivot pairs estimated above this are split into blocks.
 BLOCK = 30_000
+#: Documents whose replicas one task of the region join takes, on average.
+DOCS_A_TASK = 20_000
 #: 64-bit words of a signature.
 SIG = 4
 
@@ -316,15 +318,17 @@ def similar_sets(
     copies = durable(keyed.join(classes, ["h1", "h2"]).select("id", "rep", "all_flags"), "copies")
     members = keyed.select("id", "flags").join(broadcast_if_small(copies.select("id", "rep")), "id", "left").select("id", F.coalesce("rep", "id").alias("rep"), "flags")
 
-    n_words = profile.where("kind = 0").agg(F.sum("n")).first()[0] or 0
-    ranked = _word_frequencies(profile, n_words, max_ranked)
+    size = profile.where("kind = 0").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("words")).first()
+    ranked = _word_frequencies(profile, size["words"] or 0, max_ranked)
     reps = base.join(broadcast_if_small(copies.where("id <> rep").select("id")), "id", "left_anti")
     if bipartite:
         both = copies.where("id = rep").select("id", "all_flags")
         reps = reps.join(broadcast_if_small(both), "id", "left").withColumn("flags", F.coalesce("all_flags", "flags")).drop("all_flags")
     schema = "key bigint, id bigint, packed bigint, " + ", ".join(f"s{k} bigint" for k in range(SIG))
     replicas = reps.select("id", "flags", *texts).mapInArrow(_replicas(texts, threshold, min_words, *ranked, max_region, block), schema)
-    regions = replicas.repartition("key").sortWithinPartitions("key", "packed")
+    # a task holds the regions of about DOCS_A_TASK documents, however many there are
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size["docs"] / DOCS_A_TASK))
+    regions = replicas.repartition(tasks, "key").sortWithinPartitions("key", "packed")
     found = durable(regions.mapInArrow(_region_pairs(threshold, bipartite), "a bigint, b bigint").distinct(), "candidates")
 
     ids = durable(found.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidate_ids")
