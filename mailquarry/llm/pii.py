@@ -130,7 +130,7 @@ def role_name(sender: str) -> str | None:
 
 
 def sightings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Edges between patterns and instances, counted within the batch.
+    """Edges between patterns and instances of distinct texts, counted within the batch.
 
     name: words before or after a capitalised pair, and its first word;
     pair: the first and the second word; number: words before, and the shape;
@@ -188,7 +188,11 @@ class Lexicons(NamedTuple):
 
 def learn(emails: DataFrame, rounds: int = ROUNDS, lexicon: int = LEXICON) -> Lexicons:
     """Lexicons of the corpus; every row is read, the driver gets bounded lists."""
-    raw = emails.select("sender", "body").mapInPandas(sightings, "kind string, pattern string, instance string, n bigint")
+    # what is stored again counts once, or one message would outweigh all others
+    none = F.lit(None).cast("string")
+    texts = emails.select(none.alias("sender"), "body").where("body is not null").distinct()
+    headers = emails.select("sender", none.alias("body")).where("sender is not null").distinct()
+    raw = headers.unionByName(texts).mapInPandas(sightings, "kind string, pattern string, instance string, n bigint")
     seen = durable(raw.groupBy("kind", "pattern", "instance").agg(F.sum("n").alias("n")), "sightings")
     spark = emails.sparkSession
 
@@ -202,8 +206,9 @@ def learn(emails: DataFrame, rounds: int = ROUNDS, lexicon: int = LEXICON) -> Le
     given_seeds = people.unionByName(roles.withColumn("score", F.lit(0.0))).select(F.lit("i").alias("side"), F.col("instance").alias("node"), "score")
     given_scores = durable(propagate(name_edges, given_seeds, rounds), "given")
     pairs = seen.where("kind = 'pair'").select(F.col("pattern").alias("instance"), F.col("instance").alias("second"), F.col("n").alias("m"))
-    # a given name goes with many families, a set phrase with one
+    # a given name goes with many families, a set phrase with one; what sender headers confirm is a name
     phrase = pairs.groupBy("instance").agg(F.max("m").alias("most"), F.sum("m").alias("all")).where("all >= 6 and most > 0.5 * all").select("instance")
+    phrase = phrase.join(people, "instance", "left_anti")
     given = durable(given_scores.where(F.col("score") >= ACCEPT).select("instance", "n").join(phrase, "instance", "left_anti"), "given_names")
 
     marked = pairs.join(given.select("instance", F.lit(1).alias("g")), "instance", "left")

@@ -148,3 +148,15 @@ def test_queries_have_the_stated_columns(spark, tables):
         con.execute(f"create view {t} as select * from '{tables}/{t}.parquet'")
     for name, sql in said.items():
         assert len(con.execute(sql).fetchall()) == catalogue.queries()[name](spark, tables).count()
+
+
+def test_a_message_stored_often_strikes_no_name(spark):
+    given, family = ["Ann", "Bo", "Cy", "Dee", "Eva", "Finn"], ["Nilsen", "Dunelm", "Oakley", "Petrov", "Quine"]
+    rows = [(k, None, f"My colleague {given[k % 6]} {family[k % 5]} packed box {k}.", f"{given[k % 6]} {family[k % 5]} <{given[k % 6]}.{family[k % 5]}@x.example>".lower().title()) for k in range(120)]
+    rows += [(1000 + k, None, "My colleague Ann Nilsen and my colleague Gil Petrov sent it.", None) for k in range(60)]
+    # one writer with one name, who signs every message
+    rows += [(2000 + k, None, f"Box {k} is here. My colleague Zorah Quill knows.", "Zorah Quill <zorah.quill@x.example>") for k in range(40)]
+    # seen in one message only, but often: no phrase either
+    rows += [(3000 + k, None, f"My colleague Gil {f} packed it.", None) for k, f in enumerate(family)]
+    lex = pii.learn(spark.createDataFrame(rows, MAIL))
+    assert {"ann", "zorah", "gil"} <= lex.given and {"nilsen", "quill", "petrov"} <= lex.family and not {"nilsen", "quill"} & lex.not_family
