@@ -14,7 +14,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import cache
 from typing import NamedTuple
 
 import pandas as pd
@@ -25,7 +26,7 @@ from ..runtime import durable
 
 ROUNDS = 3
 ACCEPT = 0.5
-#: Lexicons hold what is seen at least once in LEXICON of all sightings, hence at most LEXICON entries.
+#: Lexicons of at most LEXICON entries go to every task as a whole; of larger ones each text gets its own entries.
 LEXICON = 200_000
 KINDS = ("email", "phone", "id_number", "address", "name")
 
@@ -186,19 +187,25 @@ class Lexicons(NamedTuple):
     id_number: frozenset
 
 
-def learn(emails: DataFrame, rounds: int = ROUNDS, lexicon: int = LEXICON) -> Lexicons:
-    """Lexicons of the corpus; every row is read, the driver gets bounded lists."""
+def _single(shapes: DataFrame) -> DataFrame:
+    """Shapes without those of two numbers side by side, which have no shape of their own."""
+    parts = F.split("instance", " ")
+    heads = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), " ")))
+    double = shapes.select("instance", F.explode(heads).alias("head")).join(shapes.select(F.col("instance").alias("head")), "head", "left_semi")
+    return shapes.join(double.select("instance").distinct(), "instance", "left_anti")
+
+
+def learn(emails: DataFrame, rounds: int = ROUNDS, lexicon: int = LEXICON) -> Lexicons | DataFrame:
+    """Lexicons of the corpus, of every row and without a least count.
+
+    With more than ``lexicon`` entries they stay a table (kind, entry).
+    """
     # what is stored again counts once, or one message would outweigh all others
     none = F.lit(None).cast("string")
     texts = emails.select(none.alias("sender"), "body").where("body is not null").distinct()
     headers = emails.select("sender", none.alias("body")).where("sender is not null").distinct()
     raw = headers.unionByName(texts).mapInPandas(sightings, "kind string, pattern string, instance string, n bigint")
     seen = durable(raw.groupBy("kind", "pattern", "instance").agg(F.sum("n").alias("n")), "sightings")
-    spark = emails.sparkSession
-
-    def bounded(df: DataFrame) -> list:
-        total = df.agg(F.sum("n")).first()[0] or 0
-        return df.where(F.col("n") >= max(1, total / lexicon)).collect()
 
     name_edges = seen.where("kind = 'name'").select("pattern", "instance", "n")
     roles = seen.where("kind = 'role'").select("instance").distinct()
@@ -216,25 +223,42 @@ def learn(emails: DataFrame, rounds: int = ROUNDS, lexicon: int = LEXICON) -> Le
     families = second.where(F.col("share") >= ACCEPT)
 
     number_edges = durable(seen.where("kind = 'number'").select("pattern", "instance", "n"), "number_edges")
-    shapes = {}
+    scores = []
     for kind, words, others in (("phone", PHONE_WORDS, ID_WORDS), ("id_number", ID_WORDS, PHONE_WORDS)):
         p = F.col("pattern")
         score = F.when(p.rlike(words.pattern), 1.0).when(p.rlike(others.pattern) | p.rlike(OTHER_WORDS.pattern), 0.0)
         pattern_seeds = number_edges.select("pattern").distinct().select(F.lit("p").alias("side"), p.alias("node"), score.alias("score")).where("score is not null")
         plus = number_edges.where(F.col("instance").startswith("+")).select("instance").distinct()
         instance_seeds = plus.select(F.lit("i").alias("side"), F.col("instance").alias("node"), F.lit(1.0 if kind == "phone" else 0.0).alias("score"))
-        shapes[kind] = {r["instance"]: r["score"] for r in bounded(propagate(number_edges, pattern_seeds.unionByName(instance_seeds), rounds))}
-    phone = {s for s, v in shapes["phone"].items() if v >= 0.4 and v > shapes["id_number"].get(s, 0) and sum(c == "9" for c in s) >= 9}
-    ids = {s for s, v in shapes["id_number"].items() if v >= 0.4 and v > shapes["phone"].get(s, 0) and sum(c == "9" for c in s) >= 6}
-    for known in (phone, ids):  # two numbers side by side have no shape of their own
-        known -= {s for s in known if any(s.startswith(o + " ") for o in known)}
-    return Lexicons(
-        frozenset(r["instance"] for r in bounded(given)),
-        frozenset(r["second"] for r in bounded(families)),
-        frozenset(r["second"] for r in bounded(second.where(F.col("share") < ACCEPT))),
-        frozenset(phone),
-        frozenset(ids),
-    )
+        scores.append(propagate(number_edges, pattern_seeds.unionByName(instance_seeds), rounds).select("instance", F.col("score").alias(kind)))
+    shapes = scores[0].join(scores[1], "instance").withColumn("digits", F.length(F.regexp_replace("instance", "[^9]", "")))
+    phone = _single(durable(shapes.where("phone >= 0.4 and phone > id_number and digits >= 9").select("instance"), "phone"))
+    ids = _single(durable(shapes.where("id_number >= 0.4 and id_number > phone and digits >= 6").select("instance"), "id_number"))
+    lists = {"given": given.select("instance"), "family": families.select("second"), "not_family": second.where(F.col("share") < ACCEPT).select("second"), "phone": phone, "id_number": ids}
+    table = None
+    for kind, df in lists.items():
+        one = df.toDF("entry").select(F.lit(kind).alias("kind"), "entry")
+        table = one if table is None else table.unionByName(one)
+    table = durable(table, "lexicon")
+    return table if table.count() > lexicon else _lexicons((r["kind"], r["entry"]) for r in table.collect())
+
+
+def _lexicons(entries: Iterable[tuple[str, str]]) -> Lexicons:
+    found: dict[str, set] = {kind: set() for kind in Lexicons._fields}
+    for kind, entry in entries:
+        found[kind].add(entry)
+    return Lexicons(**{kind: frozenset(x) for kind, x in found.items()})
+
+
+@cache
+def _cue_automaton():
+    import ahocorasick
+
+    cues = ahocorasick.Automaton()
+    for w in _address_cues():
+        cues.add_word(w, 0)
+    cues.make_automaton()
+    return cues
 
 
 class Finder:
@@ -249,10 +273,7 @@ class Finder:
             self.given.add_word(w, len(w))
         if lex.given:
             self.given.make_automaton()
-        self.cues = ahocorasick.Automaton()
-        for w in _address_cues():
-            self.cues.add_word(w, 0)
-        self.cues.make_automaton()
+        self.cues = _cue_automaton()
 
     def _family(self, word: str) -> bool:
         return word in self.lex.family or word.partition("-")[0] in self.lex.family
@@ -360,32 +381,66 @@ def _rows(emails: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     return out
 
 
-def mentions(emails: DataFrame, fields: tuple[str, ...] = ("body", "sender"), lexicons: Lexicons | None = None) -> DataFrame:
+def candidates(text: str) -> set[str]:
+    """All entries of lexicons that matter to a text: its words, their first parts and the shapes of its numbers."""
+    out = set()
+    for m in WORD.finditer(text):
+        word = m[0].lower()
+        out |= {word, word.partition("-")[0]}
+    for m in NUMBER.finditer(text):
+        out |= {shape(m[0]), *(shape(m[0][a:b]) for a, b in _splits(m[0]))}
+    return out
+
+
+def _with_own(rows: DataFrame, lexicons: Lexicons | DataFrame) -> DataFrame:
+    """Rows with ``own``, the entries for their text of lexicons that are a table; null if tasks get the whole."""
+    if isinstance(lexicons, Lexicons):
+        return rows.withColumn("own", F.lit(None).cast("array<string>"))
+    keyed = durable(rows.withColumn("row_no", F.monotonically_increasing_id()), "texts")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pd.DataFrame([(n, c) for n, text in zip(pdf["row_no"], pdf["text"]) for c in candidates(text)], columns=["row_no", "entry"])
+
+    wanted = keyed.select("row_no", "text").mapInPandas(run, "row_no bigint, entry string")
+    own = wanted.join(lexicons, "entry").groupBy("row_no").agg(F.collect_list(F.concat_ws("\t", "kind", "entry")).alias("own"))
+    return keyed.join(own, "row_no", "left").drop("row_no")
+
+
+def _finders(pdf: pd.DataFrame, shared: Finder | None) -> Iterator[Finder]:
+    """The finder of each row of a batch."""
+    for own in pdf["own"]:
+        yield shared or Finder(_lexicons(x.split("\t") for x in (own if own is not None else ())))
+
+
+def mentions(emails: DataFrame, fields: tuple[str, ...] = ("body", "sender"), lexicons: Lexicons | DataFrame | None = None) -> DataFrame:
     """(record_id, field_name, pii_kind, pii_text): each distinct personal text of a field.
 
     Null, empty and blank fields have none; rows without a record_id are left out.
     """
-    lex = lexicons or learn(emails)
+    lex = learn(emails) if lexicons is None else lexicons
+    whole = lex if isinstance(lex, Lexicons) else None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        finder = Finder(lex)
+        shared = Finder(whole) if whole else None
         for pdf in frames:
             out = []
-            for key, name, text in zip(pdf["record_id"], pdf["field_name"], pdf["text"]):
+            for key, name, text, finder in zip(pdf["record_id"], pdf["field_name"], pdf["text"], _finders(pdf, shared)):
                 for kind, value in dict.fromkeys((m.kind, text[m.start : m.end]) for m in finder.find(text)):
                     out.append((key, name, kind, value))
             yield pd.DataFrame(out, columns=["record_id", "field_name", "pii_kind", "pii_text"])
 
-    return _rows(emails, fields).mapInPandas(run, "record_id bigint, field_name string, pii_kind string, pii_text string")
+    return _with_own(_rows(emails, fields), lex).mapInPandas(run, "record_id bigint, field_name string, pii_kind string, pii_text string")
 
 
-def redacted(emails: DataFrame, fields: tuple[str, ...] = ("body", "sender"), lexicons: Lexicons | None = None) -> DataFrame:
+def redacted(emails: DataFrame, fields: tuple[str, ...] = ("body", "sender"), lexicons: Lexicons | DataFrame | None = None) -> DataFrame:
     """(record_id, field_name, redacted) of each field with text."""
-    lex = lexicons or learn(emails)
+    lex = learn(emails) if lexicons is None else lexicons
+    whole = lex if isinstance(lex, Lexicons) else None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        finder = Finder(lex)
+        shared = Finder(whole) if whole else None
         for pdf in frames:
-            yield pdf[["record_id", "field_name"]].assign(redacted=[finder.redact(t) for t in pdf["text"]])
+            yield pdf[["record_id", "field_name"]].assign(redacted=[f.redact(t) for t, f in zip(pdf["text"], _finders(pdf, shared))])
 
-    return _rows(emails, fields).mapInPandas(run, "record_id bigint, field_name string, redacted string")
+    return _with_own(_rows(emails, fields), lex).mapInPandas(run, "record_id bigint, field_name string, redacted string")

@@ -160,3 +160,18 @@ def test_a_message_stored_often_strikes_no_name(spark):
     rows += [(3000 + k, None, f"My colleague Gil {f} packed it.", None) for k, f in enumerate(family)]
     lex = pii.learn(spark.createDataFrame(rows, MAIL))
     assert {"ann", "zorah", "gil"} <= lex.given and {"nilsen", "quill", "petrov"} <= lex.family and not {"nilsen", "quill"} & lex.not_family
+
+
+def test_lexicons_keep_what_is_rare(spark):
+    given = ["Ann", "Bo", "Cy", "Dee", "Eva", "Finn"]
+    rows = [(k, None, f"My colleague {given[k % 6]} Nilsen{'abcdefghij'[k % 10]} packed box {k}. Call 07700 900{100 + k} today.", f"{given[k % 6]} Nilsen <{given[k % 6].lower()}.nilsen@x.example>") for k in range(240)]
+    rows += [(900, None, "My colleague Zorah Quillon packed it. Call 0911-22-33-4455 today.", "Zorah Quillon <zorah.quillon@x.example>"), (901, None, "bo quillon left, Zorah Marsh-Hill stays.", None)]
+    df = spark.createDataFrame(rows, MAIL)
+    lex = pii.learn(df, lexicon=60)  # far fewer than the sightings, more than the entries
+    assert "zorah" in lex.given and "quillon" in lex.family and "9999-99-99-9999" in lex.phone
+    # beyond the bound the same comes from the joined table
+    table = pii.learn(df, lexicon=5)
+    want, got = (sorted(map(tuple, pii.mentions(df, lexicons=x).collect())) for x in (lex, table))
+    assert got == want and (901, "body", "name", "bo quillon") in got and (900, "body", "phone", "0911-22-33-4455") in got
+    want, got = (sorted(map(tuple, pii.redacted(df, lexicons=x).collect())) for x in (lex, table))
+    assert got == want
