@@ -166,7 +166,7 @@ FIRST = {
     "head": ([0.9, 0.1], [0.97, 0.03]),
     "address": ([0.25, 0.5, 0.25], [0.35, 0.5, 0.15]),
     "origin": ([0.33, 0.34, 0.33], [0.34, 0.33, 0.33]),
-    "human": ([0.9, 0.005, 0.095], [0.9, 0.095, 0.005]),
+    "human": ([0.9, 0.095, 0.005], [0.9, 0.005, 0.095]),
 }
 
 
