@@ -26,7 +26,9 @@ from ..runtime import broadcast_if_small, durable
 ROUNDS = 5
 #: Labels of at most this many documents are used, those with the smallest hashes.
 MAX_LABELLED = 100_000
-#: Words seen in at least 1/VOCABULARY of all sightings may enter the lexicon: at most VOCABULARY.
+#: Words in at least LEAST documents may enter the lexicon.
+LEAST = 3
+#: A lexicon of at most VOCABULARY words goes to every task as a whole; of a larger one each text gets its own words.
 VOCABULARY = 200_000
 SHRINK = 3.0
 SEED_WEIGHT = 12.0
@@ -86,7 +88,31 @@ def area_counts(sentences: list[list[str]], lexicon: dict[str, tuple[int, float]
     return votes, found[0] if found and len(sentences[0]) <= 10 else -1
 
 
-def _word_shares(lexicon: dict[str, tuple[int, float]], k: int):
+Lexicon = dict[str, tuple[int, float]]
+
+
+def _own(lexicon: Lexicon | None, own) -> Lexicon:
+    """The whole lexicon, or that of a text from its ``own`` column."""
+    return lexicon if lexicon is not None else {x["w"]: (x["a"], x["weight"]) for x in (own if own is not None else ())}
+
+
+def _with_own(docs: DataFrame, lexicon: Lexicon | DataFrame) -> DataFrame:
+    """``docs`` (text, row_no and others, durable) with the words of each text if the lexicon is a table; else null."""
+    if isinstance(lexicon, dict):
+        return docs.withColumn("own", F.lit(None).cast(_OWN))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pd.DataFrame([(n, w) for n, text in zip(pdf["row_no"], pdf["text"]) for w in {w for s in _sentences(text) for w in s}], columns=["row_no", "w"])
+
+    own = docs.select("row_no", "text").mapInPandas(run, "row_no bigint, w string").join(lexicon, "w")
+    return docs.join(own.groupBy("row_no").agg(F.collect_list(F.struct("w", "a", "weight")).alias("own")), "row_no", "left")
+
+
+_OWN = "array<struct<w: string, a: int, weight: double>>"
+
+
+def _word_shares(lexicon: Lexicon | None, k: int):
     """mapInPandas function: words of a batch, documents that hold them, and the
     shares of the areas where they stand: those of the sentence if its other
     words give it an area, else those of the document."""
@@ -95,9 +121,10 @@ def _word_shares(lexicon: dict[str, tuple[int, float]], k: int):
         one = np.eye(k)
         for pdf in frames:
             seen: dict[str, np.ndarray] = {}
-            for text, labels in zip(pdf["text"], pdf["labels"]):
+            for text, labels, own in zip(pdf["text"], pdf["labels"], pdf["own"]):
+                words_of = _own(lexicon, own)
                 sentences = _sentences(text)
-                areas = sentence_areas(sentences, lexicon)
+                areas = sentence_areas(sentences, words_of)
                 share = np.zeros(k)
                 if labels is not None and len(labels):
                     share[list(labels)] = 1
@@ -109,8 +136,8 @@ def _word_shares(lexicon: dict[str, tuple[int, float]], k: int):
                 for words, (a, weight) in zip(sentences, areas):
                     for w in set(words):
                         # a word must not vouch for itself
-                        own = lexicon.get(w, (-1, 0.0))
-                        rest = weight - own[1] if own[0] == a else weight
+                        mark = words_of.get(w, (-1, 0.0))
+                        rest = weight - mark[1] if mark[0] == a else weight
                         mine.setdefault(w, []).append(one[a] if a >= 0 and rest >= SENTENCE else whole)
                 for w, places in mine.items():
                     mean = places[0] if len(places) == 1 else sum(places) / len(places)
@@ -124,39 +151,53 @@ def _word_shares(lexicon: dict[str, tuple[int, float]], k: int):
     return run
 
 
-def learn_lexicon(docs: DataFrame, areas: list[str], rounds: int = ROUNDS, vocabulary: int = VOCABULARY) -> dict[str, tuple[int, float]]:
+def _weights(base: np.ndarray, seeds: dict[str, list[int]], columns: list[str]):
+    """mapInPandas function: words, sums of ``columns`` in; area and weight of those of one area out."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for got in frames:
+            counts = got[columns[2:]].to_numpy()
+            # documents of no known area count as a mixture of all
+            mass = counts + np.outer((got["docs"] - got["known"]).to_numpy(), base)
+            for i, w in enumerate(got["w"]):
+                for a in seeds.get(w, ()):
+                    mass[i, a] += SEED_WEIGHT / len(seeds[w])
+            p = (mass + SHRINK * base) / (mass.sum(1, keepdims=True) + SHRINK)
+            best = p.max(1)
+            # no word is surer than the greatest weight, nor can the odds be infinite
+            weight = np.minimum(np.log(best / np.maximum(1 - best, 1e-12)) + 0.2, 3.0)
+            out = pd.DataFrame({"w": got["w"], "a": p.argmax(1).astype("int32"), "weight": weight})
+            yield out[best >= 0.5]
+
+    return run
+
+
+def learn_lexicon(docs: DataFrame, areas: list[str], rounds: int = ROUNDS, vocabulary: int = VOCABULARY) -> Lexicon | DataFrame:
     """Area and weight of the words that mostly stand in documents of one area.
 
-    ``docs`` (text, labels array<int>).  Every round reads all documents; the
-    driver gets at most ``vocabulary`` words.
+    ``docs`` (text, labels array<int>, row_no; durable).  Every round reads all
+    documents.  With more than ``vocabulary`` words the lexicon stays a table (w, a, weight).
     """
     k = len(areas)
+    spark = docs.sparkSession
     seeds = seed_words(areas)
-    lexicon = {w: (a[0], 2.0) for w, a in seeds.items() if len(a) == 1}
+    sure = {w: (a[0], 2.0) for w, a in seeds.items() if len(a) == 1}
+    lexicon: Lexicon | DataFrame = sure
     columns = ["docs", "known", *[f"c{j}" for j in range(k)]]
     for _ in range(rounds):
-        found = docs.select("text", "labels").mapInPandas(_word_shares(lexicon, k), "w string, v array<double>")
+        shares = _word_shares(lexicon if isinstance(lexicon, dict) else None, k)
+        found = _with_own(docs.select("text", "labels", "row_no"), lexicon).select("text", "labels", "own").mapInPandas(shares, "w string, v array<double>")
         sums = found.groupBy("w").agg(*[F.sum(F.col("v")[j]).alias(c) for j, c in enumerate(columns)])
-        total = durable(sums, "word_shares")
-        n = total.agg(F.sum("docs")).first()[0] or 0
-        got = total.where(F.col("docs") >= max(3, n / vocabulary)).toPandas()
-        if not len(got):
+        got = durable(sums, "word_shares").where(F.col("docs") >= LEAST)
+        total = got.agg(F.count(F.lit(1)), *[F.sum(c) for c in columns[2:]]).first()
+        if not total[0]:
             break
-        counts = got[columns[2:]].to_numpy()
-        base = (counts.sum(0) + 1) / (counts.sum() + k)
-        # documents of no known area count as a mixture of all
-        mass = counts + np.outer((got["docs"] - got["known"]).to_numpy(), base)
-        for i, w in enumerate(got["w"]):
-            for a in seeds.get(w, ()):
-                mass[i, a] += SEED_WEIGHT / len(seeds[w])
-        p = (mass + SHRINK * base) / (mass.sum(1, keepdims=True) + SHRINK)
-        top, best = p.argmax(1), p.max(1)
-        weight = np.minimum(np.log(best / (1 - best)) + 0.2, 3.0)
-        lexicon = {w: (int(a), float(x)) for w, a, x, b in zip(got["w"], top, weight, best) if b >= 0.5}
-        counted = set(got["w"])
-        for w, a in seeds.items():
-            if len(a) == 1 and w not in counted:
-                lexicon[w] = (a[0], 2.0)
+        base = (np.array(total[1:]) + 1) / (sum(total[1:]) + k)
+        words = got.mapInPandas(_weights(base, seeds, columns), "w string, a int, weight double")
+        counted = {r["w"] for r in got.where(F.col("w").isin(list(sure))).select("w").collect()}  # at most the seeds
+        rest = [(w, *x) for w, x in sure.items() if w not in counted]
+        table = durable(words.unionByName(spark.createDataFrame(rest, "w string, a int, weight double")), "lexicon")
+        lexicon = table if table.count() > vocabulary else {r["w"]: (r["a"], r["weight"]) for r in table.collect()}
     return lexicon
 
 
@@ -205,7 +246,7 @@ def fit_votes(table: pd.DataFrame, rounds: int = 50) -> pd.Series:
     return pd.Series(post, index=table.index)
 
 
-def subject_posteriors(docs: DataFrame, areas: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_labelled: int = MAX_LABELLED) -> DataFrame:
+def subject_posteriors(docs: DataFrame, areas: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_labelled: int = MAX_LABELLED, vocabulary: int = VOCABULARY) -> DataFrame:
     """(doc_id, subject_area, votes, posterior) of every area that a sentence of a document names.
 
     Null, empty and blank texts and rows without a doc_id give no row; labels of
@@ -219,19 +260,21 @@ def subject_posteriors(docs: DataFrame, areas: DataFrame, labels: DataFrame, rou
     human = marked.groupBy("doc_id").agg(F.sort_array(F.collect_set("a")).alias("labels")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     texts = docs.select("doc_id", "text", "sender_domain", "source").where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"(?U)\w"))
     known = texts.join(broadcast_if_small(durable(human, "labels")), "doc_id", "left")
-    lexicon = learn_lexicon(known, names, rounds)
+    known = durable(known.withColumn("row_no", F.monotonically_increasing_id()), "known")
+    lexicon = learn_lexicon(known, names, rounds, vocabulary)
+    whole = lexicon if isinstance(lexicon, dict) else None
 
     def vote(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             out = []
-            for doc, text, domain, source, given in zip(pdf["doc_id"], pdf["text"], pdf["sender_domain"], pdf["source"], pdf["labels"]):
-                votes, head = area_counts(_sentences(text), lexicon, k)
+            for doc, text, domain, source, given, own in zip(pdf["doc_id"], pdf["text"], pdf["sender_domain"], pdf["source"], pdf["labels"], pdf["own"]):
+                votes, head = area_counts(_sentences(text), _own(whole, own), k)
                 for a in np.nonzero(votes)[0]:
                     human = 0 if given is None else 1 if a in given else 2
                     out.append((doc, int(a), int(votes[a]), int(head == a), domain, source, human))
             yield pd.DataFrame(out, columns=["doc_id", "a", "votes", "head", "sender_domain", "source", "human"])
 
-    cast = durable(known.mapInPandas(vote, "doc_id bigint, a int, votes int, head int, sender_domain string, source string, human int"), "votes")
+    cast = durable(_with_own(known, lexicon).mapInPandas(vote, "doc_id bigint, a int, votes int, head int, sender_domain string, source string, human int"), "votes")
     strong = F.sum((F.col("votes") >= 2).cast("int"))
     base = cast.groupBy("a").agg((strong / F.count(F.lit(1))).alias("base"))
 

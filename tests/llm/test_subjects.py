@@ -8,3 +8,24 @@ def test_a_confirming_label_raises_the_posterior():
     table = pd.DataFrame(rows, columns=["lex", "head", "address", "origin", "human", "n"])
     post = table.assign(p=subjects.fit_votes(table)).pivot(index="lex", columns="human", values="p")
     assert (post[1] > post[0]).all() and (post[0] > post[2]).all()
+
+
+def _corpus(spark, n):
+    law, sport = "The tribunal met and the plaintiff spoke", "The goalkeeper and the midfielder left the stadium"
+    rows = [(k, f"{law if k % 2 else sport} today. Word{'abcdefghij'[k % 10]} w{'abcdefghij'[k // 10 % 10]}x many more plain words stand here.", None, None) for k in range(n)]
+    rows += [(n + k, f"{law}, estoppel again.", None, None) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, sender_domain string, source string")
+    return docs, spark.createDataFrame([("law",), ("sport",)], "subject_area string"), spark.createDataFrame([], "doc_id bigint, subject_area string")
+
+
+def test_a_rare_word_enters_the_lexicon_at_any_size(spark):
+    docs, _, _ = _corpus(spark, 300)
+    known = docs.selectExpr("text", "cast(null as array<int>) as labels", "doc_id as row_no")
+    # the words fit the bound; 1/200 of the sightings would be 20 documents
+    assert subjects.learn_lexicon(known, ["law", "sport"], 2, 200)["estoppel"][0] == 0
+
+
+def test_a_lexicon_beyond_the_bound_gives_the_same(spark):
+    tables = _corpus(spark, 60)
+    want, got = (sorted(map(tuple, subjects.subject_posteriors(*tables, rounds=2, vocabulary=v).collect())) for v in (200_000, 3))
+    assert want and [r[:3] for r in got] == [r[:3] for r in want] and all(abs(a[3] - b[3]) < 1e-9 for a, b in zip(got, want))
