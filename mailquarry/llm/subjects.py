@@ -1,24 +1,29 @@
 """Problem 10: subject areas of documents.
 
 Labelling functions vote on every (document, area): the lexicon (sentences whose
-words belong to the area), the address (how often the sender's documents are of
-the area), the section (the heading names the area), the source, and the sample
-of human labels.  A latent-variable model learns how accurate each of them is by
-expectation maximisation on the counts of vote combinations, and areas are
-assigned from the posterior.  The lexicon itself grows from seed words and
-labels over all documents in a few rounds: a word belongs to an area when most
-of the documents that hold it are of the area.
+words belong to the area), the section (the heading names the area), the address
+and the source (how often other documents of theirs are of the area), and the
+sample of human labels.  A latent-variable model learns how accurate each of them
+is by expectation maximisation over all pairs, those included that no sentence
+names, and areas are assigned from the posterior.  The lexicon itself grows from
+seed words and labels over all documents in a few rounds: a word belongs to an
+area when most of the documents that hold it are of the area.
+
+Texts are tokenised once, into a table of word hashes by sentence; the rounds
+read that table and work on arrays.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import broadcast_if_small, durable
@@ -30,12 +35,19 @@ MAX_LABELLED = 100_000
 LEAST = 3
 #: A lexicon of at most VOCABULARY words goes to every task as a whole; of a larger one each text gets its own words.
 VOCABULARY = 200_000
+#: Parts into which the texts that hold one word are split where the lexicon is joined.
+SALTS = 16
 SHRINK = 3.0
 SEED_WEIGHT = 12.0
 #: Weight that a sentence needs to be of an area.
 SENTENCE = 1.0
+#: Words that a heading has at most.
+HEADING = 10
 
-SENTENCES = re.compile(r"(?<=[.!?:])\s+|\n+")
+#: Ends of sentences and runs of letters, in the syntax of Arrow.
+_BLANK = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]"
+_ENDS = rf"([.!?:]){_BLANK}+"
+_NO_LETTERS = r"[^\p{L}\p{Nl}\p{No}]+"
 WORDS = re.compile(r"[^\W\d_]{2,}")
 
 # Seed words of the lexicon, by area and language.
@@ -53,250 +65,303 @@ SEEDS = {
 }
 
 
-def seed_words(areas: list[str]) -> dict[str, list[int]]:
-    """Areas (by index) of each seed word; a word of several areas names none surely."""
-    out: dict[str, list[int]] = {}
-    for k, area in enumerate(areas):
-        for w in WORDS.findall(SEEDS.get(area, area).lower()):
-            if k not in out.setdefault(w, []):
-                out[w].append(k)
-    return out
+def word_hash(words: list[str]) -> np.ndarray:
+    return pd.util.hash_array(np.array(words, dtype=object), categorize=False).view(np.int64) if len(words) else np.empty(0, np.int64)
 
 
-def _sentences(text: str) -> list[list[str]]:
-    return [[w.lower() for w in WORDS.findall(s)] for s in SENTENCES.split(text)]
+def seed_words(areas: dict[str, str]) -> dict[str, list[int]]:
+    """Areas (by index) of each seed word; a word of several areas names none surely.
 
-
-def sentence_areas(sentences: list[list[str]], lexicon: dict[str, tuple[int, float]]) -> list[tuple[int, float]]:
-    """Area and weight of each sentence by its words; (-1, 0) if they don't suffice."""
-    out = []
-    for words in sentences:
-        score: dict[int, float] = {}
-        for w in set(words):
-            hit = lexicon.get(w)
-            if hit is not None:
-                score[hit[0]] = score.get(hit[0], 0.0) + hit[1]
-        best = max(score, key=lambda a: (score[a], -a)) if score else -1
-        out.append((best, score[best]) if score and score[best] >= SENTENCE else (-1, 0.0))
+    Areas (name: what it is about) outside the list are seeded by their own description.
+    """
+    out: dict[str, list[int]] = {}
+    for k, (area, about) in enumerate(areas.items()):
+        for w in WORDS.findall(SEEDS.get(area, f"{area} {about or ''}").lower()):
+            if k not in out.setdefault(w, []):
+                out[w].append(k)
     return out
 
 
-def area_counts(sentences: list[list[str]], lexicon: dict[str, tuple[int, float]], k: int) -> tuple[np.ndarray, int]:
-    """Sentences of each area, and the area that the heading names (-1: none)."""
-    found = [a for a, _ in sentence_areas(sentences, lexicon)]
-    votes = np.bincount([a for a in found if a >= 0], minlength=k)
-    return votes, found[0] if found and len(sentences[0]) <= 10 else -1
-
-
-Lexicon = dict[str, tuple[int, float]]
-
-
-def _own(lexicon: Lexicon | None, own) -> Lexicon:
-    """The whole lexicon, or that of a text from its ``own`` column."""
-    return lexicon if lexicon is not None else {x["w"]: (x["a"], x["weight"]) for x in (own if own is not None else ())}
+class Lexicon(NamedTuple):
+    """Word hashes, ascending, with the area and weight of each."""
+
+    words: np.ndarray
+    areas: np.ndarray
+    weights: np.ndarray
+
+    @staticmethod
+    def of(words, areas, weights) -> Lexicon:
+        words, at = np.unique(np.asarray(words, np.int64), return_index=True)
+        return Lexicon(words, np.asarray(areas, np.int64)[at], np.asarray(weights, float)[at])
+
+    def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Area (-1: none) and weight of each word."""
+        if not len(self.words):
+            return np.full(len(words), -1), np.zeros(len(words))
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        hit = self.words[at] == words
+        return np.where(hit, self.areas[at], -1), np.where(hit, self.weights[at], 0.0)
+
+
+def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values, kind))
+
+
+def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds to each document ``lens`` (distinct words of each sentence), ``words``
+    (their hashes), ``places`` (sentences of the document that hold the word) and
+    ``head`` (whether the first sentence is short)."""
+    for b in batches:
+        n = b.num_rows
+        text = pc.replace_substring_regex(pc.fill_null(b.column("text"), ""), _ENDS, "\\1\n")
+        sentences = pc.split_pattern_regex(text, r"\n+")
+        doc_of = np.repeat(np.arange(n), sentences.value_lengths().to_numpy(zero_copy_only=False))
+        parts = pc.split_pattern_regex(pc.utf8_lower(sentences.flatten()), _NO_LETTERS)
+        sent = np.repeat(np.arange(len(parts)), parts.value_lengths().to_numpy(zero_copy_only=False))
+        coded = parts.flatten().dictionary_encode()
+        code, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+        keep = (pc.utf8_length(words).to_numpy(zero_copy_only=False) >= 2)[code]
+        sent, code = sent[keep], code[keep]
+        size = max(1, len(words))
+        said = np.bincount(sent, minlength=len(parts))
+        key = np.unique(sent * size + code)
+        sent, code = key // size, key % size
+        doc = doc_of[sent]
+        _, at, times = np.unique(doc * size + code, return_inverse=True, return_counts=True)
+        full, lens = np.unique(sent, return_counts=True)
+        per_doc = np.bincount(doc_of[full], minlength=n)
+        first = np.concatenate([[0], np.cumsum(per_doc)[:-1]]) if n else np.empty(0, int)
+        head = np.zeros(n, bool)
+        some = per_doc > 0
+        head[some] = said[full[first[some]]] <= HEADING
+        in_doc = np.bincount(doc, minlength=n)
+        new = [_lists(lens, per_doc, pa.int32()), _lists(word_hash(words.to_pylist())[code], in_doc, pa.int64()), _lists(times[at], in_doc, pa.int32()), pa.array(head)]
+        names = [c for c in b.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], *new], names=[*names, "lens", "words", "places", "head"])
+
+
+_TOKENS = "lens array<int>, words array<bigint>, places array<int>, head boolean"
+_OWN = "array<struct<w: bigint, a: int, weight: double>>"
 
 
 def _with_own(docs: DataFrame, lexicon: Lexicon | DataFrame) -> DataFrame:
-    """``docs`` (text, row_no and others, durable) with the words of each text if the lexicon is a table; else null."""
-    if isinstance(lexicon, dict):
+    """``docs`` with the entries for each text if the lexicon is a table; else null."""
+    if isinstance(lexicon, Lexicon):
         return docs.withColumn("own", F.lit(None).cast(_OWN))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            yield pd.DataFrame([(n, w) for n, text in zip(pdf["row_no"], pdf["text"]) for w in {w for s in _sentences(text) for w in s}], columns=["row_no", "w"])
-
-    own = docs.select("row_no", "text").mapInPandas(run, "row_no bigint, w string").join(lexicon, "w")
-    return docs.join(own.groupBy("row_no").agg(F.collect_list(F.struct("w", "a", "weight")).alias("own")), "row_no", "left")
-
-
-_OWN = "array<struct<w: string, a: int, weight: double>>"
+    salt = F.pmod("row_no", F.lit(SALTS)).cast("int").alias("salt")
+    wanted = docs.select("row_no", salt, F.explode(F.array_distinct("words")).alias("w"))
+    spread = lexicon.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    own = wanted.join(spread, ["w", "salt"]).groupBy("row_no").agg(F.collect_list(F.struct("w", "a", "weight")).alias("own"))
+    return docs.join(own, "row_no", "left")
+
+
+class _Batch:
+    """Sentences of a batch with the areas that their words give them."""
+
+    def __init__(self, b: pa.RecordBatch, lexicon: Lexicon | None, k: int) -> None:
+        if lexicon is None:
+            own = b.column("own").flatten()
+            lexicon = Lexicon.of(*[own.field(c).to_numpy(zero_copy_only=False) for c in ("w", "a", "weight")])
+        lens = b.column("lens")
+        per_doc = lens.value_lengths().to_numpy(zero_copy_only=False)
+        size = lens.flatten().to_numpy(zero_copy_only=False)
+        self.doc_of = np.repeat(np.arange(b.num_rows), per_doc)
+        self.sent = np.repeat(np.arange(len(size)), size)
+        coded = b.column("words").flatten().dictionary_encode()
+        self.code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.words = coded.dictionary.to_numpy(zero_copy_only=False)
+        area, weight = lexicon.find(self.words)
+        self.area, self.weight = area[self.code], weight[self.code]
+        on = self.area >= 0
+        score = np.bincount(self.sent[on] * k + self.area[on], self.weight[on], len(size) * k).reshape(-1, k)
+        self.best = score.max(1) if len(size) else np.empty(0)
+        self.of = np.where(self.best >= SENTENCE, score.argmax(1), -1) if len(size) else np.empty(0, int)
+        on = self.of >= 0
+        self.votes = np.bincount(self.doc_of[on] * k + self.of[on], minlength=b.num_rows * k).reshape(-1, k)
+        self.heading = np.full(b.num_rows, -1)
+        some = (per_doc > 0) & b.column("head").to_numpy(zero_copy_only=False).astype(bool)
+        first = np.concatenate([[0], np.cumsum(per_doc)[:-1]]) if b.num_rows else np.empty(0, int)
+        self.heading[some] = self.of[first[some]]
 
 
 def _word_shares(lexicon: Lexicon | None, k: int):
-    """mapInPandas function: words of a batch, documents that hold them, and the
+    """mapInArrow function: words of a batch, documents that hold them, and the
     shares of the areas where they stand: those of the sentence if its other
     words give it an area, else those of the document."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        one = np.eye(k)
-        for pdf in frames:
-            seen: dict[str, np.ndarray] = {}
-            for text, labels, own in zip(pdf["text"], pdf["labels"], pdf["own"]):
-                words_of = _own(lexicon, own)
-                sentences = _sentences(text)
-                areas = sentence_areas(sentences, words_of)
-                share = np.zeros(k)
-                if labels is not None and len(labels):
-                    share[list(labels)] = 1
-                votes = np.bincount([a for a, _ in areas if a >= 0], minlength=k)
-                share += np.where(votes >= 2, votes, 0)
-                total = share.sum()
-                whole = share / total if total else np.zeros(k)
-                mine: dict[str, list] = {}
-                for words, (a, weight) in zip(sentences, areas):
-                    for w in set(words):
-                        # a word must not vouch for itself
-                        mark = words_of.get(w, (-1, 0.0))
-                        rest = weight - mark[1] if mark[0] == a else weight
-                        mine.setdefault(w, []).append(one[a] if a >= 0 and rest >= SENTENCE else whole)
-                for w, places in mine.items():
-                    mean = places[0] if len(places) == 1 else sum(places) / len(places)
-                    row = np.concatenate([[1.0, mean.sum()], mean])
-                    if w in seen:
-                        seen[w] += row
-                    else:
-                        seen[w] = row
-            yield pd.DataFrame({"w": list(seen), "v": [list(x) for x in seen.values()]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _Batch(b, lexicon, k)
+            labels = b.column("labels")
+            marked = np.repeat(np.arange(b.num_rows), pc.fill_null(labels.value_lengths(), 0).to_numpy(zero_copy_only=False))
+            share = np.where(x.votes >= 2, x.votes, 0).astype(float)
+            given = labels.flatten().to_numpy(zero_copy_only=False)
+            share[marked, given] += 1
+            total = share.sum(1, keepdims=True)
+            share = np.divide(share, total, out=np.zeros_like(share), where=total > 0)
+            doc, of, n = x.doc_of[x.sent], x.of[x.sent], len(x.words)
+            once = 1 / b.column("places").flatten().to_numpy(zero_copy_only=False)
+            # a word must not vouch for itself
+            rest = x.best[x.sent] - np.where(x.area == of, x.weight, 0.0)
+            own = (of >= 0) & (rest >= SENTENCE)
+            mass = np.bincount(x.code[own] * k + of[own], once[own], n * k).reshape(-1, k)
+            other = ~own & (total[doc, 0] > 0)
+            code, doc, part = x.code[other], doc[other], once[other]
+            for j in range(k):
+                mass[:, j] += np.bincount(code, share[doc, j] * part, n)
+            columns = [pa.array(x.words), pa.array(np.bincount(x.code, once, n)), *[pa.array(mass[:, j]) for j in range(k)]]
+            yield pa.RecordBatch.from_arrays(columns, names=["w", "docs", *[f"c{j}" for j in range(k)]])
 
     return run
 
 
-def _weights(base: np.ndarray, seeds: dict[str, list[int]], columns: list[str]):
-    """mapInPandas function: words, sums of ``columns`` in; area and weight of those of one area out."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for got in frames:
-            counts = got[columns[2:]].to_numpy()
-            # documents of no known area count as a mixture of all
-            mass = counts + np.outer((got["docs"] - got["known"]).to_numpy(), base)
-            for i, w in enumerate(got["w"]):
-                for a in seeds.get(w, ()):
-                    mass[i, a] += SEED_WEIGHT / len(seeds[w])
-            p = (mass + SHRINK * base) / (mass.sum(1, keepdims=True) + SHRINK)
-            best = p.max(1)
-            # no word is surer than the greatest weight, nor can the odds be infinite
-            weight = np.minimum(np.log(best / np.maximum(1 - best, 1e-12)) + 0.2, 3.0)
-            out = pd.DataFrame({"w": got["w"], "a": p.argmax(1).astype("int32"), "weight": weight})
-            yield out[best >= 0.5]
-
-    return run
+def _weights(sums: DataFrame, base: list[float], seeds: DataFrame) -> DataFrame:
+    """Area and weight of the words that mostly stand in documents of one area."""
+    k = len(base)
+    known = sum((F.col(f"c{j}") for j in range(k)), F.lit(0.0))
+    seeded = sums.join(F.broadcast(seeds), "w", "left").withColumn("rest", F.greatest(F.lit(0.0), F.col("docs") - known))
+    # documents of no known area count as a mixture of all
+    mass = [F.col(f"c{j}") + F.col("rest") * base[j] + F.coalesce(F.col("seed")[j], F.lit(0.0)) + SHRINK * base[j] for j in range(k)]
+    shares = seeded.select("w", F.array(*mass).alias("mass")).withColumn("all", F.aggregate("mass", F.lit(0.0), lambda a, b: a + b))
+    best = shares.select("w", (F.array_max("mass") / F.col("all")).alias("best"), (F.array_position("mass", F.array_max("mass")) - 1).cast("int").alias("a"))
+    # no word is surer than the greatest weight, nor can the odds be infinite
+    weight = F.least(F.log(F.col("best") / F.greatest(1 - F.col("best"), F.lit(1e-12))) + 0.2, F.lit(3.0))
+    return best.where("best >= 0.5").select("w", "a", weight.alias("weight"))
 
 
-def learn_lexicon(docs: DataFrame, areas: list[str], rounds: int = ROUNDS, vocabulary: int = VOCABULARY) -> Lexicon | DataFrame:
+def learn_lexicon(docs: DataFrame, areas: dict[str, str], rounds: int = ROUNDS, vocabulary: int = VOCABULARY) -> Lexicon | DataFrame:
     """Area and weight of the words that mostly stand in documents of one area.
 
-    ``docs`` (text, labels array<int>, row_no; durable).  Every round reads all
-    documents.  With more than ``vocabulary`` words the lexicon stays a table (w, a, weight).
+    ``docs`` (lens, words, places, head, labels array<int>, row_no; durable).  Every round
+    reads all documents, until the lexicon no longer changes.  With more than
+    ``vocabulary`` words the lexicon stays a table (w, a, weight).
     """
     k = len(areas)
     spark = docs.sparkSession
     seeds = seed_words(areas)
-    sure = {w: (a[0], 2.0) for w, a in seeds.items() if len(a) == 1}
-    lexicon: Lexicon | DataFrame = sure
-    columns = ["docs", "known", *[f"c{j}" for j in range(k)]]
+    hashes = dict(zip(seeds, word_hash(list(seeds)).tolist()))
+    given = spark.createDataFrame([(hashes[w], [SEED_WEIGHT / len(a) if j in a else 0.0 for j in range(k)]) for w, a in seeds.items()], "w bigint, seed array<double>")
+    sure = {hashes[w]: a[0] for w, a in seeds.items() if len(a) == 1}
+    lexicon: Lexicon | DataFrame = Lexicon.of(list(sure), list(sure.values()), [2.0] * len(sure))
+    columns = [f"c{j}" for j in range(k)]
+    schema = "w bigint, docs double, " + ", ".join(f"{c} double" for c in columns)
     for _ in range(rounds):
-        shares = _word_shares(lexicon if isinstance(lexicon, dict) else None, k)
-        found = _with_own(docs.select("text", "labels", "row_no"), lexicon).select("text", "labels", "own").mapInPandas(shares, "w string, v array<double>")
-        sums = found.groupBy("w").agg(*[F.sum(F.col("v")[j]).alias(c) for j, c in enumerate(columns)])
-        got = durable(sums, "word_shares").where(F.col("docs") >= LEAST)
-        total = got.agg(F.count(F.lit(1)), *[F.sum(c) for c in columns[2:]]).first()
+        whole = lexicon if isinstance(lexicon, Lexicon) else None
+        found = _with_own(docs.select("row_no", "lens", "words", "places", "head", "labels"), lexicon).mapInArrow(_word_shares(whole, k), schema)
+        sums = durable(found.groupBy("w").agg(*[F.sum(c).alias(c) for c in ("docs", *columns)]), "word_shares").where(F.col("docs") > LEAST - 0.5)
+        total = sums.agg(F.count(F.lit(1)), *[F.sum(c) for c in columns]).first()
         if not total[0]:
             break
-        base = (np.array(total[1:]) + 1) / (sum(total[1:]) + k)
-        words = got.mapInPandas(_weights(base, seeds, columns), "w string, a int, weight double")
-        counted = {r["w"] for r in got.where(F.col("w").isin(list(sure))).select("w").collect()}  # at most the seeds
-        rest = [(w, *x) for w, x in sure.items() if w not in counted]
-        table = durable(words.unionByName(spark.createDataFrame(rest, "w string, a int, weight double")), "lexicon")
-        lexicon = table if table.count() > vocabulary else {r["w"]: (r["a"], r["weight"]) for r in table.collect()}
+        all_mass = sum(total[1:]) + k
+        counted = {r["w"] for r in sums.where(F.col("w").isin(list(sure))).select("w").collect()}  # at most the seeds
+        rest = spark.createDataFrame([(w, a, 2.0) for w, a in sure.items() if w not in counted], "w bigint, a int, weight double")
+        words = _weights(sums, [(x + 1) / all_mass for x in total[1:]], given).unionByName(rest)
+        head = words.limit(vocabulary + 1).toArrow()
+        if head.num_rows > vocabulary:
+            lexicon = durable(words, "lexicon")
+            continue
+        new = Lexicon.of(*[head[c].to_numpy() for c in ("w", "a", "weight")])
+        same = whole is not None and np.array_equal(new.words, whole.words) and np.array_equal(new.areas, whole.areas) and np.allclose(new.weights, whole.weights, atol=1e-3)
+        lexicon = new
+        if same:
+            break
     return lexicon
 
 
-#: Votes of each labelling function, and how likely they are first thought to be if the area holds and if not.
-FIRST = {
-    "lex": ([0.02, 0.33, 0.65], [0.90, 0.06, 0.04]),
-    "head": ([0.9, 0.1], [0.97, 0.03]),
-    "address": ([0.25, 0.5, 0.25], [0.35, 0.5, 0.15]),
-    "origin": ([0.33, 0.34, 0.33], [0.34, 0.33, 0.33]),
-    "human": ([0.9, 0.095, 0.005], [0.9, 0.005, 0.095]),
-}
-
-
-#: Share of areas that a document is about among those that some sentence names, as first thought,
-#: and the weight of all first guesses beside the data.
-PRIOR, ANCHOR = 0.75, 0.5
+#: Labelling functions and the number of their votes.
+LEX, HEAD, ADDRESS, ORIGIN, HUMAN = "lex", "head", "address", "origin", "human"
+VOTES = {LEX: 4, HEAD: 3, ADDRESS: 4, ORIGIN: 4, HUMAN: 3}
 
 
-def fit_votes(table: pd.DataFrame, rounds: int = 50) -> pd.Series:
-    """Posterior of each row of a table of vote combinations (columns of FIRST, n).
+def fit_votes(table: pd.DataFrame, rounds: int = 100) -> pd.Series:
+    """Posterior of each row of a table of vote combinations (columns of VOTES, n).
 
     The functions are taken as independent given the truth; their accuracies and
-    the prior are learned without knowing it.
+    the prior are learned without knowing it.  All start from one guess, that
+    areas named by two sentences hold; no accuracy is given.
     """
-    given = {f: (np.array(a), np.array(b)) for f, (a, b) in FIRST.items()}
-    prior = PRIOR
     n = table["n"].to_numpy(float)
-    post = np.zeros(len(table))
+    post = (table[LEX].to_numpy(int) >= 2).astype(float)
     for _ in range(rounds):
-        yes, no = np.full(len(table), math.log(prior)), np.full(len(table), math.log(1 - prior))
-        for f, (a, b) in given.items():
+        held, rest = post * n, (1 - post) * n
+        yes = np.full(len(table), np.log(held.sum() + 1))
+        no = np.full(len(table), np.log(rest.sum() + 1))
+        for f, votes in VOTES.items():
             v = table[f].to_numpy(int)
-            yes, no = yes + np.log(a[v]), no + np.log(b[v])
-        post = 1 / (1 + np.exp(np.clip(no - yes, -500, 500)))
-        if not n.sum():
+            for side, mass in ((yes, held), (no, rest)):
+                share = np.bincount(v, mass, votes) + 1
+                side += np.log(share / share.sum())[v]
+        new = 1 / (1 + np.exp(np.clip(no - yes, -500, 500)))
+        moved = np.abs(new - post).max(initial=0.0)
+        post = new
+        if moved < 1e-9:
             break
-        hold = ANCHOR * n.sum()
-        prior = float(((post * n).sum() + hold * PRIOR) / (n.sum() + hold))
-        for f, (a, _) in list(given.items()):
-            v = table[f].to_numpy(int)
-            # the first guess keeps a weight: only pairs that some sentence names are
-            # seen, so that two classes would else not be told apart by sight alone
-            on = np.array(FIRST[f][0]) * hold * PRIOR + np.bincount(v, post * n, len(a))
-            off = np.array(FIRST[f][1]) * hold * (1 - PRIOR) + np.bincount(v, (1 - post) * n, len(a))
-            given[f] = on / on.sum(), off / off.sum()
     return pd.Series(post, index=table.index)
 
 
+def _level(others: Column, docs: Column, base: float) -> Column:
+    """How often other documents of a domain or source are of an area: hardly, as
+    most, more often, mostly."""
+    rate = (others + 2 * base) / (docs - 1 + 2)
+    return F.when(rate >= 0.5, 3).when(rate > 2 * base, 2).when(rate < 0.5 * base, 0).otherwise(1)
+
+
 def subject_posteriors(docs: DataFrame, areas: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_labelled: int = MAX_LABELLED, vocabulary: int = VOCABULARY) -> DataFrame:
-    """(doc_id, subject_area, votes, posterior) of every area that a sentence of a document names.
+    """(doc_id, subject_area, votes, posterior) of every area that some labelling function names.
 
     Null, empty and blank texts and rows without a doc_id give no row; labels of
     unknown areas are left out.
     """
-    names = sorted({r[0] for r in areas.select("subject_area").where("subject_area is not null").collect()})  # the areas in use: a fixed, short list
-    k = len(names)
+    rows = areas.where("subject_area is not null").groupBy("subject_area").agg(F.max("about") if "about" in areas.columns else F.lit("")).collect()  # the areas in use: a fixed, short list
+    known_areas = {r[0]: r[1] for r in sorted(rows)}
+    names, k = list(known_areas), len(known_areas)
     spark = docs.sparkSession
+    if not k:
+        return spark.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, subject_area string, votes int, posterior double")
     index = F.create_map(*[F.lit(x) for pair in zip(names, range(k)) for x in pair])
     marked = labels.where("doc_id is not null").select("doc_id", index[F.col("subject_area")].alias("a")).where("a is not null").distinct()
     human = marked.groupBy("doc_id").agg(F.sort_array(F.collect_set("a")).alias("labels")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    texts = docs.select("doc_id", "text", "sender_domain", "source").where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"(?U)\w"))
-    known = texts.join(broadcast_if_small(durable(human, "labels")), "doc_id", "left")
-    known = durable(known.withColumn("row_no", F.monotonically_increasing_id()), "known")
-    lexicon = learn_lexicon(known, names, rounds, vocabulary)
-    whole = lexicon if isinstance(lexicon, dict) else None
-
-    def vote(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = []
-            for doc, text, domain, source, given, own in zip(pdf["doc_id"], pdf["text"], pdf["sender_domain"], pdf["source"], pdf["labels"], pdf["own"]):
-                votes, head = area_counts(_sentences(text), _own(whole, own), k)
-                for a in np.nonzero(votes)[0]:
-                    human = 0 if given is None else 1 if a in given else 2
-                    out.append((doc, int(a), int(votes[a]), int(head == a), domain, source, human))
-            yield pd.DataFrame(out, columns=["doc_id", "a", "votes", "head", "sender_domain", "source", "human"])
-
-    cast = durable(_with_own(known, lexicon).mapInPandas(vote, "doc_id bigint, a int, votes int, head int, sender_domain string, source string, human int"), "votes")
-    strong = F.sum((F.col("votes") >= 2).cast("int"))
-    base = cast.groupBy("a").agg((strong / F.count(F.lit(1))).alias("base"))
-
-    def leaning(column: str, name: str) -> DataFrame:
-        """Whether documents of a domain or source are of an area less, as or more often than others."""
-        host = F.lower(F.trim(column))
-        rate = cast.groupBy(host.alias("key"), "a").agg(((strong + 2 * 0.5) / (F.count(F.lit(1)) + 2)).alias("rate"))
-        level = F.when(F.col("rate") > 1.25 * F.col("base"), 2).when(F.col("rate") < 0.8 * F.col("base"), 0).otherwise(1)
-        return rate.join(F.broadcast(base), "a").select("key", "a", level.alias(name))
-
-    rows = cast
-    for column, name in (("sender_domain", "address"), ("source", "origin")):
-        lean = broadcast_if_small(durable(leaning(column, name).where("key is not null"), name))
-        rows = rows.withColumn("key", F.lower(F.trim(column))).join(lean, ["key", "a"], "left").drop("key").fillna(1, [name])
-    rows = rows.withColumn("lex", F.least(F.col("votes") - 1, F.lit(2)))
-    kinds = list(FIRST)
-    table = rows.groupBy(*kinds).agg(F.count(F.lit(1)).alias("n")).toPandas()  # at most 3*2*3*3*3 combinations
+    host = lambda c: F.lower(F.trim(c))
+    texts = docs.select("doc_id", "text", host("sender_domain").alias(ADDRESS), host("source").alias(ORIGIN)).where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"(?U)\w"))
+    known = texts.join(broadcast_if_small(durable(human, "labels")), "doc_id", "left").withColumn("row_no", F.monotonically_increasing_id())
+    key = docs.schema["doc_id"].dataType.simpleString()
+    kept = f"doc_id {key}, {ADDRESS} string, {ORIGIN} string, labels array<int>, row_no bigint"
+    known = durable(known.select("doc_id", ADDRESS, ORIGIN, "labels", "row_no", "text").mapInArrow(_tokenise, f"{kept}, {_TOKENS}"), "tokens")
+    lexicon = learn_lexicon(known, known_areas, rounds, vocabulary)
+    whole = lexicon if isinstance(lexicon, Lexicon) else None
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _Batch(b, whole, k)
+            votes = _lists(x.votes.ravel(), np.full(b.num_rows, k), pa.int32())
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("doc_id", ADDRESS, ORIGIN, "labels")], votes, pa.array(x.heading, pa.int32())], names=["doc_id", ADDRESS, ORIGIN, "labels", "votes", HEAD])
+
+    cast = durable(_with_own(known, lexicon).mapInArrow(vote, f"doc_id {key}, {ADDRESS} string, {ORIGIN} string, labels array<int>, votes array<int>, {HEAD} int"), "votes")
+    strong = [F.sum((F.col("votes")[j] >= 2).cast("bigint")) for j in range(k)]
+    sums = cast.agg(F.count(F.lit(1)), *strong).first()
+    total = max(1, sums[0])
+    base = [((x or 0) + 1) / (total + 2) for x in sums[1:]]
+    each = F.transform("votes", lambda v: (v >= 2).cast("int"))
+    level = {}
+    rows = cast.withColumn("strong", each)
+    for f in (ADDRESS, ORIGIN):
+        sizes = durable(cast.where(F.col(f).isNotNull()).groupBy(f).agg(F.count(F.lit(1)).alias(f"n_{f}"), F.array(*strong).alias(f"s_{f}")), f)
+        rows = rows.join(broadcast_if_small(sizes), f, "left")
+        # a document does not speak for itself
+        level[f] = F.array(*[F.coalesce(F.when(F.col(f"n_{f}") > 1, _level(F.col(f"s_{f}")[j] - F.col("strong")[j], F.col(f"n_{f}"), base[j])), F.lit(1)) for j in range(k)])
+    pair = F.posexplode(F.arrays_zip("votes", level[ADDRESS].alias(ADDRESS), level[ORIGIN].alias(ORIGIN))).alias("a", "x")
+    says = F.when(F.col("labels").isNull(), 0).when(F.array_contains("labels", F.col("a")), 1).otherwise(2)
+    rows = rows.select("doc_id", "labels", HEAD, pair)
+    rows = rows.select("doc_id", "a", F.col("x.votes").alias("votes"), (F.col(HEAD) == F.col("a")).cast("int").alias(HEAD), F.col(f"x.{ADDRESS}").alias(ADDRESS), F.col(f"x.{ORIGIN}").alias(ORIGIN), says.alias(HUMAN))
+    # a heading that no other sentence bears out is a vote of its own kind
+    rows = rows.withColumn(LEX, F.least("votes", F.lit(3))).withColumn(HEAD, F.when((F.col(HEAD) == 1) & (F.col("votes") == 1), 2).otherwise(F.col(HEAD)))
+    table = rows.groupBy(*VOTES).agg(F.count(F.lit(1)).alias("n")).toPandas()  # at most 4*3*4*4*3 combinations
     table["posterior"] = fit_votes(table).to_numpy() if len(table) else []
-    schema = ", ".join(f"{f} int" for f in kinds) + ", posterior double"
-    posts = spark.createDataFrame([(*map(int, r[:-1]), float(r[-1])) for r in table[[*kinds, "posterior"]].itertuples(index=False, name=None)], schema)
-    area = F.element_at(F.array(*[F.lit(x) for x in names] or [F.lit(None).cast("string")]), F.col("a") + 1)
-    return rows.join(F.broadcast(posts), kinds).select("doc_id", area.alias("subject_area"), "votes", "posterior")
+    schema = ", ".join(f"{f} int" for f in VOTES) + ", posterior double"
+    posts = spark.createDataFrame([(*map(int, r[:-1]), float(r[-1])) for r in table[[*VOTES, "posterior"]].itertuples(index=False, name=None)], schema)
+    area = F.element_at(F.array(*[F.lit(x) for x in names]), F.col("a") + 1)
+    found = rows.join(F.broadcast(posts), list(VOTES)).where((F.col("votes") > 0) | (F.col("posterior") >= 0.5))
+    return found.select("doc_id", area.alias("subject_area"), "votes", "posterior")
 
 
 def document_areas(docs: DataFrame, areas: DataFrame, labels: DataFrame) -> DataFrame:
