@@ -15,6 +15,7 @@ read that table and work on arrays.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -23,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import broadcast_if_small, durable
@@ -103,14 +104,26 @@ class Lexicon(NamedTuple):
         return np.where(hit, self.areas[at], -1), np.where(hit, self.weights[at], 0.0)
 
 
-def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values, kind))
+def _pack(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Numbers of each row as bytes, which pass from Spark to Python as they are."""
+    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+
+
+def _unpack(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows, and how many each row has."""
+    if not len(column):
+        return np.empty(0, kind), np.empty(0, np.int64)
+    _, ends, data = column.cast(pa.binary()).buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1]
+    values = np.frombuffer(data, kind, (ends[-1] - ends[0]) // np.dtype(kind).itemsize, ends[0]) if data is not None and ends[-1] > ends[0] else np.empty(0, kind)
+    return values, np.diff(ends) // np.dtype(kind).itemsize
 
 
 def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds to each document ``lens`` (distinct words of each sentence), ``words``
-    (their hashes), ``places`` (sentences of the document that hold the word) and
-    ``head`` (whether the first sentence is short)."""
+    """Adds to each document, packed, ``lens`` (distinct words of each sentence),
+    ``words`` (their hashes, int64) and ``places`` (sentences of the document that
+    hold the word), and ``head`` (whether the first sentence is short)."""
     for b in batches:
         n = b.num_rows
         text = pc.replace_substring_regex(pc.fill_null(b.column("text"), ""), _ENDS, "\\1\n")
@@ -135,12 +148,12 @@ def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = per_doc > 0
         head[some] = said[full[first[some]]] <= HEADING
         in_doc = np.bincount(doc, minlength=n)
-        new = [_lists(lens, per_doc, pa.int32()), _lists(word_hash(words.to_pylist())[code], in_doc, pa.int64()), _lists(times[at], in_doc, pa.int32()), pa.array(head)]
+        new = [_pack(lens.astype(np.int32), per_doc), _pack(word_hash(words.to_pylist())[code], in_doc), _pack(times[at].astype(np.int32), in_doc), pa.array(head)]
         names = [c for c in b.schema.names if c != "text"]
         yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], *new], names=[*names, "lens", "words", "places", "head"])
 
 
-_TOKENS = "lens array<int>, words array<bigint>, places array<int>, head boolean"
+_TOKENS = "lens binary, words binary, places binary, head boolean"
 _OWN = "array<struct<w: bigint, a: int, weight: double>>"
 
 
@@ -148,8 +161,14 @@ def _with_own(docs: DataFrame, lexicon: Lexicon | DataFrame) -> DataFrame:
     """``docs`` with the entries for each text if the lexicon is a table; else null."""
     if isinstance(lexicon, Lexicon):
         return docs.withColumn("own", F.lit(None).cast(_OWN))
-    salt = F.pmod("row_no", F.lit(SALTS)).cast("int").alias("salt")
-    wanted = docs.select("row_no", salt, F.explode(F.array_distinct("words")).alias("w"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words, n = _unpack(b.column("words"), np.int64)
+            pairs = np.unique(np.stack([np.repeat(b.column("row_no").to_numpy(zero_copy_only=False), n), words], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 0] % SALTS, pa.int32()), pa.array(pairs[:, 1])], names=["row_no", "salt", "w"])
+
+    wanted = docs.select("row_no", "words").mapInArrow(run, "row_no bigint, salt int, w bigint")
     spread = lexicon.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     own = wanted.join(spread, ["w", "salt"]).groupBy("row_no").agg(F.collect_list(F.struct("w", "a", "weight")).alias("own"))
     return docs.join(own, "row_no", "left")
@@ -162,12 +181,10 @@ class _Batch:
         if lexicon is None:
             own = b.column("own").flatten()
             lexicon = Lexicon.of(*[own.field(c).to_numpy(zero_copy_only=False) for c in ("w", "a", "weight")])
-        lens = b.column("lens")
-        per_doc = lens.value_lengths().to_numpy(zero_copy_only=False)
-        size = lens.flatten().to_numpy(zero_copy_only=False)
+        size, per_doc = _unpack(b.column("lens"), np.int32)
         self.doc_of = np.repeat(np.arange(b.num_rows), per_doc)
         self.sent = np.repeat(np.arange(len(size)), size)
-        coded = b.column("words").flatten().dictionary_encode()
+        coded = pa.array(_unpack(b.column("words"), np.int64)[0]).dictionary_encode()
         self.code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         self.words = coded.dictionary.to_numpy(zero_copy_only=False)
         area, weight = lexicon.find(self.words)
@@ -200,7 +217,7 @@ def _word_shares(lexicon: Lexicon | None, k: int):
             total = share.sum(1, keepdims=True)
             share = np.divide(share, total, out=np.zeros_like(share), where=total > 0)
             doc, of, n = x.doc_of[x.sent], x.of[x.sent], len(x.words)
-            once = 1 / b.column("places").flatten().to_numpy(zero_copy_only=False)
+            once = 1 / _unpack(b.column("places"), np.int32)[0]
             # a word must not vouch for itself
             rest = x.best[x.sent] - np.where(x.area == of, x.weight, 0.0)
             own = (of >= 0) & (rest >= SENTENCE)
@@ -232,7 +249,7 @@ def _weights(sums: DataFrame, base: list[float], seeds: DataFrame) -> DataFrame:
 def learn_lexicon(docs: DataFrame, areas: dict[str, str], rounds: int = ROUNDS, vocabulary: int = VOCABULARY) -> Lexicon | DataFrame:
     """Area and weight of the words that mostly stand in documents of one area.
 
-    ``docs`` (lens, words, places, head, labels array<int>, row_no; durable).  Every round
+    ``docs`` (lens, words, places, head, labels array<int>, row_no; from ``_tokenise``, durable).  Every round
     reads all documents, until the lexicon no longer changes.  With more than
     ``vocabulary`` words the lexicon stays a table (w, a, weight).
     """
@@ -299,11 +316,33 @@ def fit_votes(table: pd.DataFrame, rounds: int = 100) -> pd.Series:
     return pd.Series(post, index=table.index)
 
 
-def _level(others: Column, docs: Column, base: float) -> Column:
-    """How often other documents of a domain or source are of an area: hardly, as
-    most, more often, mostly."""
-    rate = (others + 2 * base) / (docs - 1 + 2)
-    return F.when(rate >= 0.5, 3).when(rate > 2 * base, 2).when(rate < 0.5 * base, 0).otherwise(1)
+def _levels(strong: np.ndarray, docs: np.ndarray, sums: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """How often other documents of a domain or source are of each area: hardly (0),
+    as most (1), more often (2), mostly (3).  A document does not speak for itself."""
+    rate = (sums - strong + 2 * base) / (docs - 1 + 2)[:, None]
+    out = np.where(rate >= 0.5, 3, np.where(rate > 2 * base, 2, np.where(rate < 0.5 * base, 0, 1)))
+    return np.where((docs > 1)[:, None], out, 1)
+
+
+def _combinations(b: pa.RecordBatch, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each document and area: the number of its combination of votes, and the sentences."""
+    k, n = len(base), b.num_rows
+    votes = _unpack(b.column("votes"), np.int32)[0].reshape(n, k)
+    strong = (votes >= 2).astype(int)
+    head = (b.column(HEAD).to_numpy(zero_copy_only=False)[:, None] == np.arange(k)).astype(int)
+    labels = b.column("labels")
+    human = np.where(labels.is_valid().to_numpy(zero_copy_only=False), 2, 0)[:, None].repeat(k, 1)
+    human[np.repeat(np.arange(n), pc.fill_null(labels.value_lengths(), 0).to_numpy(zero_copy_only=False)), labels.flatten().to_numpy(zero_copy_only=False)] = 1
+    of = {LEX: np.minimum(votes, 3), HEAD: np.where((head == 1) & (votes == 1), 2, head), HUMAN: human}  # a heading that no other sentence bears out is a vote of its own kind
+    for f in (ADDRESS, ORIGIN):
+        docs = pc.fill_null(b.column(f"n_{f}"), 0).to_numpy(zero_copy_only=False)
+        sums = np.zeros((n, k), np.int64)
+        sums[docs > 0] = b.column(f"s_{f}").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+        of[f] = _levels(strong, docs, sums, base)
+    code = np.zeros((n, k), np.int64)
+    for f, size in VOTES.items():
+        code = code * size + of[f]
+    return code, votes
 
 
 def subject_posteriors(docs: DataFrame, areas: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_labelled: int = MAX_LABELLED, vocabulary: int = VOCABULARY) -> DataFrame:
@@ -333,35 +372,45 @@ def subject_posteriors(docs: DataFrame, areas: DataFrame, labels: DataFrame, rou
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _Batch(b, whole, k)
-            votes = _lists(x.votes.ravel(), np.full(b.num_rows, k), pa.int32())
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("doc_id", ADDRESS, ORIGIN, "labels")], votes, pa.array(x.heading, pa.int32())], names=["doc_id", ADDRESS, ORIGIN, "labels", "votes", HEAD])
-
-    cast = durable(_with_own(known, lexicon).mapInArrow(vote, f"doc_id {key}, {ADDRESS} string, {ORIGIN} string, labels array<int>, votes array<int>, {HEAD} int"), "votes")
-    strong = [F.sum((F.col("votes")[j] >= 2).cast("bigint")) for j in range(k)]
-    sums = cast.agg(F.count(F.lit(1)), *strong).first()
-    total = max(1, sums[0])
-    base = [((x or 0) + 1) / (total + 2) for x in sums[1:]]
-    each = F.transform("votes", lambda v: (v >= 2).cast("int"))
-    level = {}
-    rows = cast.withColumn("strong", each)
+            strong = (x.votes >= 2).astype(np.int32)
+            flags = [pa.array(strong[:, j]) for j in range(k)]
+            packed = _pack(x.votes.astype(np.int32).ravel(), np.full(b.num_rows, k))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("doc_id", ADDRESS, ORIGIN, "labels")], packed, pa.array(x.heading, pa.int32()), *flags], names=["doc_id", ADDRESS, ORIGIN, "labels", "votes", HEAD, *areas_of])
+
+    areas_of = [f"strong{j}" for j in range(k)]
+    schema = f"doc_id {key}, {ADDRESS} string, {ORIGIN} string, labels array<int>, votes binary, {HEAD} int, " + ", ".join(f"{c} int" for c in areas_of)
+    cast = durable(_with_own(known, lexicon).mapInArrow(vote, schema), "votes")
+    strong = [F.sum(c) for c in areas_of]
+    total, *sums = cast.agg(F.count(F.lit(1)), *strong).first()
+    base = (np.array([x or 0 for x in sums]) + 1) / (total + 2)
+    rows = cast.drop(*areas_of)
     for f in (ADDRESS, ORIGIN):
         sizes = durable(cast.where(F.col(f).isNotNull()).groupBy(f).agg(F.count(F.lit(1)).alias(f"n_{f}"), F.array(*strong).alias(f"s_{f}")), f)
         rows = rows.join(broadcast_if_small(sizes), f, "left")
-        # a document does not speak for itself
-        level[f] = F.array(*[F.coalesce(F.when(F.col(f"n_{f}") > 1, _level(F.col(f"s_{f}")[j] - F.col("strong")[j], F.col(f"n_{f}"), base[j])), F.lit(1)) for j in range(k)])
-    pair = F.posexplode(F.arrays_zip("votes", level[ADDRESS].alias(ADDRESS), level[ORIGIN].alias(ORIGIN))).alias("a", "x")
-    says = F.when(F.col("labels").isNull(), 0).when(F.array_contains("labels", F.col("a")), 1).otherwise(2)
-    rows = rows.select("doc_id", "labels", HEAD, pair)
-    rows = rows.select("doc_id", "a", F.col("x.votes").alias("votes"), (F.col(HEAD) == F.col("a")).cast("int").alias(HEAD), F.col(f"x.{ADDRESS}").alias(ADDRESS), F.col(f"x.{ORIGIN}").alias(ORIGIN), says.alias(HUMAN))
-    # a heading that no other sentence bears out is a vote of its own kind
-    rows = rows.withColumn(LEX, F.least("votes", F.lit(3))).withColumn(HEAD, F.when((F.col(HEAD) == 1) & (F.col("votes") == 1), 2).otherwise(F.col(HEAD)))
-    table = rows.groupBy(*VOTES).agg(F.count(F.lit(1)).alias("n")).toPandas()  # at most 4*3*4*4*3 combinations
-    table["posterior"] = fit_votes(table).to_numpy() if len(table) else []
-    schema = ", ".join(f"{f} int" for f in VOTES) + ", posterior double"
-    posts = spark.createDataFrame([(*map(int, r[:-1]), float(r[-1])) for r in table[[*VOTES, "posterior"]].itertuples(index=False, name=None)], schema)
+    rows = rows.select("doc_id", "labels", "votes", HEAD, *[f"{x}_{f}" for f in (ADDRESS, ORIGIN) for x in "ns"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = np.zeros(math.prod(VOTES.values()), np.int64)
+        for b in batches:
+            got += np.bincount(_combinations(b, base)[0].ravel(), minlength=len(got))
+        seen = np.nonzero(got)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(got[seen])], names=["code", "n"])
+
+    table = rows.mapInArrow(count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toPandas()  # at most 4*3*4*4*3 combinations
+    rest = table["code"].to_numpy(np.int64)
+    for f, size in reversed(VOTES.items()):
+        table[f], rest = rest % size, rest // size
+    posterior = np.zeros(math.prod(VOTES.values()))
+    posterior[table["code"].to_numpy(np.int64)] = fit_votes(table).to_numpy()
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            code, votes = _combinations(b, base)
+            doc, a = np.nonzero((votes > 0) | (posterior[code] >= 0.5))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(doc)), pa.array(a, pa.int32()), pa.array(votes[doc, a]), pa.array(posterior[code[doc, a]])], names=["doc_id", "a", "votes", "posterior"])
+
     area = F.element_at(F.array(*[F.lit(x) for x in names]), F.col("a") + 1)
-    found = rows.join(F.broadcast(posts), list(VOTES)).where((F.col("votes") > 0) | (F.col("posterior") >= 0.5))
-    return found.select("doc_id", area.alias("subject_area"), "votes", "posterior")
+    return rows.mapInArrow(assign, f"doc_id {key}, a int, votes int, posterior double").select("doc_id", area.alias("subject_area"), "votes", "posterior")
 
 
 def document_areas(docs: DataFrame, areas: DataFrame, labels: DataFrame) -> DataFrame:

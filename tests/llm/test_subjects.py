@@ -1,3 +1,4 @@
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -56,12 +57,13 @@ def test_tokens(spark):
     names = dict(zip(subjects.word_hash(w := ["one", "two", "three", "four", "ünïcode"]).tolist(), w))
     r = rows[1]
     said, at = [], 0
-    for n in r["lens"]:
-        said.append({names[h] for h in r["words"][at : at + n]})
+    words, lens, places = (np.frombuffer(r[c], kind).tolist() for c, kind in (("words", np.int64), ("lens", np.int32), ("places", np.int32)))
+    for n in lens:
+        said.append({names[h] for h in words[at : at + n]})
         at += n
     assert said == [{"one", "two"}, {"two", "three"}, {"four"}, {"two", "ünïcode"}]
-    assert [p for h, p in zip(r["words"], r["places"]) if names[h] == "two"] == [3, 3, 3] and r["head"]
-    assert rows[2]["lens"] == [] and rows[3]["words"] == [] and not rows[3]["head"]
+    assert [p for h, p in zip(words, places) if names[h] == "two"] == [3, 3, 3] and r["head"]
+    assert rows[2]["lens"] == b"" and rows[3]["words"] == b"" and not rows[3]["head"]
 
 
 def test_no_areas_and_no_texts(spark):
