@@ -6,9 +6,11 @@ which gives its Voronoi region.  Two documents within distance ``1 - t`` of
 each other are, by the overlap that the distance bound forces, both inside the
 window of their first common pivot, so each document is replicated to exactly
 the regions of its window (``n - ceil(t n) + 1`` rarest pivots).  A region whose
-pivot is common is joined recursively: its members move on to regions of pivot
-pairs with a window one wider.  What is still large is split into blocks, each
-pair of blocks being joined once.  Within a region, triangle-inequality windows
+pivot is common is joined recursively: its members are counted, and where they
+are too many they move on to regions of one pivot more with a window one wider.
+Documents that may share no further word with a partner are joined where they
+are; what is still large is split into blocks, each pair of blocks being joined
+once.  Within a region, triangle-inequality windows
 in the symmetric-difference metric discard pairs: the distance to the empty
 set (sizes), to the pivot's position, and to 256 parity pivots (signatures).
 Survivors are verified on the whole sets, so the result is exact.
@@ -31,11 +33,12 @@ from pyspark.sql import functions as F
 from ..runtime import broadcast_if_small, durable
 
 WORD = r"([\p{L}\p{N}]+)"
-#: Words at least this common are ranked by frequency; at most MAX_RANKED exist.
+#: Frequencies of at most this many words go to every task; those of rarer words are joined.
 MAX_RANKED = 200_000
-#: A pivot in more documents than this hands its region on to pivot pairs.
+#: A region of more documents than this hands them on to regions of one pivot more.
 MAX_REGION = 60_000
-#: Regions of pivot pairs estimated above this are split into blocks.
+#: Pivots that a region has at most; larger regions are split into blocks.
+DEPTH = 4
 BLOCK = 30_000
 #: Documents whose replicas one task of the region join takes, on average.
 DOCS_A_TASK = 20_000
@@ -137,71 +140,71 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(27))
 
 
-def _replicas(texts: list[str], t: float, min_words: int, hashes: np.ndarray, freqs: np.ndarray, max_region: int, block: int):
-    """mapInArrow function: documents -> their replicas, one row a region."""
+class _Ordered:
+    """Word sets of a batch, the rarest word first; sets that are too small are left out."""
 
-    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def __init__(self, batch: pa.RecordBatch, texts: list[str], t: float, min_words: int, hashes: np.ndarray, freqs: np.ndarray) -> None:
         ids = batch.column("id").to_numpy(zero_copy_only=False)
         flags = batch.column("flags").to_numpy(zero_copy_only=False).astype(np.int64)
         doc, code, words = _batch_words(batch, texts)
         signed = words.view(np.int64)
-        of = np.zeros(len(words), np.int64)
-        if len(hashes) and len(words):
-            at = np.minimum(np.searchsorted(hashes, signed), len(hashes) - 1)
-            of = np.where(hashes[at] == signed, freqs[at], 0)
-        order = np.lexsort((signed, of))  # rare words first
+        of = np.ones(len(words), np.int64)  # every word that is not counted stands in one document
+        counts = [(hashes, freqs)]
+        if "own" in batch.schema.names:
+            own = batch.column("own").flatten()
+            h, at = np.unique(own.field("h").to_numpy(zero_copy_only=False), return_index=True)
+            counts.append((h, own.field("c").to_numpy(zero_copy_only=False)[at]))
+        for h, c in counts:
+            if len(h) and len(words):
+                at = np.minimum(np.searchsorted(h, signed), len(h) - 1)
+                of = np.where(h[at] == signed, c[at], of)
+        order = np.lexsort((signed, of))
         back = np.empty_like(order)
         back[order] = np.arange(len(order))
         doc, rank = _distinct(doc, back[code], len(words))
         n = np.bincount(doc, minlength=len(ids))
-        enough = n >= min_words
+        enough = n >= max(1, min_words)
         keep = enough[doc]
         new = np.cumsum(enough) - 1
-        doc, rank, n, ids, flags = new[doc[keep]], rank[keep], n[enough], ids[enough], flags[enough]
-        flat, freq = signed[order][rank], of[order][rank]
-        start = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64) if len(n) else np.empty(0, np.int64)
-        pos = np.arange(len(flat)) - np.repeat(start, n)
+        self.doc, rank = new[doc[keep]], rank[keep]
+        self.n, self.ids, self.flags = n[enough], ids[enough], flags[enough]
+        self.flat, self.freq = signed[order][rank], of[order][rank]
+        n = self.n
+        self.start = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64) if len(n) else np.empty(0, np.int64)
+        self.pos = np.arange(len(self.flat)) - np.repeat(self.start, n)
         bits = _mix(words)
-        sig = []
+        self.sig = []
         for part in range(SIG):
             one = np.where((bits >> np.uint64(6)) % np.uint64(SIG) == part, np.uint64(1) << (bits & np.uint64(63)), np.uint64(0))
-            sig.append(np.bitwise_xor.reduceat(one[order][rank], start).view(np.int64) if len(n) else np.empty(0, np.int64))
-        probe = n - np.ceil(t * n - 1e-9).astype(np.int64) + 1
-        index = n - np.ceil(2 * t / (1 + t) * n - 1e-9).astype(np.int64) + 1
-        keep = pos < probe[doc]
-        hot = freq > max_region
+            self.sig.append(np.bitwise_xor.reduceat(one[order][rank], self.start).view(np.int64) if len(n) else np.empty(0, np.int64))
+        self.need = np.ceil(t * n - 1e-9).astype(np.int64)
+        self.probe = n - self.need + 1
+        self.index = n - np.ceil(2 * t / (1 + t) * n - 1e-9).astype(np.int64) + 1
+
+
+_SIGS = [f"s{k}" for k in range(SIG)]
+_REPLICA = "key bigint, id bigint, packed bigint, " + ", ".join(f"{c} bigint" for c in _SIGS)
+#: ``packed`` of a row that only says that its document has common pivots in its window.
+HOT = -1
+
+
+def _replicas(texts: list[str], t: float, min_words: int, hashes: np.ndarray, freqs: np.ndarray, max_region: int):
+    """mapInArrow function: documents -> their replicas, one row a region; a row
+    HOT more for each document whose window holds a pivot that may be too common."""
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x = _Ordered(batch, texts, t, min_words, hashes, freqs)
+        keep = x.pos < x.probe[x.doc]
+        hot = keep & (x.freq > max_region)
         one = np.nonzero(keep & ~hot)[0]
-        keys, docs, poss, in_index = [flat[one]], [doc[one]], [pos[one]], [pos[one] < index[doc[one]]]
-        sides = [np.full(len(one), 2)]
-        for i in np.nonzero(keep & hot)[0]:  # recursion: pivot pairs
-            d = doc[i]
-            last = min(start[d] + n[d], start[d] + probe[d] + 1)
-            j = np.arange(i + 1, last)
-            key = _mix(flat[i : i + 1].view(np.uint64) + _mix(flat[j].view(np.uint64))).view(np.int64)
-            inside = (pos[i] < index[d]) & (pos[j] < index[d] + 1)
-            several = np.maximum(1, np.ceil(np.minimum(freq[i], freq[j]) / block)).astype(np.int64)
-            for k, m, ok in zip(key, several, inside):
-                if m == 1:
-                    new = np.array([k])
-                    side = np.array([2])
-                else:  # blocks of the region: one replica for each pair of blocks
-                    own = int(_mix(np.array([ids[d]]).view(np.uint64))[0] % np.uint64(m))
-                    other = np.arange(m)
-                    low, high = np.minimum(own, other), np.maximum(own, other)
-                    new = _mix(np.uint64(int(k) & 0xFFFFFFFFFFFFFFFF) + _mix((low * m + high + 1).astype(np.uint64))).view(np.int64)
-                    side = np.where(other == own, 2, np.where(own < other, 0, 1))
-                keys.append(new)
-                docs.append(np.full(len(new), d))
-                poss.append(np.full(len(new), pos[i]))
-                in_index.append(np.full(len(new), ok))
-                sides.append(side)
-        d = np.concatenate(docs)
-        n_of, p = n[d], np.concatenate(poss)
-        packed = (n_of << 32) | (np.minimum(p, (1 << 24) - 1) << 8) | (flags[d] << 4) | (np.concatenate(sides) << 1) | np.concatenate(in_index)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(keys)), pa.array(ids[d]), pa.array(packed), *[pa.array(x[d]) for x in sig]],
-            names=["key", "id", "packed", *[f"s{k}" for k in range(SIG)]],
-        )
+        d, p = x.doc[one], x.pos[one]
+        packed = (x.n[d] << 32) | (np.minimum(p, (1 << 24) - 1) << 8) | (x.flags[d] << 4) | (2 << 1) | (p < x.index[d])
+        marked = np.unique(x.doc[hot])
+        ids = x.ids[marked]
+        key = np.concatenate([x.flat[one], _mix(ids.view(np.uint64)).view(np.int64)])
+        d = np.concatenate([d, marked])
+        packed = np.concatenate([packed, np.full(len(marked), HOT)])
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(x.ids[d]), pa.array(packed), *[pa.array(v[d]) for v in x.sig]], names=["key", "id", "packed", *_SIGS])
 
     def run(batches):
         for b in batches:
@@ -211,8 +214,65 @@ def _replicas(texts: list[str], t: float, min_words: int, hashes: np.ndarray, fr
     return run
 
 
+_WINDOW = "id bigint, flags int, n int, need int, probe int, idx int, w array<bigint>, c array<bigint>, " + ", ".join(f"{c} bigint" for c in _SIGS)
+
+
+def _windows(texts: list[str], t: float, min_words: int, hashes: np.ndarray, freqs: np.ndarray):
+    """mapInArrow function: documents -> the words of their widest window with their frequencies."""
+
+    def run(batches):
+        for b in batches:
+            x = _Ordered(b, texts, t, min_words, hashes, freqs)
+            keep = x.pos < (x.probe + DEPTH - 1)[x.doc]
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(x.doc[keep], minlength=len(x.ids)))]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(v[keep])) for v in (x.flat, x.freq)]
+            numbers = [pa.array(v.astype(np.int32)) for v in (x.flags, x.n, x.need, x.probe, x.index)]
+            yield pa.RecordBatch.from_arrays([pa.array(x.ids), *numbers, *lists, *[pa.array(v) for v in x.sig]], names=["id", "flags", "n", "need", "probe", "idx", "w", "c", *_SIGS])
+
+    return run
+
+
+def _recursive_replicas(windows: DataFrame, max_region: int, block: int) -> DataFrame:
+    """Replicas for the common pivots of ``windows`` (durable).
+
+    Level by level the members of each region are counted.  A region of at most
+    ``max_region`` is done; of a larger one the members go on, each with every
+    later word of its window, and stay only if a partner may share no more words
+    than the region has pivots.
+    """
+    same = ["id", "flags", "n", "need", "probe", "idx", "w", *_SIGS]
+    first = F.posexplode(F.slice("c", F.lit(1), F.col("probe"))).alias("pos", "freq")
+    rows = windows.select(*same, first).where(F.col("freq") > max_region)
+    rows = rows.select(*same, "pos", F.col("w")[F.col("pos")].alias("key"), (F.col("pos") < F.col("idx")).alias("inside"))
+    done = None
+    for level in range(1, DEPTH + 1):
+        rows = durable(rows, "hot_rows")
+        stays = F.lit(True) if level == DEPTH else F.col("need") <= level
+        counts = durable(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.count_if(stays).alias("stay")), "hot_counts")
+        large = broadcast_if_small(counts.where(F.col("c") > max_region).select("key", F.greatest(F.lit(1), F.ceil(F.col("stay") / block)).cast("int").alias("m")))
+        sized = rows.join(large, "key", "left")
+        pos = F.greatest(F.lit(0), F.col("pos") - (level - 1)).alias("pos")  # the pivots before stand for its words
+        final = sized.where(F.col("m").isNull() | stays).select("key", "id", "n", pos, "flags", "inside", F.coalesce("m", F.lit(1)).alias("m"), *_SIGS)
+        done = final if done is None else done.unionByName(final)
+        if level == DEPTH or counts.where(F.col("c") > max_region).isEmpty():
+            break
+        last = F.least(F.col("n"), F.col("probe") + level) - 1
+        on = sized.where(F.col("m").isNotNull() & (F.col("pos") < last)).select(*same, "key", "inside", F.explode(F.sequence(F.col("pos") + 1, last)).alias("pos"))
+        rows = on.select(*same, "pos", F.xxhash64("key", F.col("w")[F.col("pos")]).alias("key"), (F.col("inside") & (F.col("pos") < F.col("idx") + level)).alias("inside"))
+    own = F.pmod(F.xxhash64("id"), F.col("m")).cast("int")
+    blocks = done.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    key = F.when(F.col("m") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    packed = F.shiftleft(F.col("n").cast("bigint"), 32) + F.least("pos", F.lit((1 << 24) - 1)) * 256 + F.col("flags") * 16 + side * 2 + F.col("inside").cast("int")
+    return blocks.select(key.alias("key"), "id", packed.cast("bigint").alias("packed"), *_SIGS)
+
+
 def _region_pairs(t: float, bipartite: bool):
-    """mapInArrow function over rows sorted by key and size: candidate pairs."""
+    """mapInArrow function over rows sorted by key and size: candidate pairs (a, b);
+    rows HOT come out with their id as a and no b."""
+
+    def marks(ids):
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(len(ids), pa.int64())], names=["a", "b"])
 
     def pairs(key, ids, packed, *sigs):
         n = packed >> 32
@@ -253,10 +313,14 @@ def _region_pairs(t: float, bipartite: bool):
         return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], names=["a", "b"])
 
     def run(batches):
-        names = ["key", "id", "packed", *[f"s{k}" for k in range(SIG)]]
+        names = ["key", "id", "packed", *_SIGS]
         held = [np.empty(0, np.int64) for _ in names]
         for batch in batches:
             new = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            hot = new[2] == HOT
+            if hot.any():
+                yield marks(new[1][hot])
+                new = [x[~hot] for x in new]
             held = [np.concatenate([x, y]) for x, y in zip(held, new)]
             if len(held[0]) < 200_000:
                 continue
@@ -271,15 +335,34 @@ def _region_pairs(t: float, bipartite: bool):
     return run
 
 
-def _word_frequencies(profile: DataFrame, n_words: int, max_ranked: int):
-    """Hashes and document counts of the common words, sorted by hash.
+def _unranked(texts: list[str], hashes: np.ndarray):
+    """mapInArrow function: (id, h) of each distinct word of a document that isn't ranked."""
 
-    The counts of all words sum up to ``n_words``, hence at most ``max_ranked``
-    reach the threshold: what comes to the driver is bounded at any input.
+    def run(batches):
+        for b in batches:
+            doc, code, words = _batch_words(b, texts)
+            signed = words.view(np.int64)
+            rest = ~np.isin(signed, hashes)[code] if len(hashes) else np.ones(len(code), bool)
+            doc, code = _distinct(doc[rest], code[rest], len(words))
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(doc)), pa.array(signed[code])], names=["id", "h"])
+
+    return run
+
+
+def _word_frequencies(profile: DataFrame, n_words: int, max_ranked: int) -> tuple[tuple[np.ndarray, np.ndarray], DataFrame | None]:
+    """Document counts of the words in more than one document.
+
+    Returns those that go to every task (hashes ascending, counts) and, if there
+    are more than ``max_ranked`` words, the others as a table (h, c).  All counts
+    sum up to ``n_words``, hence at most ``max_ranked`` reach the threshold: what
+    comes to the driver is bounded at any input, and no word of the table is in
+    more than ``n_words / max_ranked`` documents.
     """
-    least = max(2, math.ceil(n_words / max_ranked))
-    got = profile.where("kind = 1").groupBy("id").agg(F.sum("n").alias("c")).where(F.col("c") >= least).toArrow().sort_by("id")
-    return got["id"].to_numpy().astype(np.int64), got["c"].to_numpy().astype(np.int64)
+    counts = durable(profile.where("kind = 1").groupBy(F.col("id").alias("h")).agg(F.sum("n").alias("c")).where("c > 1"), "word_counts")
+    least = 2 if counts.count() <= max_ranked else max(2, math.ceil(n_words / max_ranked))
+    got = counts.where(F.col("c") >= least).toArrow().sort_by("h")
+    rest = counts.where(F.col("c") < least) if least > 2 else None
+    return (got["h"].to_numpy().astype(np.int64), got["c"].to_numpy().astype(np.int64)), rest
 
 
 def similar_sets(
@@ -319,17 +402,28 @@ def similar_sets(
     members = keyed.select("id", "flags").join(broadcast_if_small(copies.select("id", "rep")), "id", "left").select("id", F.coalesce("rep", "id").alias("rep"), "flags")
 
     size = profile.where("kind = 0").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("words")).first()
-    ranked = _word_frequencies(profile, size["words"] or 0, max_ranked)
+    ranked, rest = _word_frequencies(profile, size["words"] or 0, max_ranked)
     reps = base.join(broadcast_if_small(copies.where("id <> rep").select("id")), "id", "left_anti")
     if bipartite:
         both = copies.where("id = rep").select("id", "all_flags")
         reps = reps.join(broadcast_if_small(both), "id", "left").withColumn("flags", F.coalesce("all_flags", "flags")).drop("all_flags")
-    schema = "key bigint, id bigint, packed bigint, " + ", ".join(f"s{k} bigint" for k in range(SIG))
-    replicas = reps.select("id", "flags", *texts).mapInArrow(_replicas(texts, threshold, min_words, *ranked, max_region, block), schema)
+    reps = reps.select("id", "flags", *texts)
+    if rest is not None:
+        own = reps.select("id", *texts).mapInArrow(_unranked(texts, ranked[0]), "id bigint, h bigint").join(rest, "h").groupBy("id").agg(F.collect_list(F.struct("h", "c")).alias("own"))
+        reps = durable(reps.join(own, "id", "left"), "reps")
     # a task holds the regions of about DOCS_A_TASK documents, however many there are
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size["docs"] / DOCS_A_TASK))
-    regions = replicas.repartition(tasks, "key").sortWithinPartitions("key", "packed")
-    found = durable(regions.mapInArrow(_region_pairs(threshold, bipartite), "a bigint, b bigint").distinct(), "candidates")
+
+    def joined(replicas: DataFrame) -> DataFrame:
+        regions = replicas.repartition(tasks, "key").sortWithinPartitions("key", "packed")
+        return durable(regions.mapInArrow(_region_pairs(threshold, bipartite), "a bigint, b bigint").distinct(), "candidates")
+
+    found = joined(reps.mapInArrow(_replicas(texts, threshold, min_words, *ranked, max_region), _REPLICA))
+    hot = found.where("b is null").select(F.col("a").alias("id"))
+    found = found.where("b is not null")
+    if not hot.isEmpty():
+        windows = reps.join(broadcast_if_small(hot), "id", "left_semi").mapInArrow(_windows(texts, threshold, min_words, *ranked), _WINDOW)
+        found = found.unionByName(joined(_recursive_replicas(durable(windows, "windows"), max_region, block))).distinct()
 
     ids = durable(found.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidate_ids")
     held = durable(base.join(broadcast_if_small(ids), "id", "left_semi").select("id", *texts).mapInArrow(_hashed(texts), "id bigint, h array<bigint>"), "candidate_sets")

@@ -31,7 +31,9 @@ _OVERLAP = f"""{_HELD}, {_words("coalesce(body, '')", 'e', 15)},
   q as (select t, o from p where c >= 0.8 * (na + nb - c) - 1e-9)"""
 
 P3 = f"with {_OVERLAP} select least(t, o) as record_a, greatest(t, o) as record_b from q"
-P3_REPORT = f"with {_OVERLAP} select split, source, count(*) as pairs, count(distinct o) as eval_records from q join e on q.o = e.record_id group by split, source"
+_CANON = "trim(regexp_replace(lower(coalesce({0}.body, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+P3_REPORT = f"""with {_OVERLAP} select o.split, o.source, count(*) as pairs, count_if({_CANON.format('t')} = {_CANON.format('o')}) as exact_pairs, count(distinct o.record_id) as eval_records
+  from q join e o on q.o = o.record_id join e t on q.t = t.record_id group by o.split, o.source"""
 
 _DOMAIN = "case when regexp_matches(lower(trim({0})), '^[\\w.-]+$') and len(list_filter(string_split(lower(trim({0})), '.'), lambda x: x <> '')) >= 2 then array_to_string(list_slice(list_filter(string_split(lower(trim({0})), '.'), lambda x: x <> ''), -2, -1), '.') end"
 

@@ -50,6 +50,27 @@ def test_pairs_equal_brute_force(spark, knobs, threshold):
     assert got == brute(rows, threshold, 5)
 
 
+@pytest.mark.parametrize("knobs", [{"max_ranked": 1, "max_region": 2, "block": 3}, {"max_region": 1, "block": 1}, {"max_ranked": 1}])
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.9])
+def test_small_sets_and_low_thresholds(spark, knobs, threshold):
+    """Sets that share a single word are found in regions of any size."""
+    rnd = random.Random(11)
+    rows = [(k, None, " ".join(rnd.choices(list("abcdefghij"), k=rnd.randint(0, 7)))) for k in range(120)] + [(500, "x", None), (501, "x y", None), (502, "x", "z")]
+    members, pairs = setjoin.similar_sets(spark.createDataFrame(rows, SCHEMA), "record_id", ["subject", "body"], threshold, 1, **knobs)
+    got = {(r["x"], r["y"]) for r in neardup.expand_pairs(members, pairs).collect()}
+    assert got == brute(rows, threshold, 1)
+
+
+def test_skewed_pivots_enter_the_recursion(spark):
+    """A third of the records share their common words; regions are counted, not estimated."""
+    rnd = random.Random(3)
+    common = [f"c{k}" for k in range(12)]
+    rows = [(k, None, " ".join(rnd.sample(common, 10) + [f"r{rnd.randint(0, 40)}" for _ in range(2)])) for k in range(150)]
+    rows += [(1000 + k, None, " ".join(f"u{rnd.randint(0, 900)}" for _ in range(12))) for k in range(300)]
+    members, pairs = setjoin.similar_sets(spark.createDataFrame(rows, SCHEMA), "record_id", ["body"], 0.6, 5, max_region=20, block=10)
+    assert {(r["x"], r["y"]) for r in neardup.expand_pairs(members, pairs).collect()} == brute([(k, None, b) for k, _, b in rows], 0.6, 5)
+
+
 def test_classes(spark):
     rows = corpus()
     got = {r["record_id"]: (r["class_id"], r["n_links"]) for r in neardup.near_duplicate_classes(spark.createDataFrame(rows, SCHEMA), "record_id", ["subject", "body"], 0.7, 5).collect()}
