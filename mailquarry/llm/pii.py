@@ -13,6 +13,7 @@ own and are found by it.
 from __future__ import annotations
 
 import re
+import string
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -22,12 +23,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import durable
+from ..runtime import broadcast_if_small, durable
 
 ROUNDS = 3
 ACCEPT = 0.5
 #: Lexicons of at most LEXICON entries go to every task as a whole; of larger ones each text gets its own entries.
 LEXICON = 200_000
+#: Nodes of the graph with more than HOT edges are split over SALTS parts where they are joined.
+HOT, SALTS = 100_000, 64
 KINDS = ("email", "phone", "id_number", "address", "name")
 
 _U = "[A-ZÀ-ÖØ-ÞĀĄĆČĎĐĒĘĚĞĢĪİĶŁĽŃŇŌŐŒŘŚŞŠŤŪŮŰŹŻŽА-ЯЁ]"
@@ -71,10 +74,14 @@ def _joined(text: str, at: int, step: int) -> bool:
     return c in "’'-" and 0 <= at + step < len(text) and text[at + step].isalpha()
 
 
+#: What may follow a word: the blanks and marks at which short street words end.
+_MARKS = " \t\n\r\v\f\0\u00a0\u2028\u2029" + "".join(c for c in string.punctuation if c != "_") + "“”„‘’‚«»‹›…–—·•"
+
+
 def _address_cues() -> list[str]:
     """Texts without which no street address can stand in a text."""
     words = STREETS.split("|")
-    short = [f" {w}{mark}" for w in words if len(w) < 4 for mark in (" ", ",", ".", ";", ")", "\n", "\r", "\0")]
+    short = [f" {w}{mark}" for w in words if len(w) < 4 for mark in _MARKS]
     french = ["rue ", "avenue ", "boulevard ", "place ", "allée ", "chemin ", "impasse ", "quai "]
     german = [f"{w} " for w in "weg straße strasse str. gasse platz allee ring damm ufer Straße Weg Platz Allee".split()]
     others = ["Calle ", "Avenida ", "Plaza ", "Rua ", "Praça ", "Travessa ", "ul. ", "al. ", "ул. ", "пр. "]
@@ -159,24 +166,50 @@ def sightings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["kind", "pattern", "instance", "n"])
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Scores of instances: (instance, score, n).
+def _salts(edges: DataFrame, node: str, other: str, hot: int) -> tuple[DataFrame, DataFrame | None]:
+    """``edges`` with a salt for the joins on ``node``: 0, but of several values for
+    nodes of more than ``hot`` edges; and those nodes (at most 1/``hot`` of the edges)."""
+    many = durable(edges.groupBy("graph", node).agg(F.count(F.lit(1)).alias("degree")).where(F.col("degree") > hot).select("graph", node), "hot_nodes")
+    if many.isEmpty():
+        return edges.withColumn(f"salt_{node}", F.lit(0)), None
+    marked = edges.join(F.broadcast(many.withColumn("hot", F.lit(True))), ["graph", node], "left")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")).otherwise(0)
+    return marked.withColumn(f"salt_{node}", salt).drop("hot"), many
+
+
+def _spread(scores: DataFrame, node: str, many: DataFrame | None) -> DataFrame:
+    """Scores of nodes with the salts that their edges have."""
+    if many is None:
+        return scores.withColumn(f"salt_{node}", F.lit(0))
+    marked = scores.join(F.broadcast(many.withColumn("hot", F.lit(True))), ["graph", node], "left")
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return marked.withColumn(f"salt_{node}", F.explode(salts)).drop("hot")
 
-    ``edges`` (pattern, instance, n); ``seeds`` (side, node, score) hold fixed
-    scores of patterns and instances.  A score is the mean over the neighbours,
-    weighted by the edges, shrunk towards 0 by one unseen neighbour.
+
+def propagate(edges: DataFrame, fixed_i: DataFrame, fixed_p: DataFrame, rounds: int = ROUNDS, hot: int = HOT) -> DataFrame:
+    """Scores of instances: (graph, instance, a, b).
+
+    ``edges`` (graph, pattern, instance, n) hold several graphs at once, on which
+    two scores a and b spread.  ``fixed_i`` (graph, instance, a, b) and ``fixed_p`` (graph,
+    pattern, a, b) hold fixed scores, null where a score is free.  A score is the
+    mean over the neighbours, weighted by the edges, shrunk towards 0 by one
+    unseen neighbour.  Nodes of many edges are split in the joins and summed
+    before the shuffle in the aggregates.
     """
-    fixed_i = seeds.where("side = 'i'").select(F.col("node").alias("instance"), F.col("score").alias("fixed"))
-    fixed_p = seeds.where("side = 'p'").select(F.col("node").alias("pattern"), F.col("score").alias("fixed"))
-    scores = fixed_i.select("instance", F.col("fixed").alias("score"))
-    for k in range(rounds):
-        known = edges.join(scores, "instance", "left").select("pattern", "n", F.coalesce("score", F.lit(0.0)).alias("s"))
-        patterns = known.groupBy("pattern").agg((F.sum(F.col("n") * F.col("s")) / (F.sum("n") + 1)).alias("s"))
-        patterns = patterns.join(fixed_p, "pattern", "left").select("pattern", F.coalesce("fixed", "s").alias("s"))
-        found = edges.join(patterns, "pattern").groupBy("instance").agg((F.sum(F.col("n") * F.col("s")) / (F.sum("n") + 1)).alias("s"))
-        scores = durable(found.join(fixed_i, "instance", "left").select("instance", F.coalesce("fixed", "s").alias("score")), "scores")
-    weight = edges.groupBy("instance").agg(F.sum("n").alias("n"))
-    return scores.join(weight, "instance", "left").select("instance", "score", F.coalesce("n", F.lit(1)).alias("n"))
+    marked, hot_i = _salts(edges, "instance", "pattern", hot)
+    marked, hot_p = _salts(marked, "pattern", "instance", hot)
+    marked = durable(marked, "edges")
+
+    def step(scores: DataFrame, of: str, to: str, many: DataFrame | None, fixed: DataFrame) -> DataFrame:
+        known = marked.join(_spread(scores, of, many), ["graph", of, f"salt_{of}"], "left")
+        sums = known.groupBy("graph", to).agg(*[(F.sum(F.col("n") * F.coalesce(c, F.lit(0.0))) / (F.sum("n") + 1)).alias(f"_{c}") for c in "ab"])
+        return sums.join(fixed, ["graph", to], "left").select("graph", to, *[F.coalesce(c, f"_{c}").alias(c) for c in "ab"])
+
+    scores = fixed_i
+    for _ in range(rounds):
+        patterns = step(scores, "instance", "pattern", hot_i, fixed_p)
+        scores = durable(step(patterns, "pattern", "instance", hot_p, fixed_i), "scores")
+    return scores
 
 
 class Lexicons(NamedTuple):
@@ -207,33 +240,31 @@ def learn(emails: DataFrame, rounds: int = ROUNDS, lexicon: int = LEXICON) -> Le
     raw = headers.unionByName(texts).mapInPandas(sightings, "kind string, pattern string, instance string, n bigint")
     seen = durable(raw.groupBy("kind", "pattern", "instance").agg(F.sum("n").alias("n")), "sightings")
 
-    name_edges = seen.where("kind = 'name'").select("pattern", "instance", "n")
+    edges = seen.where("kind in ('name', 'number')").select(F.col("kind").alias("graph"), "pattern", "instance", "n")
     roles = seen.where("kind = 'role'").select("instance").distinct()
-    people = seen.where("kind = 'seed'").select("instance").distinct().join(roles, "instance", "left_anti").withColumn("score", F.lit(1.0))
-    given_seeds = people.unionByName(roles.withColumn("score", F.lit(0.0))).select(F.lit("i").alias("side"), F.col("instance").alias("node"), "score")
-    given_scores = durable(propagate(name_edges, given_seeds, rounds), "given")
+    people = durable(seen.where("kind = 'seed'").select("instance").distinct().join(roles, "instance", "left_anti"), "people")
+    none = F.lit(None).cast("double")
+    given_seeds = people.withColumn("a", F.lit(1.0)).unionByName(roles.withColumn("a", F.lit(0.0))).select(F.lit("name").alias("graph"), "instance", "a", none.alias("b"))
+    # of numbers a is the score as a phone, b as an identity number
+    plus = edges.where("graph = 'number'").where(F.col("instance").startswith("+")).select("graph", "instance").distinct().select("*", F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+    p = F.col("pattern")
+    phone, identity, other = (p.rlike(w.pattern) for w in (PHONE_WORDS, ID_WORDS, OTHER_WORDS))
+    words = edges.where("graph = 'number'").select("graph", "pattern").distinct()
+    words = words.select("*", F.when(phone, 1.0).when(identity | other, 0.0).alias("a"), F.when(identity, 1.0).when(phone | other, 0.0).alias("b")).where("a is not null or b is not null")
+    scores = propagate(edges, given_seeds.unionByName(plus), words, rounds)
     pairs = seen.where("kind = 'pair'").select(F.col("pattern").alias("instance"), F.col("instance").alias("second"), F.col("n").alias("m"))
     # a given name goes with many families, a set phrase with one; what sender headers confirm is a name
     phrase = pairs.groupBy("instance").agg(F.max("m").alias("most"), F.sum("m").alias("all")).where("all >= 6 and most > 0.5 * all").select("instance")
     phrase = phrase.join(people, "instance", "left_anti")
-    given = durable(given_scores.where(F.col("score") >= ACCEPT).select("instance", "n").join(phrase, "instance", "left_anti"), "given_names")
+    given = durable(scores.where((F.col("graph") == "name") & (F.col("a") >= ACCEPT)).select("instance").join(phrase, "instance", "left_anti"), "given_names")
 
-    marked = pairs.join(given.select("instance", F.lit(1).alias("g")), "instance", "left")
+    marked = pairs.join(broadcast_if_small(given.select("instance", F.lit(1).alias("g"))), "instance", "left")
     second = durable(marked.groupBy("second").agg(F.sum("m").alias("n"), (F.sum(F.col("m") * F.coalesce("g", F.lit(0))) / F.sum("m")).alias("share")), "second")
     families = second.where(F.col("share") >= ACCEPT)
 
-    number_edges = durable(seen.where("kind = 'number'").select("pattern", "instance", "n"), "number_edges")
-    scores = []
-    for kind, words, others in (("phone", PHONE_WORDS, ID_WORDS), ("id_number", ID_WORDS, PHONE_WORDS)):
-        p = F.col("pattern")
-        score = F.when(p.rlike(words.pattern), 1.0).when(p.rlike(others.pattern) | p.rlike(OTHER_WORDS.pattern), 0.0)
-        pattern_seeds = number_edges.select("pattern").distinct().select(F.lit("p").alias("side"), p.alias("node"), score.alias("score")).where("score is not null")
-        plus = number_edges.where(F.col("instance").startswith("+")).select("instance").distinct()
-        instance_seeds = plus.select(F.lit("i").alias("side"), F.col("instance").alias("node"), F.lit(1.0 if kind == "phone" else 0.0).alias("score"))
-        scores.append(propagate(number_edges, pattern_seeds.unionByName(instance_seeds), rounds).select("instance", F.col("score").alias(kind)))
-    shapes = scores[0].join(scores[1], "instance").withColumn("digits", F.length(F.regexp_replace("instance", "[^9]", "")))
-    phone = _single(durable(shapes.where("phone >= 0.4 and phone > id_number and digits >= 9").select("instance"), "phone"))
-    ids = _single(durable(shapes.where("id_number >= 0.4 and id_number > phone and digits >= 6").select("instance"), "id_number"))
+    shapes = scores.where("graph = 'number'").withColumn("digits", F.length(F.regexp_replace("instance", "[^9]", "")))
+    phone = _single(durable(shapes.where("a >= 0.4 and a > b and digits >= 9").select("instance"), "phone"))
+    ids = _single(durable(shapes.where("b >= 0.4 and b > a and digits >= 6").select("instance"), "id_number"))
     lists = {"given": given.select("instance"), "family": families.select("second"), "not_family": second.where(F.col("share") < ACCEPT).select("second"), "phone": phone, "id_number": ids}
     table = None
     for kind, df in lists.items():
@@ -282,8 +313,8 @@ class Finder:
         """Given names with the family name after or before them, then initials with one."""
         lex = self.lex
         lower = text.lower()
-        if len(lower) != len(text):
-            lower = text
+        if len(lower) != len(text):  # letter by letter, so that places stay
+            lower = "".join([c if len(c.lower()) != 1 else c.lower() for c in text])
         n, done = len(text), -1
         for last, length in self.given.iter(lower) if lex.given else ():
             s, e = last + 1 - length, last + 1
@@ -299,7 +330,10 @@ class Finder:
                     yield Mention(s, done, "name")
                     continue
             if text[s - 2 : s] == ", " and s >= 2:
-                m = _ENDING.search(text, max(0, s - 60), s - 2)
+                at = s - 2
+                while at > max(done, 0) and (text[at - 1].isalpha() or text[at - 1] in "’'-"):
+                    at -= 1
+                m = _ENDING.search(text, at, s - 2)
                 if m and m.start() >= done:
                     f = m[0].lower()
                     if self._family(f) and f not in lex.given:
@@ -315,7 +349,10 @@ class Finder:
         """Mailboxes around the sign (or word) that parts their halves."""
         done = 0
         for sign in _SIGN.finditer(text):
-            left = _LOCAL.search(text, max(done, sign.start() - 320), sign.start())
+            at = sign.start()
+            while at > done and (text[at - 1].isalnum() or text[at - 1] in "_.+%-"):
+                at -= 1
+            left = _LOCAL.search(text, at, sign.start())
             if left and (m := EMAIL.match(text, left.start())) and m.end() > sign.end():
                 done = m.end()
                 yield Mention(left.start(), done, "email")

@@ -34,7 +34,7 @@ from ..runtime import broadcast_if_small, durable
 
 WORD = r"([\p{L}\p{N}]+)"
 #: Frequencies of at most this many words go to every task; those of rarer words are joined.
-MAX_RANKED = 200_000
+MAX_RANKED = 500_000
 #: A region of more documents than this hands them on to regions of one pivot more.
 MAX_REGION = 60_000
 #: Pivots that a region has at most; larger regions are split into blocks.

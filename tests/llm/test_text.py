@@ -175,3 +175,27 @@ def test_lexicons_keep_what_is_rare(spark):
     assert got == want and (901, "body", "name", "bo quillon") in got and (900, "body", "phone", "0911-22-33-4455") in got
     want, got = (sorted(map(tuple, pii.redacted(df, lexicons=x).collect())) for x in (lex, table))
     assert got == want
+
+
+def test_hot_nodes_of_the_graph_are_split_with_the_same_scores(spark):
+    rnd = random.Random(4)
+    rows = {("name", rnd.choice("^$abcdef"), f"w{rnd.randint(0, 30)}"): rnd.randint(1, 5) for _ in range(200)}
+    edges = spark.createDataFrame([(*k, n) for k, n in rows.items()], "graph string, pattern string, instance string, n bigint")
+    fixed = "a double, b double"
+    of_i = spark.createDataFrame([("name", "w1", 1.0, None), ("name", "w2", 0.0, 1.0)], f"graph string, instance string, {fixed}")
+    of_p = spark.createDataFrame([("name", "b", None, 1.0)], f"graph string, pattern string, {fixed}")
+    plain, split = ({(r["instance"]): (round(r["a"], 9), round(r["b"], 9)) for r in pii.propagate(edges, of_i, of_p, 3, hot).collect()} for hot in (10**6, 2))
+    assert plain == split and plain["w1"][0] == 1.0 and len(plain) == len({k[2] for k in rows})
+
+
+def test_borders_of_identifiers():
+    lex = pii.Lexicons(frozenset(["ann", "i̇lkay"]), frozenset(["nilsen", "x" * 90]), frozenset(), frozenset(), frozenset())
+    finder = pii.Finder(lex)
+    found = lambda t: [(m.kind, t[m.start : m.end]) for m in finder.find(t)]
+    for mark in '?:"!\t/':
+        assert found(f"at 12 Oak St{mark}") == [("address", "12 Oak St")]
+    assert found("İ said ANN NILSEN") == [("name", "ANN NILSEN")]
+    long = "x" * 90
+    assert found(f"{long.capitalize()}, Ann") == [("name", f"{long.capitalize()}, Ann")]
+    local = "a" * 400
+    assert found(f"to {local}@host.test now") == [("email", f"{local}@host.test")]
