@@ -32,16 +32,46 @@ def test_long_words_stream(pair, word):
     assert t.encode(word) == public.encode_ordinary(word)
 
 
-def test_memory_is_bounded(pair):
-    t, _ = pair
-    window = []
-    real = t._settle
+@pytest.mark.parametrize("word", [b"abcde", b"a", b"=-", b" ", b"aab", bytes(random.Random(2).choices(b"aeirnt", k=997)), "\u00df\u20ac".encode()])
+def test_memory_is_bounded(pair, word):
+    t, public = pair
+    held, real = [], t._path
     try:
-        t._settle = lambda w, last: (window.append(len(w)), real(w, last))[1]
-        list(t.stream(b"abcde" * 200 for _ in range(50)))
+        t._path = lambda last, end: (held.append(end), real(last, end))[1]
+        got = list(t.stream(word * 20 for _ in range(120_000 // len(word) // 20)))
     finally:
-        del t._settle
-    assert window and max(window) <= 4 * t.lookahead + 1
+        del t._path
+    assert max(held) <= t.limit == t.lookahead + t.longest + tokens.CHUNK and t.lookahead < 400
+    assert b"".join(t.bytes_of[i] for i in got) == word * (120_000 // len(word) // 20 * 20)
+
+
+def test_the_lookahead_suffices():
+    """No longer text changes a token that ends further before the end than the lookahead."""
+    lists = 0
+    for seed in range(300):
+        rnd = random.Random(seed)
+        letters = b"abc"[: rnd.randint(1, 3)]
+        made = [letters[k : k + 1] for k in range(len(letters))]
+        ranks = {x: k for k, x in enumerate(made)}
+        for _ in range(rnd.randint(1, 25)):
+            x = rnd.choice(made) + rnd.choice(made)
+            if x not in ranks and len(x) <= 12:
+                ranks[x] = len(ranks)
+                made.append(x)
+        try:
+            least = tokens.sufficient_lookahead(ranks)
+        except ValueError:
+            continue
+        lists += 1
+        for _ in range(30):
+            text, more = (bytes(rnd.choices(letters, k=rnd.randint(1, n))) for n in (60, 30))
+            stable, used = [], 0
+            for token in tokens.merged(text, ranks):
+                used += len(token)
+                if used <= len(text) - least:
+                    stable.append(token)
+            assert tokens.merged(text + more, ranks)[: len(stable)] == stable
+    assert lists > 100
 
 
 def test_defined_ids(spark):
