@@ -50,11 +50,15 @@ class Forest:
         return pd.DataFrame([(x, self.find(x)) for x in self.up], columns=["a", "b"], dtype="object")
 
 
-def _local_forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _local_forest(frames: Iterator[pd.DataFrame], bound: int = MERGE_EDGES) -> Iterator[pd.DataFrame]:
+    """Forests of the edges of a task, a new one wherever ``bound`` edges are held."""
     forest = Forest()
     for pdf in frames:
         for a, b in zip(pdf["a"], pdf["b"]):
             forest.link(a, b)
+            if len(forest.up) >= bound:
+                yield forest.edges()
+                forest = Forest()
     yield forest.edges()
 
 
@@ -80,22 +84,25 @@ def _star_contraction(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, merge_edges: int = MERGE_EDGES, fan_in: int = 8) -> DataFrame:
     """(a, root) of every node of an edge table (a, b) that has a neighbour.
 
-    Each task builds the forest of its own edges; forests are merged ``fan_in``
-    at a time, so every level sends on at most one edge a node.  When more than
-    ``merge_edges`` would meet in one task, star contraction finishes instead.
+    Each task builds forests of its own edges, of at most ``merge_edges`` each;
+    forests are merged ``fan_in`` at a time until all fit one task.  Where a level
+    no longer shrinks them, star contraction finishes instead.
     Self links and nulls link nothing; an empty table gives an empty result.
     """
     schema = "a string, b string"
     links = edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    forests = durable(links.mapInPandas(_local_forest, schema), "forests")
-    parts = max(1, math.ceil(forests.count() / merge_edges * fan_in))
-    while parts > 1:
-        before = forests.count()
-        forests = durable(forests.repartition(parts, "b").mapInPandas(_local_forest, schema), "forests")
-        after = forests.count()
-        if after > merge_edges and after > 0.7 * before:
+
+    def local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _local_forest(frames, merge_edges)
+
+    forests = durable(links.mapInPandas(local, schema), "forests")
+    held = forests.count()
+    while held > merge_edges:
+        parts = max(2, math.ceil(held / (merge_edges * fan_in)))
+        forests = durable(forests.repartition(parts, "b").mapInPandas(local, schema), "forests")
+        before, held = held, forests.count()
+        if held > merge_edges and held > 0.7 * before:
             return _star_contraction(forests).select("a", F.col("b").alias("root"))
-        parts = min(math.ceil(parts / fan_in), math.ceil(after / merge_edges * fan_in)) if after > merge_edges else 1
     return forests.coalesce(1).mapInPandas(_local_forest, schema).select("a", F.col("b").alias("root"))
 
 
@@ -183,7 +190,7 @@ def grouped_split(emails: DataFrame, aliases: DataFrame, proportions: dict[str,
     little = ranked.join(F.broadcast(cuts), "c").where("r >= low and r < high").select("entity", "split_name")
 
     chosen = durable(owned.join(big.unionByName(little), "entity").select("key", "c", "split_name"), "chosen")
-    frequent = F.broadcast(chosen.where(F.col("c") >= least).select("key", "split_name"))  # at most `large` rows
+    frequent = broadcast_if_small(chosen.where(F.col("c") >= least).select("key", "split_name"))  # at most `large` rows
     hot = records.join(frequent, "key")
     cold = records.join(frequent, "key", "left_anti").join(chosen.where(F.col("c") < least).select("key", "split_name"), "key")
     return hot.unionByName(cold).select("record_id", "split_name")
