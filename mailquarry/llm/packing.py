@@ -15,10 +15,12 @@ import bisect
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import durable
+from ..runtime import broadcast_if_small, durable
 from .tokens import TOKENIZERS, token_counts
 
 CAPACITY = 2048
+#: A plan of at most so many places goes to every task; a longer one is joined by size.
+SEATS = 100_000
 
 
 def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:
@@ -102,10 +104,13 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", text: s
     histogram = {r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     places, bins = plan(histogram, capacity)
     spark = docs.sparkSession
-    seats = F.broadcast(spark.createDataFrame(places, "size int, low bigint, number bigint, first bigint"))
+    seats = spark.createDataFrame(places, "size int, low bigint, number bigint, first bigint")
+    if len(places) <= SEATS:
+        seats = F.broadcast(seats)
     before = counts.select("size", "bucket", (F.sum("n").over(Window.partitionBy("size").orderBy("bucket")) - F.col("n")).alias("before"))
+    before = broadcast_if_small(durable(before, "before"))  # at most `capacity` x 1,024 rows
     filled = pieces.where("size > 0")
-    ranked = filled.withColumn("r", F.row_number().over(Window.partitionBy("size", "bucket").orderBy("k", "piece_no")) - 1).join(F.broadcast(before), ["size", "bucket"])
+    ranked = filled.withColumn("r", F.row_number().over(Window.partitionBy("size", "bucket").orderBy("k", "piece_no")) - 1).join(before, ["size", "bucket"])
     ranked = ranked.select("k", "piece_no", "size", (F.col("r") + F.col("before")).alias("r"))
     seated = ranked.join(seats, (ranked["size"] == seats["size"]) & (F.col("r") >= F.col("low")) & (F.col("r") < F.col("low") + F.col("number")))
     placed = seated.select("k", "piece_no", ranked["size"], (F.col("first") + F.col("r") - F.col("low")).alias("container"))
