@@ -198,8 +198,9 @@ STEP = (
     (-5, 0, 0, -1, 0),
     (-6, 0, 0, -3, 0),
 )
-#: Lines that a segment usually has at most; each further line costs.
+#: Lines that a segment usually has at most; each further line costs, up to LENGTH in all.
 LONGEST = {S: (8, 1.0), D: (9, 0.5)}
+LENGTH = 16.0
 
 
 def _starts(cue: list[int]) -> list[int]:
@@ -223,11 +224,15 @@ def decode(lines: list[str]) -> list[tuple[int, int, int]]:
     starts = _starts(cue)
     ends = [*starts[1:], n]
     total = [[0.0] * 5]
-    seen = [(0, 0, 0, 0, 0)]  # lines that are not blank, marked, header, notice, text so far
+    seen = [(0, 0, 0, 0, 0, 0)]  # lines that are not blank, marked, header, notice, text, below a notice so far
+    below = False
     for c in cue:
         e, t, p = EMIT[c], total[-1], seen[-1]
-        total.append([t[0] + e[0], t[1] + e[1], t[2] + e[2], t[3] + e[3], t[4] + e[4]])
-        seen.append((p[0] + (c != BLANK), p[1] + (c == MARK), p[2] + (c == HEAD), p[3] + (c == NOTICE), p[4] + (c in (TEXT, NAME, SHORT, LINK, GREET))))
+        # a notice goes on to the end of its paragraph, however long: its lines count as much as they would as text
+        below = c != BLANK and (below or c == NOTICE)
+        on = below and c in (TEXT, SHORT, NAME, TITLE)
+        total.append([t[0] + e[0], t[1] + e[1], t[2] + e[2], t[3] + e[3], t[4] + (max(e[0], e[4]) if on else e[4])])
+        seen.append((p[0] + (c != BLANK), p[1] + (c == MARK), p[2] + (c == HEAD), p[3] + (c == NOTICE), p[4] + (c in (TEXT, NAME, SHORT, LINK, GREET)), p[5] + on))
     # For each label the starts that may still win.  What a span adds lies within
     # SPAN, so a start that is further behind than that never will.
     alive: list[list[tuple[float, int, tuple | None]]] = [[], [], [], [], []]
@@ -255,7 +260,7 @@ def decode(lines: list[str]) -> list[tuple[int, int, int]]:
             row[label] = top
             if len(mine) > 1:
                 most = max(x[0] for x in mine) - SPAN
-                alive[label] = [x for x in mine if x[0] >= most and (label not in LONGEST or seen[k][0] - seen[x[1]][0] <= 40)]
+                alive[label] = [x for x in mine if x[0] >= most]
         best.append(row)
         back.append(link)
     state = (len(ends) - 1, max((p, -x) for x, p in enumerate(best[-1]) if p is not None)[1] * -1)
@@ -267,14 +272,14 @@ def decode(lines: list[str]) -> list[tuple[int, int, int]]:
     return out[::-1]
 
 
-#: More than the features of a span can make of a difference.
+#: More than the features of a span can make of a difference (LENGTH and the largest marks on either side).
 SPAN = 40.0
 
 
 def _span(label: int, cue: list[int], s: int, k: int, n: int, seen: list[tuple]) -> float:
     """Length and features of a whole segment."""
     a, b = seen[s], seen[k]
-    solid, marks, heads, notices, text = (y - x for x, y in zip(a, b))
+    solid, marks, heads, notices, text, below = (y - x for x, y in zip(a, b))
     if label == M:
         return 0.0 if marks else -12.0
     while s < k and cue[s] == BLANK:
@@ -287,7 +292,7 @@ def _span(label: int, cue: list[int], s: int, k: int, n: int, seen: list[tuple])
             return -8.0
         return (2.0 if heads >= 2 else 0.0) + (0.5 if text else -0.5)
     most, each = LONGEST[label]
-    score = -each * max(0, solid - most)
+    score = -min(LENGTH, each * max(0, solid - (below if label == D else 0) - most))
     if label == S:
         span = [c for c in cue[s:k] if c != BLANK]
         if first == NAME:
@@ -307,6 +312,38 @@ def _span(label: int, cue: list[int], s: int, k: int, n: int, seen: list[tuple])
     return score
 
 
+_SENTENCE = r"(?<=[.!?…])\s+"
+_FOLDED = re.compile(
+    rf"\s+(?=[>|] )|{_SENTENCE}|\s+(?=(?:{NOTICES}))|\s+(?=-{{3,}} ?[^-\s])|(?<=[^-\s]-{{3}})\s+|(?<=-----)\s+"
+    rf"|\s+(?=(?:{NOTES}))|\s+(?=(?:Tel|Phone|Mobile|Mob|Fax|Telefon|Direct|Office)\b[.:])|\s+(?=(?:Flat|Apt|Unit|Suite) \d)|\s+(?=\*?(?:From|Von|De|Od|От): )",
+    re.I,
+)
+_FORMULA = re.compile(rf"(?:(?<=[.!?…,] )|^|(?<=\s)(?=(?i:{CLOSINGS}),))(?i:{CLOSINGS})(?=[,.!]? [^\W\d_a-zà-ÿа-я])[,.!]?\s*")
+#: What introduces a message: a sentence with a date or an address that ends in a word of writing and a colon.
+_INTRODUCES = re.compile(rf"(?:[^.!?…]|\.(?=\S)){{1,160}}?\b{VERBS}[^:.!?]{{0,60}}:\s+", re.I)
+
+
+def unfold(body: str) -> list[str]:
+    """Stretches of a body whose line ends are lost, cut where a cue may begin; joined they give the body again."""
+    cuts = {0, len(body)}
+    cuts.update(m.end() for m in _FOLDED.finditer(body))
+    cuts.update(m.end() for at in sorted(cuts) if (m := _INTRODUCES.match(body, at)) and re.search(r"[\d@]", m[0]))
+    for m in _FORMULA.finditer(body):
+        if m[0][0].isupper():
+            cuts |= {m.start(), m.end()}
+    at = sorted(cuts)
+    return [body[a:b] for a, b in zip(at, at[1:])]
+
+
+def new_text(body: str) -> str:
+    """The newly written part of a body, blank edges removed."""
+    if "\n" in body.strip():
+        lines, mark = body.split("\n"), "\n"
+    else:
+        lines, mark = [x for stretch in unfold(body.strip()) for x in (stretch, "")], ""
+    return mark.join(mark.join(lines[s:e]) for s, e, label in decode(lines) if label == A).strip() if lines else ""
+
+
 def unauthored_lines(body: str) -> list[int]:
     """Numbers (from 1) of the lines without newly written text; blank lines are none."""
     lines = body.split("\n")
@@ -343,6 +380,9 @@ def line_segments(emails: DataFrame, key: str = "record_id", body: str = "body")
 def authored_text(emails: DataFrame, key: str = "record_id", body: str = "body") -> DataFrame:
     """(key, authored): the newly written lines of each body, blank edges removed.
 
+    Bodies whose white space was collapsed are cut into stretches at sentence ends
+    and cues, and decoded by the same model.
+
     Null bodies stay null; bodies without new text give an empty text; rows
     without a key are left out.
     """
@@ -351,11 +391,7 @@ def authored_text(emails: DataFrame, key: str = "record_id", body: str = "body")
         for pdf in frames:
             out = []
             for text in pdf["body"]:
-                if text is None:
-                    out.append(None)
-                    continue
-                lines = text.split("\n")
-                out.append("\n".join("\n".join(lines[s:e]) for s, e, label in decode(lines) if label == A).strip())
+                out.append(None if text is None else new_text(text))
             yield pd.DataFrame({key: pdf[key], "authored": out})
 
     kind = emails.schema[key].dataType.simpleString()
