@@ -199,3 +199,42 @@ def test_borders_of_identifiers():
     assert found(f"{long.capitalize()}, Ann") == [("name", f"{long.capitalize()}, Ann")]
     local = "a" * 400
     assert found(f"to {local}@host.test now") == [("email", f"{local}@host.test")]
+
+
+@pytest.mark.parametrize("clauses", [3, 12, 30, 200])
+def test_a_notice_of_any_length_is_one(clauses):
+    lines = ["Dear Ann,", "", "the plan is fine with me.", "We meet on Monday.", "", "Best regards", "Bo Dune", "", "CONFIDENTIALITY NOTICE"]
+    lines += [f"clause number {k} of this text binds the reader to the terms that follow below" for k in range(clauses)]
+    got = authored.unauthored_lines("\n".join(lines))
+    assert got == [6, 7, *range(9, 10 + clauses)]
+
+
+FOLDED = {
+    "Danke für alles. Das Angebot gilt noch. Mit freundlichen Grüßen Jonas Zebaro Programme Lead | Fenulum Holdings Mobile: 237-555-0172 Flat 4, 13 Mill Pond Terrace, Fenhaven": "Danke für alles. Das Angebot gilt noch.",
+    "We met today and all is fine. Best regards, Greta Undberg Programme Lead, Marvalis Insurance": "We met today and all is fine.",
+    "Ok for me. On Mon, 3 Jan 2024, Ann Nilsen <a@b.test> wrote: > can we meet? > Ann": "Ok for me.",
+    "Thanks a lot. See you. -----Original Message----- From: Ann Sent: Monday To: Bo Subject: x Can we meet? Ann": "Thanks a lot. See you.",
+    "In version 4.6 all is well. On Thursday the group wrote: no badge before June. Regards to everyone in Fenham, and please read on.": None,
+}
+
+
+@pytest.mark.parametrize("body", FOLDED)
+def test_collapsed_bodies_are_decoded_too(body):
+    assert authored.new_text(body) == (FOLDED[body] or body) and "".join(authored.unfold(body)) == body
+
+
+OTHERS = ["I like 😀 it", "ελληνικά γράμματα εδώ", "a → b ⇒ c ✓", "Çalışma başka gün için şu değil", "日本語 の テキスト", "שלום עולם", "Её Лёд ёж Пёс"]
+
+
+@pytest.mark.parametrize("text", OTHERS)
+@pytest.mark.parametrize("codec", ["cp1252", "latin-1", "cp1251"])
+def test_signs_and_scripts_outside_the_dictionaries(text, codec):
+    def read(b):
+        try:
+            return bytes([b]).decode(codec)
+        except UnicodeDecodeError:
+            return chr(b)
+
+    restorer = mojibake.Restorer(SEEDED)
+    assert restorer.restore("".join(map(read, text.encode())))[0] == text
+    assert restorer.restore(text) == (text, [])
