@@ -26,6 +26,9 @@ class Spark:
     def matches(self, x: str, pattern: str) -> str:
         return f"({x} RLIKE {self.lit(pattern)})"
 
+    def category(self, name: str) -> str:
+        return f"\\p{{{{{name}}}}}"  # braces are doubled, as statements name their tables in single ones
+
     def url_decode(self, x: str) -> str:
         # malformed escapes stay, and so does the plus sign
         return f"url_decode(replace(regexp_replace({x}, r'%(?![0-9A-Fa-f][0-9A-Fa-f])', '%25'), '+', '%2B'))"
@@ -87,6 +90,15 @@ class Spark:
     def json_array(self, array: str) -> str:
         return f"to_json({array})"
 
+    def json_keys(self, x: str) -> str:
+        return f"coalesce(json_object_keys({x}), array())"
+
+    def difference(self, a: str, b: str) -> str:
+        return f"array_except({a}, {b})"
+
+    def position(self, array: str, x: str) -> str:
+        return f"cast(array_position({array}, {x}) as int)"
+
 
 class Oracle(Spark):
     name = "oracle"
@@ -103,6 +115,9 @@ class Oracle(Spark):
     def matches(self, x: str, pattern: str) -> str:
         return f"regexp_matches({x}, {self.lit(pattern)})"
 
+    def category(self, name: str) -> str:
+        return f"\\p{{{name}}}"
+
     def url_decode(self, x: str) -> str:
         return f"url_decode({x})"
 
@@ -161,6 +176,15 @@ class Oracle(Spark):
     def json_array(self, array: str) -> str:
         return f"cast(to_json({array}) as varchar)"
 
+    def json_keys(self, x: str) -> str:
+        return f"coalesce(json_keys(try_cast({x} as json)), [])"
+
+    def difference(self, a: str, b: str) -> str:
+        return f"list_filter({a}, lambda v: not list_contains({b}, v))"
+
+    def position(self, array: str, x: str) -> str:
+        return f"coalesce(list_position({array}, {x}), 0)"
+
 
 SPARK, ORACLE = Spark(), Oracle()
 

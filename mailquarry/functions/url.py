@@ -103,15 +103,33 @@ def trust_kind(d: Spark, host: str, registrable: str, suffixes=lx.TRUSTED_SUFFIX
 
 
 def closest_trusted(d: Spark, registrable: str, suffixes=lx.TRUSTED_SUFFIXES) -> tuple[str, str]:
-    """Smallest edit distance to a trusted domain and the alphabetically first at it."""
+    """Smallest edit distance to a trusted domain and the alphabetically first at it.
+
+    Names whose length differs by more than one are not compared; null if none is left.
+    """
     names = sorted({".".join(s.split(".")[-2:]) for s in suffixes})
-    distances = [f"levenshtein({registrable}, '{n}')" for n in names]
+    distances = [f"case when length({registrable}) between {len(n) - 1} and {len(n) + 1} then levenshtein({registrable}, '{n}') end" for n in names]
     least = f"least({', '.join(distances)})"
     name = "(case " + " ".join(f"when {x} = {least} then '{n}'" for n, x in zip(names, distances)) + " end)"
     return least, name
 
 
-def risk_level(score: str) -> str:
+def shown_as_trusted(registrable: str, suffixes=lx.TRUSTED_SUFFIXES) -> str:
+    """Whether lookalike letters, replaced, make a trusted domain of one that is none."""
+    names = {".".join(s.split(".")[-2:]) for s in suffixes}
+    return f"({one_of(f'translate({registrable}, {chr(39)}{''.join(lx.CONFUSABLES)}{chr(39)}, {chr(39)}{''.join(lx.CONFUSABLES.values())}{chr(39)})', names)} and not {one_of(registrable, names)})"
+
+
+#: Features of a URL that count as hard signs of the feature model.
+def hard_signs(d: Spark) -> dict[str, str]:
+    tld = d.extract("host", "[.]([^.]*)$", 1)
+    return {"has_ip_host": "is_ip", "tld_suspicious": one_of(tld, lx.MODEL_TLDS), "num_at": "contains(norm, '@')", "has_http_in_path": "contains(lower(concat(norm_path, query)), 'http')"}
+
+
+def risk_level(score: str, url: bool = False) -> str:
+    """Bands of a score; ``url`` has those that callers see for single URLs."""
+    if url:
+        return f"(case when {score} >= 0.8 then 'critical' when {score} >= 0.6 then 'high' when {score} >= 0.4 then 'medium' else 'low' end)"
     return f"(case when {score} >= 0.9 then 'critical' when {score} >= 0.7 then 'high' when {score} >= 0.4 then 'medium' else 'low' end)"
 
 

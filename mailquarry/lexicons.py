@@ -43,6 +43,9 @@ URGENCY_HINTS = ("urgent", "immediately", "within 24 hours", "suspended", "suspe
 CREDENTIAL_HINTS = ("verify your account", "verify identity", "account verification", "sign in", "login", "password", "reset password", "otp", "authentication")
 STEALTH_HINTS = ("gift card", "wire transfer", "bank account change", "change payment details", "update payment details", "employee login", "review the attached", "open attachment", "docusign", "shared document", "confirm acknowledgement", "payroll", "crypto wallet", "seed phrase")
 
+BENIGN_REASONS = "match|aligned|benign|safe|trusted"
+SUSPICIOUS_REASONS = "mismatch|phish|suspicious|fake|redirect|ip|lure|hard cue|typosquat"
+
 MODEL_FEATURES = ("url_len", "host_len", "path_len", "query_len", "host_ratio", "path_ratio", "query_ratio", "num_dots", "num_subdomains", "num_hyphens", "num_underscores", "num_digits", "num_at", "num_pct", "num_eq", "num_amp", "num_qmark", "num_slash", "num_colon", "qparams", "has_https", "has_http_in_path", "has_double_slash_in_path", "has_ip_host", "tld_suspicious", "entropy_host", "entropy_path", "entropy_url", "keyword_count")
 MODE_THRESHOLDS = {"soc": 0.4, "balanced": 0.5, "high_confidence": 0.6}
 REPEAT_SEEDS = (17, 23, 31, 47, 59, 73, 89, 97)

@@ -6,8 +6,10 @@ first, which also bounds the windows by the number of distinct scores.
 
 from __future__ import annotations
 
+from .. import lexicons as lx
 from ..functions.dialect import Spark
 from ..plans.catalogue import statement
+from .relational import hashed_rank
 
 #: A deterministic score and a label of each record, as a model would give them.
 SCORES = """scores as (select record_id, coalesce(source, 'none') as source, label as y,
@@ -19,6 +21,11 @@ _PRF = """round((tp + tn) / cast(greatest(n, 1) as double), 6) as accuracy,
   round(case when tp + fn = 0 then tn / cast(tn + fp as double) when tn + fp = 0 then tp / cast(tp + fn as double) else (tp / cast(tp + fn as double) + tn / cast(tn + fp as double)) / 2 end, 6) as balanced_accuracy"""
 
 
+def prf() -> str:
+    """Columns of accuracy, precision, recall, F1 and balanced accuracy over tp, fp, fn, tn and n."""
+    return _PRF
+
+
 def _counts(by: str, threshold: str = "0.5", score: str = "s") -> str:
     keys = f"{by}, " if by else ""
     group = f" group by {by}" if by else ""
@@ -38,8 +45,13 @@ def binary_metrics(d: Spark) -> str:
     return f"with {SCORES}, c as ({_counts('source')}) select source, {_PRF} from c"
 
 
-_RANKED = """g as (select source, s, count(*) as c, sum(y) as p from scores group by source, s),
-  r as (select *, sum(c) over (partition by source order by s) as upto, sum(p) over (partition by source order by s desc) as tp, sum(c) over (partition by source order by s desc) as above from g)"""
+#: Scores lie within 0 and about 1.1; equal ones are counted first, then they are ranked in
+#: 1,024 ranges, and only the counts of the ranges meet in one task.
+_RANKED = """g as (select source, s, cast(floor(s * 1024) as int) as bucket, count(*) as c, sum(y) as p from scores group by source, s),
+  o as (select source, bucket, sum(c) as bc, sum(p) as bp from g group by source, bucket),
+  o2 as (select source, bucket, sum(bc) over (partition by source order by bucket) - bc as below, sum(bc) over (partition by source order by bucket desc) - bc as over_c, sum(bp) over (partition by source order by bucket desc) - bp as over_p from o),
+  r as (select g.source, g.s, g.c, g.p, below + sum(g.c) over (partition by g.source, g.bucket order by g.s) as upto, over_p + sum(g.p) over (partition by g.source, g.bucket order by g.s desc) as tp,
+    over_c + sum(g.c) over (partition by g.source, g.bucket order by g.s desc) as above from g join o2 on g.source = o2.source and g.bucket = o2.bucket)"""
 
 
 @statement("roc_auc")
@@ -105,7 +117,10 @@ def class_weights(d: Spark) -> str:
 
 @statement("mean_probability")
 def mean_probability(d: Spark) -> str:
-    return f"with {SCORES} select source, round(avg(case when y = 1 then s end), 6) as positives, round(avg(case when y = 0 then s end), 6) as negatives, count(distinct y) as classes from scores group by source"
+    """Mean score of either class; with one class alone the mean of all stands under the negatives."""
+    rows = "select source, s, y from scores union all select 'positives only', s, y from scores where y = 1"
+    return f"""with {SCORES}, r as ({rows}), t as (select source, avg(case when y = 1 then s end) as pos, avg(case when y = 0 then s end) as neg, avg(s) as mean, count(distinct y) as classes from r group by source)
+    select source, round(case when classes > 1 then pos end, 6) as positives, round(case when classes > 1 then neg else mean end, 6) as negatives, classes from t"""
 
 
 #: Numeric features of a record in long form.
@@ -139,13 +154,28 @@ def eta_squared(d: Spark) -> str:
     return f"with {features(d)}, {_ETA} select feature, round(eta2, 6) as eta2 from e"
 
 
-_KS = """v as (select feature, source, x, count(*) as c from long group by feature, source, x),
-  b as (select feature, a.source as s1, z.source as s2, a.n as n1, z.n as n2 from (select feature, source, sum(c) as n from v group by feature, source) a join (select feature as feature2, source, sum(c) as n from v group by feature, source) z on a.feature = z.feature2 and a.source < z.source),
-  w as (select b.feature, s1, s2, x, sum(case when v.source = s1 then c else 0 end) / cast(max(n1) as double) as d1, sum(case when v.source = s2 then c else 0 end) / cast(max(n2) as double) as d2
-    from b join v on b.feature = v.feature and (v.source = b.s1 or v.source = b.s2) group by b.feature, s1, s2, x),
-  f as (select feature, s1, s2, abs(sum(d1) over (partition by feature, s1, s2 order by x) - sum(d2) over (partition by feature, s1, s2 order by x)) as gap from w),
+#: Values are counted first and summed up within 256 ranges of each feature; ranges meet as counts.
+_KS = """e0 as (select feature, min(x) as low, max(x) as high from long group by feature),
+  v as (select l.feature, source, x, cast(floor(case when high > low then 255 * (x - low) / (high - low) else 0 end) as int) as bucket, count(*) as c from long l join e0 on l.feature = e0.feature group by l.feature, source, x, low, high),
+  b as (select a.feature, a.source as s1, z.source as s2, a.n as n1, z.n as n2 from (select feature, source, sum(c) as n from v group by feature, source) a join (select feature as feature2, source, sum(c) as n from v group by feature, source) z on a.feature = z.feature2 and a.source < z.source),
+  w as (select b.feature, s1, s2, bucket, x, sum(case when v.source = s1 then c else 0 end) / cast(max(n1) as double) as d1, sum(case when v.source = s2 then c else 0 end) / cast(max(n2) as double) as d2
+    from b join v on b.feature = v.feature and (v.source = b.s1 or v.source = b.s2) group by b.feature, s1, s2, bucket, x),
+  wb as (select feature, s1, s2, bucket, sum(d1 - d2) as d from w group by feature, s1, s2, bucket), wo as (select feature, s1, s2, bucket, sum(d) over (partition by feature, s1, s2 order by bucket) - d as before from wb),
+  f as (select w.feature, w.s1, w.s2, abs(before + sum(d1 - d2) over (partition by w.feature, w.s1, w.s2, w.bucket order by x)) as gap from w join wo on w.feature = wo.feature and w.s1 = wo.s1 and w.s2 = wo.s2 and w.bucket = wo.bucket),
   ks as (select feature, s1, s2, max(gap) as ks from f group by feature, s1, s2)"""
 
+#: How well a feature alone tells the source: shares of records that lie nearest to the mean of their own source.
+_LEAK = """lm as (select feature, source, avg(x) as m from long group by feature, source), lc as (select l.feature, l.source, l.x, lm.source as guess, row_number() over (partition by l.feature, l.source, l.x order by abs(l.x - lm.m), lm.source) as n, c
+    from (select feature, source, x, count(*) as c from long where feature <> 'urls_length' group by feature, source, x) l join lm on l.feature = lm.feature),
+  leak as (select feature, sum(case when guess = source then c else 0 end) / cast(sum(c) as double) as leak from lc where n = 1 group by feature)"""
+
+
+def _risks(d: Spark) -> str:
+    """``risks``: association of each feature left joined with its leakage (0 where it has none) and its risk."""
+    return f"""{features(d)}, {_ETA}, {_KS}, {_LEAK}, r as (select feature, case when stddev_pop(x) > 1e-12 and stddev_pop(y) > 1e-12 then abs(corr(x, cast(y as double))) else 0 end as r from long group by feature),
+    j as (select e.feature, round(eta2, 9) as eta2, round(max(ks), 9) as max_ks, round(max(r), 9) as r from e join ks on e.feature = ks.feature join r on e.feature = r.feature group by e.feature, eta2),
+    risks as (select j.feature, eta2, max_ks, r, round(coalesce(leak, 0e0), 9) as leak, round(1.5 * eta2 + max_ks + greatest(0e0, coalesce(leak, 0e0) - 0.43e0) - 0.8 * r, 6) as risk from j left join leak on j.feature = leak.feature)"""
+
 
 @statement("ks_pairs")
 def ks_pairs(d: Spark) -> str:
@@ -155,10 +185,27 @@ def ks_pairs(d: Spark) -> str:
 
 @statement("feature_risk")
 def feature_risk(d: Spark) -> str:
-    """Risk of a feature to tell sources rather than labels, and its rank."""
-    return f"""with {features(d)}, {_ETA}, {_KS}, r as (select feature, case when stddev_pop(x) > 1e-12 then abs(corr(x, cast(y as double))) else 0 end as r from long group by feature),
-    j as (select e.feature, round(eta2, 6) as eta2, round(max(ks), 6) as max_ks, round(max(r), 6) as r from e join ks on e.feature = ks.feature join r on e.feature = r.feature group by e.feature, eta2)
-    select feature, eta2, max_ks, r, round(1.5 * eta2 + max_ks - 0.8 * r, 5) as risk, case when max_ks >= 0.4 then 'not portable' when max_ks >= 0.2 then 'partially portable' else 'portable' end as verdict from j"""
+    """Risk of a feature to tell sources rather than labels."""
+    return f"with {_risks(d)} select feature, round(eta2, 6) as eta2, round(max_ks, 6) as max_ks, round(r, 6) as r, round(leak, 6) as leak, risk from risks"
+
+
+@statement("portability_verdict")
+def portability_verdict(d: Spark, max_gain: float | None = None) -> str:
+    """Whether the features as a set are portable between sources.
+
+    ``max_gain``: what the best of them adds to the F1 of text alone; without it
+    their help counts as weak.
+    """
+    weak = "true" if max_gain is None or max_gain < 0.005 else "false"
+    return f"""with {_risks(d)}, t as (select count(*) as n, count_if(eta2 >= 0.10 and max_ks >= 0.35 and leak >= 0.55) as high, max(leak) as max_leak, max(max_ks) as max_ks from risks)
+    select high, round(max_leak, 6) as max_leak, round(max_ks, 6) as max_ks, case when {weak} and max_leak >= 0.55 and max_ks >= 0.35 then 'NOT portable' when high >= greatest(3, ceil(0.4 * n)) then 'NOT portable' when high >= 2 then 'partially portable' else 'portable' end as verdict from t"""
+
+
+@statement("feature_ranking")
+def feature_ranking(d: Spark) -> str:
+    """The five features tied most to the source, the five with the weakest tie to the label, and the three of most risk."""
+    lists = {"source": ("eta2 desc, leak desc, max_ks desc", 5), "weak_label": ("r", 5), "risk": ("risk desc", 3)}
+    return f"with {_risks(d)} " + " union all ".join(f"select '{k}' as list, cast(n as int) as pos, feature from (select feature, row_number() over (order by {o}, feature) as n from risks) t{k} where n <= {most}" for k, (o, most) in lists.items())
 
 
 _STRATEGY = """cases as (select case_id, coalesce(scenario, 'none') as scenario, case when expected_joint_label = 'malicious' then 1 else 0 end as y,
@@ -171,6 +218,12 @@ def error_status(d: Spark) -> str:
     return f"""with {_STRATEGY} select case_id, case when base = y and opt = y then 'both_correct' when opt = y then 'corrected' when base = y then 'newly_broken' else 'both_wrong' end as status from cases"""
 
 
+@statement("error_counts")
+def error_counts(d: Spark) -> str:
+    """How many cases the second strategy corrected and how many it broke."""
+    return f"with {_STRATEGY} select count_if(base <> y and opt = y) as corrected, count_if(base = y and opt <> y) as newly_broken, count_if(base = y and opt = y) as both_correct, count_if(base <> y and opt <> y) as both_wrong from cases"
+
+
 @statement("error_pivot")
 def error_pivot(d: Spark) -> str:
     """Errors of each scenario by strategy and kind, and the net change."""
@@ -180,8 +233,10 @@ def error_pivot(d: Spark) -> str:
 
 @statement("error_top")
 def error_top(d: Spark) -> str:
-    """The five scenarios with most errors of the second strategy."""
-    return f"with {_STRATEGY} select scenario, count_if(opt <> y) as errors from cases group by scenario having count_if(opt <> y) > 0 order by errors desc, scenario limit 5"
+    """The five scenarios with most false positives of the second strategy, and the five with most false negatives."""
+    kinds = {"false_positive": "opt = 1 and y = 0", "false_negative": "opt = 0 and y = 1"}
+    counts = " union all ".join(f"select '{k}' as kind, scenario, count_if({c}) as errors from cases group by scenario" for k, c in kinds.items())
+    return f"with {_STRATEGY}, c as ({counts}), r as (select kind, scenario, errors, cast(row_number() over (partition by kind order by errors desc, scenario) as int) as pos from c where errors > 0) select * from r where pos <= 5"
 
 
 @statement("repeat_metrics")
@@ -190,7 +245,9 @@ def repeat_metrics(d: Spark) -> str:
     repeats that the second strategy wins: one grouped pass over (case, repeat)."""
     seeds = d.unnest(d.array("17", "23", "31", "47", "59"))
     h = d.sha256("concat(case_id, '#', cast(seed as varchar(20)))")
-    return f"""with {_STRATEGY}, e as (select *, {seeds} as seed from cases), k as (select seed, y, base, opt, row_number() over (partition by seed, y order by {h}, case_id) as n, count(*) over (partition by seed, y) as c from e),
+    # ranked in buckets of the hash, as a seed and label hold half of all cases
+    ranked = hashed_rank(d, f"(select *, concat(cast(seed as varchar(20)), '/', cast(y as varchar(20))) as part from (select *, {seeds} as seed from cases) e)", "part", "case_id", h)
+    return f"""with {_STRATEGY}, {ranked}, k as (select seed, y, base, opt, n, c from ranked),
     m as (select seed, avg(case when base = y then 1e0 else 0e0 end) as a, avg(case when opt = y then 1e0 else 0e0 end) as b from k where n > ceil(c * 0.8) group by seed)
     select round(cast(avg(a) as double), 6) as base_mean, round(coalesce(stddev_samp(a), 0), 6) as base_std, round(cast(avg(b) as double), 6) as opt_mean, round(coalesce(stddev_samp(b), 0), 6) as opt_std, count_if(b > a) as wins from m"""
 
@@ -199,14 +256,9 @@ def repeat_metrics(d: Spark) -> str:
 def variant_pairs(d: Spark) -> str:
     """Differences between two variants on the splits where both have a result."""
     return f"""with {SCORES}, v as (select 'frozen' as variant, source as split, avg(case when (s >= 0.5) = (y = 1) then 1e0 else 0e0 end) as f1 from scores group by source
-      union all select 'open', source, avg(case when (s2 >= 0.5) = (y = 1) then 1e0 else 0e0 end) from scores where source <> 'none' group by source)
-    select round(cast(avg(a.f1 - b.f1) as double), 6) as mean_delta, count(*) as splits from v a join v b on a.split = b.split where a.variant = 'frozen' and b.variant = 'open'"""
-
-
-@statement("curated_verdicts")
-def curated_verdicts(d: Spark) -> str:
-    """Correct and flagged cases of each category."""
-    return """select coalesce(category, 'none') as category, count(*) as total, count_if(expected_url_label = expected_joint_label) as correct, round(avg(case when scenario = 'domain_mismatch' then 1e0 else 0e0 end), 6) as flag_rate from {joint_eval_cases} group by 1"""
+      union all select 'open', source, avg(case when (s2 >= 0.5) = (y = 1) then 1e0 else 0e0 end) from scores where source <> 'none' group by source),
+    ok as (select * from v where split <> 'spamassassin' or variant <> 'open')
+    select round(cast(avg(a.f1 - b.f1) as double), 6) as mean_delta, count(*) as splits from ok a join ok b on a.split = b.split where a.variant = 'frozen' and b.variant = 'open'"""
 
 
 @statement("label_counts_json")
@@ -225,6 +277,6 @@ def metric_change_text(d: Spark) -> str:
 
 @statement("reason_classes")
 def reason_classes(d: Spark) -> str:
-    """Classes of case notes by their words; harmless words are looked for first."""
+    """Classes of case notes by their words; harmless words are looked for first, so that a mismatch counts as a match."""
     note = "lower(coalesce(note, ''))"
-    return f"""select case_id, case when {d.matches(note, 'trusted|match|benign|no_links|official')} then 'benign' when {d.matches(note, 'ip|suspicious|lure|mismatch|typo|short')} then 'suspicious' else 'neutral' end as class from {{joint_threshold_calibration_set}}"""
+    return f"""select case_id, case when {d.matches(note, lx.BENIGN_REASONS)} then 'benign' when {d.matches(note, lx.SUSPICIOUS_REASONS)} then 'suspicious' else 'neutral' end as class from {{joint_threshold_calibration_set}}"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import lexicons as lx
 from ..functions.dialect import Spark
 from ..plans.catalogue import query, statement
 from ..runtime import durable
@@ -33,15 +34,20 @@ def counts_by_source_and_label(d: Spark) -> str:
     return "select source, label, count(*) as n from {emails} group by grouping sets ((source), (label), (source, label))"
 
 
+def capped(d: Spark, pair_cap: int, source_cap: int) -> str:
+    """``pair_cap`` records of each source and label, then ``source_cap`` of each source."""
+    h = d.sha256("concat(cast(record_id as varchar(20)), '#7')")
+    return f"""with r as (select record_id, source, label, {h} as h from {{emails}} where source is not null and label is not null),
+    p as (select *, row_number() over (partition by source, label order by h, record_id) as in_pair from r),
+    s as (select *, row_number() over (partition by source order by h, record_id) as in_source from p where in_pair <= {pair_cap})
+    select record_id, source, label from s where in_source <= {source_cap}"""
+
+
 @statement("balance_caps")
 def balance_caps(d: Spark) -> str:
     """At most 150 records of each source and label, then at most 250 of each source,
     in a hashed order.  The greedy loop over shuffled rows equals these two filters."""
-    h = d.sha256("concat(cast(record_id as varchar(20)), '#7')")
-    return f"""with r as (select record_id, source, label, {h} as h from {{emails}} where source is not null and label is not null),
-    p as (select *, row_number() over (partition by source, label order by h, record_id) as in_pair from r),
-    s as (select *, row_number() over (partition by source order by h, record_id) as in_source from p where in_pair <= 150)
-    select record_id, source, label from s where in_source <= 250"""
+    return capped(d, 150, 250)
 
 
 def hashed_rank(d: Spark, source: str, by: str, key: str, h: str) -> str:
@@ -91,9 +97,9 @@ def downsample(d: Spark) -> str:
 
 @statement("label_clean")
 def label_clean(d: Spark) -> str:
-    """Numbers or words to 0/1: fractions are cut, anything else drops out."""
-    return """with x as (select event_id, try_cast(value / 50 as double) as v from {events})
-    select event_id, cast(floor(v) as int) as label from x where v is not null and floor(v) in (0, 1)"""
+    """Numbers to 0/1: fractions are cut towards 0, anything else drops out."""
+    return """with x as (select event_id, try_cast((value - 25) / 25 as double) as v from {events}), c as (select event_id, case when v < 0 then ceil(v) else floor(v) end as v from x where v is not null)
+    select event_id, cast(v as int) as label from c where v in (0, 1)"""
 
 
 @statement("label_fold")
@@ -104,7 +110,7 @@ def label_fold(d: Spark) -> str:
 @statement("numeric_columns")
 def numeric_columns(d: Spark) -> str:
     """Share of values of each column that are numbers, in one pass; from 0.8 on a column is numeric."""
-    cols = ("subject", "body", "urls", "expected_joint_label", "case_id")
+    cols = ("case_id", "subject", "body", "sender", "urls", "expected_joint_label", "note")
     shares = ", ".join(f"avg(case when try_cast({c} as double) is not null then 1.0 else 0.0 end) as {c}" for c in cols)
     rows = " union all ".join(f"select '{c}' as name, round(cast({c} as double), 6) as share from s" for c in cols)
     return f"with s as (select {shares} from {{joint_threshold_calibration_set}}), r as ({rows}) select name, share, share >= 0.8 as is_numeric from r"
@@ -125,10 +131,32 @@ def numeric_feature_columns(df: DataFrame, least: float = 0.8) -> list[str]:
     return names
 
 
-@statement("median_impute")
-def median_impute(d: Spark) -> str:
+@query("median_impute", "select doc_id, cast(coalesce(n_chars, (select coalesce(median(n_chars), 0) from documents)) as double) as n_chars from documents")
+def median_impute(spark, d):
     """Missing numbers become the median of the column, 0 if it has no number."""
-    return """select doc_id, cast(coalesce(n_chars, (select coalesce(median(n_chars), 0) from {documents})) as double) as n_chars from {documents}"""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return docs.select("doc_id", F.coalesce(F.col("n_chars").cast("double"), F.lit(exact_median(docs, "n_chars"))).alias("n_chars"))
+
+
+def exact_median(df: DataFrame, col: str, none: float = 0.0) -> float:
+    """The median of a column, exactly: equal values are counted first, and only the
+    counts of range partitions and the one or two middle values come to the driver."""
+    counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("c"))
+    parts = durable(counts.repartitionByRange("x").withColumn("_p", F.spark_partition_id()), "ranges")
+    sizes = sorted((r["_p"], r["c"]) for r in parts.groupBy("_p").agg(F.sum("c").alias("c")).collect())  # one row a partition
+    total = sum(c for _, c in sizes)
+    if not total:
+        return none
+    found = []
+    for at in {(total - 1) // 2, total // 2}:
+        before = 0
+        for p, c in sizes:
+            if at < before + c:
+                upto = F.sum("c").over(Window.orderBy("x"))
+                found.append(parts.where(F.col("_p") == p).select("x", upto.alias("upto")).where(F.col("upto") > at - before).agg(F.min("x")).first()[0])
+                break
+            before += c
+    return sum(found) / len(found)
 
 
 @statement("numeric_fill")
@@ -136,12 +164,19 @@ def numeric_fill(d: Spark) -> str:
     return "select url, coalesce(try_cast(phish_id as double), 0.0) as phish_id from {url_corpus}"
 
 
+def threshold_of(mode: str, given: str) -> str:
+    """The given threshold within [0, 1], else that of the mode, else 0.5."""
+    modes = " ".join(f"when '{m}' then {t}e0" for m, t in lx.MODE_THRESHOLDS.items())
+    return f"(case when {given} is not null then greatest(0e0, least(1e0, {given})) else case lower(trim({mode})) {modes} else 0.5e0 end end)"
+
+
 @statement("thresholds")
 def thresholds(d: Spark) -> str:
-    """The given threshold into [0, 1], else that of the mode, else 0.5."""
-    return """with r as (select 'soc' as mode, cast(null as double) as t union all select ' Balanced ', null union all select 'high_confidence', null union all select 'other', null union all select null, null union all select 'soc', 1.7 union all select 'soc', -1.0 union all select 'soc', 0.33)
-    select coalesce(mode, '') as mode, t, case when t is not null then greatest(cast(0 as double), least(cast(1 as double), t)) else
-      case lower(trim(mode)) when 'soc' then 0.4 when 'balanced' then 0.5 when 'high_confidence' then 0.6 else 0.5 end end as threshold from r"""
+    """Thresholds of requests: modes in any spelling, thresholds as text that may be none."""
+    given = "try_cast(nullif(trim(difficulty), '') as double)"
+    return f"""with r as (select case_id, case when scenario like 'link%' then 'SOC' when scenario like 'domain%' then ' High_Confidence ' when scenario like 'no%' then 'balanced' else scenario end as mode,
+      case when case_id like '%1' then 1.7e0 when case_id like '%2' then -1e0 when case_id like '%3' then 0.33e0 else {given} end as given from {{joint_eval_cases}})
+    select case_id, mode, given, {threshold_of('mode', 'given')} as threshold from r"""
 
 
 @statement("valid_requests")
@@ -226,19 +261,13 @@ def late_records(d: Spark) -> str:
     return """select year(received_at) as y, month(received_at) as m, count(*) as n, count_if(ingested_at > received_at + interval '1' day) as late from {emails} where received_at is not null group by 1, 2"""
 
 
-@statement("export_rows")
-def export_rows(d: Spark) -> str:
-    """Rows of a batch export: scores with four digits."""
-    return f"select case_id, coalesce(scenario, '') as scenario, {d.fixed('length(body) / cast(1000 as double)', 4)} as score from {{joint_eval_cases}} where body is not null"
-
-
 def salted_counts(df: DataFrame, key: str, salts: int = 64) -> DataFrame:
     """Counts of a key in two steps, for keys that hold a large share of all rows.
 
-    Partial aggregation alone does this for sums; the salted form is for what
-    has to move whole rows (see ``rank_within``).  Null is a key of its own.
+    Rows are spread at random over the salts, so that even without a partial
+    aggregate no task gets a key as a whole.  Null is a key of its own.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts)))
+    salted = df.select(key, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).alias("_salt"))
     return salted.groupBy(key, "_salt").agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg(F.sum("n").alias("n"))
 
 

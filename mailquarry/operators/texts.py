@@ -17,6 +17,9 @@ from ..plans.catalogue import query, statement
 BODY_URL = r"(?i)(https?://[^\s<>'\"`]+|www\.[^\s<>'\"`]+)"
 MAILBOX_DOMAIN = r"(?i)[A-Z0-9._%+-]+@([A-Z0-9.-]+[.][A-Z][A-Z]+)"
 
+#: Categories of digits and capitals of any script.
+DIGIT, CAPITAL = "Nd", "Lu"
+
 
 def strip(d: Spark, x: str) -> str:
     return d.replace_all(x, r"^\s+|\s+$", "")
@@ -62,7 +65,7 @@ def text_format_features(d: Spark) -> str:
     t = canonical(d, sep=" ")
     ratio = lambda p: f"case when length(t) = 0 then cast(0 as double) else round((length(t) - length({d.replace_all('t', p, '')})) / cast(length(t) as double), 12) end"
     return f"""with x as (select record_id, {t} as t from {{emails}})
-    select record_id, cast(length(t) - length(replace(t, '!', '')) as int) as exclamation_count, {ratio('[0-9]')} as digit_ratio, {ratio('[A-ZÀ-ÖØ-ÞА-Я]')} as capital_ratio, cast(length(t) as int) as body_length from x"""
+    select record_id, cast(length(t) - length(replace(t, '!', '')) as int) as exclamation_count, {ratio(d.category(DIGIT))} as digit_ratio, {ratio(d.category(CAPITAL))} as capital_ratio, cast(length(t) as int) as body_length from x"""
 
 
 @statement("text_url_features")
@@ -117,10 +120,10 @@ def lexicon_hints(d: Spark) -> str:
 
 @statement("lexicon_join")
 def lexicon_join(d: Spark) -> str:
-    """Messages by phrase: each message gives one row for each phrase it contains."""
-    phrases = d.text_array(["delivery", "password", "refund", "invoice", "mailbox"])
-    found = d.keep(phrases, "v", "contains(lower(coalesce(body, '')), v)")
-    return f"with x as (select {d.unnest(found)} as phrase from {{emails}}) select phrase, count(*) as messages from x group by phrase"
+    """Messages by phrase of all lists: each message gives one row for each phrase it contains."""
+    phrases = d.text_array(sorted({*lx.URGENCY, *lx.CREDENTIAL, *lx.FINANCE, *lx.RESTRICTION, *lx.BENIGN, *lx.INTERNAL, *lx.HIGH_INTENT}))
+    found = d.keep("phrases", "v", "contains(txt, v)")
+    return f"with t as (select lower(concat(coalesce(subject, ''), ' ', coalesce(body, ''))) as txt, {phrases} as phrases from {{emails}}), x as (select {d.unnest(found)} as phrase from t) select phrase, count(*) as messages from x group by phrase"
 
 
 @statement("html_to_text")

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import lexicons as lx
 from ..functions import url as u
-from ..functions.dialect import Spark, any_of, count_of, entropy, hits, one_of
-from ..plans.catalogue import query, statement
+from ..functions.dialect import SPARK, Spark, any_of, count_of, entropy, hits, one_of
+from ..plans.catalogue import query, run_sql, statement
 
 _URLS = "(select url, label, source, phish_id from {url_corpus})"
 
@@ -74,25 +72,35 @@ def url_basic_by_risk(d: Spark) -> str:
     return f"with {_basic(d, _URLS)} select source, {u.risk_level('score')} as risk_level, count(*) as n, min(score) as least, round(avg(score), 6) as mean from scored group by 1, 2"
 
 
+#: Reasons of the feature model in their order: feature, condition and the value shown.
+REASONS = [
+    ("has_ip_host", "has_ip_host = 1", "has_ip_host"),
+    ("tld_suspicious", "tld_suspicious = 1", "tld_suspicious"),
+    ("keyword_count", "keyword_count >= 1", "keyword_count"),
+    ("num_subdomains", "num_subdomains >= 3", "num_subdomains"),
+    ("num_at", "num_at > 0", "num_at"),
+    ("has_http_in_path", "has_http_in_path = 1", "has_http_in_path"),
+    ("num_pct", "num_pct >= 3", "num_pct"),
+    ("qparams", "qparams >= 4", "qparams"),
+    ("entropy_url", "entropy_url >= 4.2", "entropy_url"),
+    ("url_len", "url_len >= 90", "url_len"),
+    ("num_digits", "num_digits >= 12", "num_digits"),
+]
+FIRST_REASONS = 8
+
+
+def listed(d: Spark, cases: list[tuple[str, str]]) -> str:
+    """Array of the names whose condition holds, in order."""
+    return d.keep(d.array(*[f"case when {when} then '{name}' end" for name, when in cases]), "v", "v is not null")
+
+
 @statement("url_reasons")
 def url_reasons(d: Spark) -> str:
     """Reasons of the feature model in long form, at most eight of a URL, in their order."""
     f = u.model_features(d, "norm", "host", "norm_path", "query", "norm_scheme", "norm")
-    rules = [
-        ("has_ip_host", "has_ip_host = 1", "cast(has_ip_host as varchar(20))"),
-        ("tld_suspicious", "tld_suspicious = 1", "cast(tld_suspicious as varchar(20))"),
-        ("keyword_count", "keyword_count >= 1", "cast(keyword_count as varchar(20))"),
-        ("num_subdomains", "num_subdomains >= 3", "cast(num_subdomains as varchar(20))"),
-        ("num_at", "num_at > 0", "cast(num_at as varchar(20))"),
-        ("has_http_in_path", "has_http_in_path = 1", "cast(has_http_in_path as varchar(20))"),
-        ("num_pct", "num_pct >= 3", "cast(num_pct as varchar(20))"),
-        ("qparams", "qparams >= 4", "cast(qparams as varchar(20))"),
-        ("entropy_url", "entropy_url >= 4.2", d.fixed("entropy_url", 3)),
-        ("url_len", "url_len >= 90", "cast(url_len as varchar(20))"),
-        ("num_digits", "num_digits >= 12", "cast(num_digits as varchar(20))"),
-    ]
-    items = [f"case when {when} then concat('{k:02d}|{name}|', {value}) end" for k, (name, when, value) in enumerate(rules)]
-    given = d.head(d.keep(d.array(*items), "v", "v is not null"), 8)
+    shown = lambda c: d.fixed(c, 3) if c == "entropy_url" else f"cast({c} as varchar(20))"
+    items = [f"case when {when} then concat('{k:02d}|{name}|', {shown(value)}) end" for k, (name, when, value) in enumerate(REASONS)]
+    given = d.head(d.keep(d.array(*items), "v", "v is not null"), FIRST_REASONS)
     urls = "(select distinct url from {url_corpus} where url is not null)"
     return f"""with {u.parts(d, urls)}, f as (select url, {f} from parts), r as (select url, {d.unnest(given)} as item from f)
     select url, cast(row_number() over (partition by url order by item) as int) as pos, {d.extract('item', '^[0-9]+[|]([a-z_]+)[|]', 1)} as feature, {d.extract('item', '^[0-9]+[|][a-z_]+[|](.*)$', 1)} as value from r"""
@@ -117,7 +125,7 @@ def heuristics(d: Spark, source: str, ranks: str = "") -> str:
       ({one_of('raw_host', lx.TRUSTED_SUBDOMAINS)} or {nested}) as trusted_subdomain,
       {one_of('registrable', lx.BENIGN_REGISTRABLES)} as trusted_exact, {least} as distance from h0),
     h2 as (select h1.*, coalesce(k.rank_pos <= 20000, false) and not is_ip as top_ranked from h1 {rank}),
-    heur as (select *, (distance between 1 and 1 and not trusted and not is_ip) as typosquat_hit,
+    heur as (select *, ((coalesce(distance = 1, false) or {u.shown_as_trusted('registrable')}) and not trusted and not is_ip) as typosquat_hit,
       ((host_token_count >= 4 and {count_of('raw_host', '-')} >= 1) or (brand_token_hits >= 1 and {count_of('raw_host', '-')} >= 1 and not (trusted or trusted_subdomain))
         or (brand_token_hits >= 2 and not trusted)) as suspicious_compound_hostname,
       (trusted or trusted_subdomain or top_ranked or trusted_exact) as reputable from h2)"""
@@ -244,8 +252,14 @@ def with_skeleton(df: DataFrame, host_col: str, out: str = "skeleton") -> DataFr
 @query("url_confusable")
 def url_confusable(spark, d):
     """Hosts whose skeleton is a trusted domain that they are not."""
-    urls = spark.read.parquet(f"{d}/url_corpus.parquet").select(F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://([^/?#:]+)", 1)).alias("host")).where("host <> ''").distinct()
-    shown = with_skeleton(urls, "host").withColumn("registrable", F.substring_index("skeleton", ".", -2))
+    parsed = run_sql(spark, d, f"with {u.parts(SPARK, _URLS, decode=False)} select raw_host from parts")
+    return confusable_hosts(parsed.select(F.col("raw_host").alias("host")).where("host <> ''").distinct())
+
+
+def confusable_hosts(hosts: DataFrame) -> DataFrame:
+    """(host, skeleton, trusted) of the hosts that look like a trusted domain and are none."""
+    spark = hosts.sparkSession
+    shown = with_skeleton(hosts, "host").withColumn("registrable", F.substring_index("skeleton", ".", -2))
     trusted = F.broadcast(spark.createDataFrame([(x,) for x in sorted({".".join(s.split(".")[-2:]) for s in lx.TRUSTED_SUFFIXES})], "trusted string"))
     return shown.join(trusted, F.col("registrable") == F.col("trusted")).where(F.substring_index("host", ".", -2) != F.col("trusted")).select("host", "skeleton", "trusted")
 

@@ -21,6 +21,7 @@ MODULES = [
     "operators.relational",
     "operators.metrics",
     "operators.scoring",
+    "operators.requests",
     "ml.models",
     "streaming.scoring",
     "sources.queries",
