@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from .plans import catalogue
-from .runtime import ship
+from .runtime import scratch, ship
 from .sources.sinks import write_parquet
 
 
@@ -20,8 +20,9 @@ def main() -> None:
     a = p.parse_args()
     spark = SparkSession.builder.appName(f"mailquarry {a.query}").getOrCreate()
     ship(spark)
-    df = known[a.query](spark, a.folder)
-    write_parquet(df, a.out) if a.out else df.show(20, truncate=80)
+    with scratch(spark):
+        df = known[a.query](spark, a.folder)
+        write_parquet(df, a.out) if a.out else df.show(20, truncate=80)
 
 
 if __name__ == "__main__":

@@ -114,10 +114,13 @@ def closest_trusted(d: Spark, registrable: str, suffixes=lx.TRUSTED_SUFFIXES) ->
     return least, name
 
 
-def shown_as_trusted(registrable: str, suffixes=lx.TRUSTED_SUFFIXES) -> str:
-    """Whether lookalike letters, replaced, make a trusted domain of one that is none."""
+def shown_as_trusted(registrable: str, shown: str | None = None, suffixes=lx.TRUSTED_SUFFIXES) -> str:
+    """Whether lookalike letters, replaced, make a trusted domain of one that is none.
+
+    ``shown``: the domain with international names decoded, where it differs.
+    """
     names = {".".join(s.split(".")[-2:]) for s in suffixes}
-    return f"({one_of(f'translate({registrable}, {chr(39)}{''.join(lx.CONFUSABLES)}{chr(39)}, {chr(39)}{''.join(lx.CONFUSABLES.values())}{chr(39)})', names)} and not {one_of(registrable, names)})"
+    return f"({one_of(f'translate({shown or registrable}, {chr(39)}{''.join(lx.CONFUSABLES)}{chr(39)}, {chr(39)}{''.join(lx.CONFUSABLES.values())}{chr(39)})', names)} and not {one_of(registrable, names)})"
 
 
 #: Features of a URL that count as hard signs of the feature model.

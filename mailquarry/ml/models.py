@@ -1,14 +1,14 @@
 """Model operators: pipelines, calibration, fusion, leakage and ablation.
 
 Every query trains on a hashed 80 % of its table and returns metric rows of the
-rest.  Vocabularies are bounded by a parameter.
+rest.  Vocabularies are bounded by a parameter; the queries run with its default.
 """
 
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from .. import lexicons as lx
 from ..functions.dialect import SPARK
+from ..operators.texts import text_format_features, text_url_features
 from ..operators.urls import url_features
 from ..plans.catalogue import query, run_sql
+from ..runtime import durable
 
 SEED = 42
 
@@ -82,19 +84,21 @@ def _urls(spark, d) -> DataFrame:
     return with_class_weight(best).withColumn("part", part_of(F.col("url")))
 
 
+#: Numeric features of a message, beside its text (fixed values).
+NUMERIC = ["url_count", "has_ip_url", "avg_url_length", "suspicious_tld_count", "shortener_count", "exclamation_count", "digit_ratio", "capital_ratio", "body_length"]
+
+
 def _emails(spark, d) -> DataFrame:
     df = spark.read.parquet(f"{d}/emails.parquet").where("label in (0, 1)")
     text = F.concat_ws(" ", F.coalesce("subject", F.lit("")), F.coalesce("body", F.lit("")))
-    count = lambda mark: F.length("text") - F.length(F.regexp_replace("text", mark, ""))
     df = df.select("record_id", F.coalesce(F.lower(F.trim("source")), F.lit("none")).alias("source"), "label", text.alias("text"))
-    n = F.greatest(F.length("text"), F.lit(1))
-    df = df.withColumns({"f_length": F.length("text").cast("double"), "f_marks": count("!").cast("double"), "f_digits": count("[0-9]") / n, "f_capitals": count("[A-Z]") / n})
+    for plan in (text_url_features, text_format_features):
+        df = df.join(run_sql(spark, d, plan(SPARK)), "record_id")
+    for c in NUMERIC:
+        df = df.withColumn(c, F.col(c).cast("double"))
     return with_class_weight(df).withColumn("part", part_of(F.col("record_id")))
 
 
-NUMERIC = ["f_length", "f_marks", "f_digits", "f_capitals"]
-
-
 def _logistic(features: str = "features", iterations: int = 30) -> LogisticRegression:
     return LogisticRegression(featuresCol=features, weightCol="weight", maxIter=iterations, regParam=1e-3)
 
@@ -102,7 +106,7 @@ def _logistic(features: str = "features", iterations: int = 30) -> LogisticRegre
 @query("ml_url_ngrams")
 def ml_url_ngrams(spark, d):
     urls = _urls(spark, d)
-    model = Pipeline(stages=[char_ngrams("url", vocabulary=20_000), _logistic("text_vector")]).fit(urls.where("part = 'train'"))
+    model = Pipeline(stages=[char_ngrams("url"), _logistic("text_vector")]).fit(urls.where("part = 'train'"))
     return metrics(model.transform(urls.where("part = 'test'")).withColumn("score", positive()), "char n-grams")
 
 
@@ -111,11 +115,21 @@ def _url_vectors(spark, d) -> DataFrame:
     return VectorAssembler(inputCols=list(lx.MODEL_FEATURES), outputCol="features").transform(_urls(spark, d).join(features, "url"))
 
 
+def boosted_trees(depth: int = 6, rounds: int = 250, step: float = 0.08, leaf: int = 20) -> GBTClassifier:
+    """Boosted trees of up to ``rounds`` rounds; they end where the rows marked
+    ``held`` no longer gain."""
+    return GBTClassifier(maxDepth=depth, stepSize=step, maxIter=rounds, minInstancesPerNode=leaf, validationIndicatorCol="held", validationTol=0.01, weightCol="weight", subsamplingRate=0.9, seed=SEED)
+
+
+def with_held(df: DataFrame, key: str = "url") -> DataFrame:
+    return df.withColumn("held", F.pmod(F.xxhash64(F.col(key), F.lit(SEED + 2)), F.lit(10)) == 0)
+
+
 @query("ml_url_trees")
 def ml_url_trees(spark, d):
     """Boosted trees on the 29 features."""
-    rows = _url_vectors(spark, d)
-    model = GBTClassifier(maxDepth=5, stepSize=0.1, maxIter=15, minInstancesPerNode=20, weightCol="weight", seed=SEED).fit(rows.where("part = 'train'"))
+    rows = with_held(_url_vectors(spark, d))
+    model = boosted_trees().fit(rows.where("part = 'train'"))
     return metrics(model.transform(rows.where("part = 'test'")).withColumn("score", positive()), "trees")
 
 
@@ -144,8 +158,9 @@ def calibrate(rows: DataFrame, base, folds: int = 3, key: str = "url"):
 
 @query("ml_url_calibrated")
 def ml_url_calibrated(spark, d):
-    rows = _url_vectors(spark, d)
-    score = calibrate(rows.where("part = 'train'"), _logistic())
+    """Isotonic calibration over boosted trees."""
+    rows = with_held(_url_vectors(spark, d))
+    score = calibrate(rows.where("part = 'train'"), boosted_trees())
     return metrics(score(rows.where("part = 'test'")), "isotonic")
 
 
@@ -157,7 +172,7 @@ def ml_email_words(spark, d):
     for held in (None, "nazario", "spamassassin", "enron"):
         train = rows.where("part = 'train'") if held is None else rows.where(F.col("source") != held)
         test = rows.where("part = 'test'") if held is None else rows.where(F.col("source") == held)
-        model = Pipeline(stages=[word_ngrams("text", vocabulary=20_000), _logistic("text_vector", 20)]).fit(train)
+        model = Pipeline(stages=[word_ngrams("text"), _logistic("text_vector", 20)]).fit(train)
         found = metrics(model.transform(test).withColumn("score", positive()), held or "random")
         out = found if out is None else out.unionByName(found)
     return out
@@ -172,7 +187,7 @@ def _fused(columns: list[str]) -> list:
 def ml_email_fused(spark, d):
     """Words with scaled numeric features, at several thresholds."""
     rows = _emails(spark, d)
-    model = Pipeline(stages=[word_ngrams("text", vocabulary=20_000), *_fused(NUMERIC), _logistic()]).fit(rows.where("part = 'train'"))
+    model = Pipeline(stages=[word_ngrams("text"), *_fused(NUMERIC), _logistic()]).fit(rows.where("part = 'train'"))
     scored = model.transform(rows.where("part = 'test'")).select("label", positive().alias("p")).withColumn("threshold", F.explode(F.array(*[F.lit(t / 10) for t in range(2, 9)])))
     at = F.when(F.col("p") >= F.col("threshold"), 1.0).otherwise(0.0)
     return metrics(scored.withColumn("score", at), "fused", by=F.col("threshold").cast("string"))
@@ -182,7 +197,7 @@ def ml_email_fused(spark, d):
 def ml_email_ablation(spark, d):
     """F1 of text alone and of text with one feature more; the text vectors are made once."""
     rows = _emails(spark, d)
-    text = word_ngrams("text", vocabulary=10_000).fit(rows.where("part = 'train'")).transform(rows).drop("_words", "_pairs", "_terms", "_tf", "_tfidf")
+    text = word_ngrams("text").fit(rows.where("part = 'train'")).transform(rows).drop("_words", "_pairs", "_terms", "_tf", "_tfidf")
     out = None
     for feature in (None, *NUMERIC):
         stages = [_logistic("text_vector", 15)] if feature is None else [*_fused([feature]), _logistic("features", 15)]
@@ -196,8 +211,7 @@ def ml_email_ablation(spark, d):
 def ml_source_leakage(spark, d):
     """How well one feature alone tells the source."""
     rows = _emails(spark, d)
-    index = F.array_position(F.array(*[F.lit(s) for s in ("enron", "nazario", "none", "spamassassin")]), F.col("source")) - 1
-    rows = rows.withColumn("target", index.cast("double")).where("target >= 0")
+    rows = StringIndexer(inputCol="source", outputCol="target", stringOrderType="alphabetAsc").fit(rows).transform(rows)
     out = None
     for feature in NUMERIC:
         stages = [VectorAssembler(inputCols=[feature], outputCol="_one"), StandardScaler(inputCol="_one", outputCol="one", withMean=True), LogisticRegression(featuresCol="one", labelCol="target", family="multinomial", maxIter=20)]
@@ -211,7 +225,7 @@ def ml_source_leakage(spark, d):
 def ml_top_terms(spark, d):
     """The terms that weigh most for and against, thirty each (a report)."""
     rows = _emails(spark, d).where("part = 'train'")
-    text = word_ngrams("text", vocabulary=20_000).fit(rows)
+    text = word_ngrams("text").fit(rows)
     model = _logistic("text_vector", 20).fit(text.transform(rows))
     vocabulary = text.stages[3].vocabulary
     terms = spark.createDataFrame([(t, float(w)) for t, w in zip(vocabulary, model.coefficients.toArray())], "term string, weight double")
@@ -229,15 +243,66 @@ def ml_embedding_head(spark, d):
     return metrics(model.transform(rows.where("part = 'test'")).withColumn("score", positive()), "head")
 
 
-@query("ml_joint_meta")
-def ml_joint_meta(spark, d):
-    """A logistic model over the scores and heuristic features of messages."""
+def _joint_rows(spark, d) -> DataFrame:
     from ..operators.scoring import joint_features, joint_scores
 
     features = run_sql(spark, d, joint_features(SPARK))
     scores = run_sql(spark, d, joint_scores(SPARK)).select("record_id", "email_score", "url_score", "joint_score")
     labels = spark.read.parquet(f"{d}/emails.parquet").where("label in (0, 1)").select("record_id", "label")
-    rows = with_class_weight(labels.join(scores, "record_id").join(features, "record_id")).withColumn("part", part_of(F.col("record_id")))
+    return durable(with_class_weight(labels.join(scores, "record_id").join(features, "record_id")), "joint_rows")
+
+
+@query("ml_joint_meta")
+def ml_joint_meta(spark, d):
+    """A logistic model over the scores and heuristic features of messages."""
+    rows = _joint_rows(spark, d).withColumn("part", part_of(F.col("record_id")))
     columns = sorted(c for c in rows.columns if c.startswith("h_"))
     model = Pipeline(stages=[VectorAssembler(inputCols=["email_score", "url_score", "joint_score", *columns], outputCol="features"), _logistic()]).fit(rows.where("part = 'train'"))
     return metrics(model.transform(rows.where("part = 'test'")).withColumn("score", positive()), "meta")
+
+
+@query("ml_variant_grid")
+def ml_variant_grid(spark, d):
+    """Variants by splits: text vectors that are fixed or fitted to the training part,
+    alone or with the numeric features, on the random split and each source held
+    out.  A split whose training or test part lacks a class is skipped, with no metrics."""
+    rows = _emails(spark, d)
+    out = None
+    for held in (None, "enron", "nazario", "spamassassin"):
+        inside = F.col("part") == "train" if held is None else F.col("source") != held
+        classes = rows.groupBy(inside.alias("inside")).agg(F.countDistinct("label").alias("n")).collect()
+        valid = len(classes) == 2 and all(r["n"] == 2 for r in classes)
+        words = RegexTokenizer(inputCol="text", outputCol="_words", pattern=r"(?U)\b\w\w+\b", gaps=False)
+        for name, text in (("frozen", Pipeline(stages=[words, HashingTF(inputCol="_words", outputCol="_hashed", numFeatures=1 << 14, binary=True), Normalizer(inputCol="_hashed", outputCol="text_vector")])), ("fitted", word_ngrams("text"))):
+            vectors = text.fit(rows.where(inside)).transform(rows) if valid else None
+            for fused in (False, True):
+                variant = f"{name}{'+numeric' if fused else ''}"
+                if valid:
+                    stages = [*_fused(NUMERIC), _logistic("features", 15)] if fused else [_logistic("text_vector", 15)]
+                    model = Pipeline(stages=stages).fit(vectors.where(inside))
+                    found = metrics(model.transform(vectors.where(~inside)).withColumn("score", positive()), variant, by=F.lit(held or "random")).withColumn("status", F.lit("ok"))
+                else:
+                    found = spark.createDataFrame([(variant, held or "random", 0, None, None, None, None, "skipped")], "model string, part string, n bigint, accuracy double, precision_ double, recall_ double, f1 double, status string")
+                out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query("ml_repeated_evaluation")
+def ml_repeated_evaluation(spark, d):
+    """Mean and sample deviation of accuracy and F1 over repeated splits, by strategy
+    and threshold; the meta model is fitted anew for every repeat."""
+    rows = _joint_rows(spark, d).withColumn("rules", F.col("joint_score"))
+    columns = ["email_score", "url_score", "joint_score", *sorted(c for c in rows.columns if c.startswith("h_"))]
+    rows = VectorAssembler(inputCols=columns, outputCol="features").transform(rows)
+    out = None
+    for seed in lx.REPEAT_SEEDS[:5]:
+        split = rows.withColumn("part", part_of(F.col("record_id"), 0.3, seed))
+        scored = _logistic(iterations=15).fit(split.where("part = 'train'")).transform(split.where("part = 'test'"))
+        both = scored.select("label", F.explode(F.create_map(F.lit("meta"), positive(), F.lit("rules"), F.col("rules"))).alias("strategy", "p"))
+        at = F.explode(F.array(*[F.lit(t) for t in lx.MODE_THRESHOLDS.values()])).alias("threshold")
+        each = both.select("*", at).withColumn("score", F.when(F.col("p") >= F.col("threshold"), 1.0).otherwise(0.0))
+        found = metrics(each, str(seed), by=F.concat_ws("@", "strategy", F.col("threshold").cast("string")))
+        out = found if out is None else out.unionByName(found)
+    spread = lambda c: [F.round(F.avg(c), 6).alias(f"{c}_mean"), F.round(F.coalesce(F.stddev_samp(c), F.lit(0.0)), 6).alias(f"{c}_std")]
+    name = F.split("part", "@")
+    return out.groupBy(name[0].alias("strategy"), name[1].cast("double").alias("threshold")).agg(*spread("accuracy"), *spread("f1"), F.count(F.lit(1)).alias("repeats"))

@@ -191,9 +191,9 @@ def joint_features(d: Spark) -> str:
     return f"with {_messages(d)} select record_id, {cols}, round(u, 6) as h_max_url_score, mismatch as h_sender_url_mismatch_score from m"
 
 
-def _baseline(d: Spark) -> tuple[str, str]:
+def _baseline(d: Spark, messages: str | None = None) -> tuple[str, str]:
     """Tables up to ``m7`` and the baseline score over it."""
-    tables = f"""{_messages(d)}, m5 as (select *, case when calm then least(u, 0.45e0) else u end as top, has_urls and base_mismatch > 0 as apart from m),
+    tables = f"""{messages or _messages(d)}, m5 as (select *, case when calm then least(u, 0.45e0) else u end as top, has_urls and base_mismatch > 0 as apart from m),
     m6 as (select *, calm and top <= 0.1 and risky_count = 0 as low, apart and (e >= 0.45 or top >= 0.35 or stealth_hits >= 1) as boosted from m5),
     m7 as (select *, case when low then 0.45e0 when calm then 0.65e0 else 0.6e0 end as we, case when low then 0.55e0 when calm then 0.35e0 else 0.4e0 end as wu, case when low then 0.45e0 else 9e0 end as most from m6)"""
     start = "least(least(we * e + wu * top, most) + case when boosted then least(0.18e0, 0.2e0 * base_mismatch) else 0e0 end, case when boosted then 0.99e0 else 9e0 end)"
@@ -306,7 +306,7 @@ def fused(d: Spark, source: str, first: str = FIRST_MODEL, second: str = SECOND_
     back = listed(d, [("url_char_patterns", f"{patterns} and s2 >= 0.75 and s2 < 0.9")])
     none = d.head("base_reasons", 0)
     return f"""{parts(d, source)}, fa as (select *, {features}, {lure_flags(d=d)}, {trust_kind(d, 'host', 'registrable')} as kind,
-      (coalesce({least} = 1, false) or {shown_as_trusted(shown)}) and not is_ip as near, {first} as v1, {second} as v2, {d.unnest(d.text_array(list(models)))} as models from parts),
+      (coalesce({least} = 1, false) or {shown_as_trusted('registrable', shown)}) and not is_ip as near, {first} as v1, {second} as v2, {d.unnest(d.text_array(list(models)))} as models from parts),
     fb as (select *, kind <> 'untrusted' as trusted, tld_suspicious = 1 and keyword_count >= 2 as rule_override, {base} as base_reasons, models <> 'v2' and (has_ip_host = 1 or tld_suspicious = 1 or num_at > 0 or has_http_in_path = 1) as hard,
       case when models = 'v2' then v2 else v1 end as s1, case when models = 'v1' then v1 else v2 end as s2 from fa),
     fc as (select *, near and not trusted as typo, {weight} as w1 from fb), fd as (select *, w1 * s1 + (1e0 - w1) * s2 as blend, models <> 'v1' and s2 >= 0.985 and (hard or not trusted) as forced from fc),

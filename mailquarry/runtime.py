@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,13 +31,44 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_SCOPES: list[list[str]] = []
+
+
+def place(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; the open scopes drop what is written there."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in _SCOPES:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession, keep: bool = False) -> Iterator[None]:
+    """Scope at whose end the intermediate tables made in it are dropped, also on failure.
+
+    With ``keep`` they stay unless it fails: a result that is yet to run reads them.
+    """
+    made: list[str] = []
+    _SCOPES.append(made)
+    drop = True
+    try:
+        yield
+        drop = not keep
+    finally:
+        _SCOPES.remove(made)
+        for path in made if drop else ():
+            there = spark._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def durable(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
-    Cuts the lineage; the copy survives the loss of executors.
+    Cuts the lineage; the copy survives the loss of executors, and lasts to the
+    end of the ``scratch`` scope around it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = place(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

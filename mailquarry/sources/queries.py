@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..plans.catalogue import query
-from ..runtime import shared_dir
+from ..runtime import place
 from . import readers, sinks
 
 
 def _place(spark) -> str:
-    return f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    return place(spark, "files")
 
 
 @query("source_csv_round_trip", "select case_id, subject, body, scenario from joint_eval_cases")
@@ -26,10 +24,12 @@ def source_csv_round_trip(spark, d):
 
 @query("source_json_reports", "select url, phish_id from url_corpus where url is not null and phish_id is not null")
 def source_json_reports(spark, d):
-    """Reports written as JSON and read again."""
+    """Reports written as files of one JSON array each, and read again."""
     path = _place(spark)
-    spark.read.parquet(f"{d}/url_corpus.parquet").select("url", "phish_id").write.json(path)
-    return spark.read.schema("url string, phish_id int").json(path).where("url is not null and phish_id is not null")
+    rows = spark.read.parquet(f"{d}/url_corpus.parquet").select("url", "phish_id", F.pmod(F.monotonically_increasing_id(), F.lit(16)).alias("file"))
+    # a report is one array, so that a file of it is one row here
+    rows.groupBy("file").agg(F.to_json(F.collect_list(F.struct("url", "phish_id"))).alias("value")).write.partitionBy("file").text(path)
+    return readers.read_reports(spark, f"{path}/*/*")
 
 
 @query("source_rank_list", "select lower(case when lower(trim(domain_name)) like 'www.%' then substr(trim(domain_name), 5) else trim(domain_name) end) as domain, min(rank_pos) as rank from domain_ranks where domain_name is not null group by 1")
@@ -40,7 +40,10 @@ def source_rank_list(spark, d):
     return readers.read_rank_list(spark, path)
 
 
-@query("source_mail_messages")
+_ONE_LINE = "trim(regexp_replace(coalesce({0}, ''), '[\\s\\p{{Z}}\\x{{85}}\\x0b\\x1c-\\x1f\\x00]+', ' ', 'g'))"
+
+
+@query("source_mail_messages", f"select record_id, {_ONE_LINE.format('subject')} as subject, {_ONE_LINE.format('body')} as body, {_ONE_LINE.format('sender')} as sender from emails where body is not null")
 def source_mail_messages(spark, d):
     """Records written as RFC-822 messages and parsed again."""
     rows = spark.read.parquet(f"{d}/emails.parquet").where("body is not null")

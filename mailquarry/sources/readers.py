@@ -9,6 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.relational import global_row_number
+from ..runtime import broadcast_if_small, durable
+
+#: Bytes of members that a batch of an archive holds before it is passed on.
+MEMBER_BYTES = 4_000_000
 RECORD = "subject string, body string, sender string, sender_domain string, urls string, label int, source string"
 
 
@@ -37,12 +42,18 @@ def read_case_file(spark: SparkSession, path: str) -> DataFrame:
     cell = lambda c: F.expr(f"nullif(trim(`{c}`), '')")
     out = {name: F.coalesce(*[cell(c) for c in names if c in df.columns], F.lit("")) for name, names in ALIASES.items()}
     rows = df.withColumn("_at", F.monotonically_increasing_id()).select("_at", *[c.alias(k) for k, c in out.items()])
-    numbered = rows.withColumn("_n", F.row_number().over(Window.orderBy("_at")) - 1)  # files of cases are small
-    return numbered.withColumn("case_id", F.when(F.col("case_id") == "", F.concat(F.lit("row-"), F.col("_n").cast("string"))).otherwise(F.col("case_id"))).drop("_at", "_n")
+    numbered = global_row_number(rows, ["_at"], "_n")
+    return numbered.withColumn("case_id", F.when(F.col("case_id") == "", F.concat(F.lit("row-"), (F.col("_n") - 1).cast("string"))).otherwise(F.col("case_id"))).drop("_at", "_n")
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of reports (url, phish_id); entries without a text URL or a whole id drop out."""
+    """JSON arrays of reports (url, phish_id), one a file; entries without a text URL or a whole id drop out.
+
+    Raises ValueError if a file holds no array.
+    """
+    whole = spark.read.text(path, wholetext=True)
+    if not whole.where(~F.regexp_replace(F.substring("value", 1, 1000), r"^[\s\uFEFF]+", "").startswith("[")).isEmpty():
+        raise ValueError(f"no JSON array: {path}")
     df = spark.read.schema("url string, phish_id string").json(path, multiLine=True)
     return df.select("url", F.expr("try_cast(phish_id as int)").alias("phish_id")).where("url is not null and phish_id is not null")
 
@@ -53,9 +64,9 @@ def clean_domain(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(x, r"/.*$", ""), r"^www\.", "")
 
 
-def read_rank_list(spark: SparkSession, path: str) -> DataFrame:
+def read_rank_list(spark: SparkSession, path: str, top_n: int | None = None) -> DataFrame:
     """(domain, rank) of a rank list without header; the domain column is the one of
-    which most of ten sampled cells hold a dot, later columns first; the first of repeated domains holds."""
+    which most of ten sampled cells hold a dot, later columns first; the first of repeated domains holds.  ``top_n``: only domains of that rank at most."""
     df = spark.read.csv(path)
     sample = df.limit(10).agg(*[F.avg(F.coalesce(F.col(c).contains("."), F.lit(False)).cast("int")).alias(c) for c in df.columns]).first()
     names = df.columns
@@ -64,6 +75,8 @@ def read_rank_list(spark: SparkSession, path: str) -> DataFrame:
     rank = F.expr(f"try_cast(`{other}` as int)") if other else F.monotonically_increasing_id()
     rows = df.select(clean_domain(F.col(names[at])).alias("domain"), rank.cast("bigint").alias("rank"))
     good = rows.where(F.col("domain").contains(".") & ~F.col("domain").contains(" ") & (F.length("domain") <= 253) & F.col("rank").isNotNull())
+    if top_n is not None:
+        good = good.where(F.col("rank") <= top_n)
     return good.groupBy("domain").agg(F.min("rank").alias("rank"))
 
 
@@ -90,13 +103,16 @@ def parse_message(raw: str | bytes | None) -> tuple[str, str, str]:
 
     if not raw:
         return "", "", ""
-    message = email.message_from_bytes(raw) if isinstance(raw, bytes) else email.message_from_string(raw)
+    # a text goes through its bytes, or letters outside Latin-1 would come out as escapes
+    message = email.message_from_bytes(raw if isinstance(raw, bytes) else raw.encode("utf-8", "surrogatepass"))
 
     def header(name: str) -> str:
+        found = next((str(v) for k, v in message.raw_items() if k.lower() == name.lower()), "")
+        text = decode_payload(found.encode("utf-8", "surrogateescape"), None)
         try:
-            return str(make_header(decode_header(message.get(name, "") or "")))
+            return str(make_header(decode_header(text)))
         except Exception:
-            return str(message.get(name, "") or "")
+            return text
 
     plain, rich = [], []
     for part in message.walk():
@@ -137,20 +153,26 @@ def read_archives(spark: SparkSession, folder: str, pattern: str = "*.tar.bz2")
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
     hashed = files.select("path", F.sha2("content", 256).alias("h"))
-    first = hashed.groupBy("h").agg(F.min("path").alias("path"))
-    kept = files.join(F.broadcast(first.select("path")), "path").withColumn("label", archive_label(F.col("path"))).where("label is not null")
+    first = durable(hashed.groupBy("h").agg(F.min("path").alias("path")).select("path"), "archives")
+    kept = files.join(broadcast_if_small(first), "path").withColumn("label", archive_label(F.col("path"))).where("label is not null")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import io
         import tarfile
 
+        names = ["archive", "member", "label", "subject", "body", "sender"]
         for pdf in frames:
             for path, content, label in zip(pdf["path"], pdf["content"], pdf["label"]):
+                rows, size = [], 0
                 with tarfile.open(fileobj=io.BytesIO(content)) as tar:
                     for member in tar:
                         if member.isfile() and not member.name.endswith("cmds"):
-                            parsed = parse_message(tar.extractfile(member).read())
-                            yield pd.DataFrame([(path, member.name, int(label), *parsed)], columns=["archive", "member", "label", "subject", "body", "sender"])
+                            rows.append((path, member.name, int(label), *parse_message(tar.extractfile(member).read())))
+                            size += member.size
+                            if size > MEMBER_BYTES:
+                                yield pd.DataFrame(rows, columns=names)
+                                rows, size = [], 0
+                yield pd.DataFrame(rows, columns=names)
 
     return kept.select("path", "content", "label").mapInPandas(run, "archive string, member string, label int, subject string, body string, sender string")
 

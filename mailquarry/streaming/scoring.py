@@ -5,15 +5,13 @@ The plans hold no state, so one statement serves tables and streams.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dialect import ORACLE, SPARK
 from ..operators.urls import url_basic_scores
 from ..plans.catalogue import query
-from ..runtime import shared_dir
+from ..runtime import place
 
 
 def score_url_stream(urls: DataFrame) -> DataFrame:
@@ -34,19 +32,14 @@ def late_window_counts(events: DataFrame, delay: str = "3 days", width: str = "7
     )
 
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there and read its output back."""
-    spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    if mode == "append":
-        q = stream.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").option("path", f"{base}/out").outputMode("append").trigger(availableNow=True).start()
-        q.awaitTermination()
-        return spark.read.schema(stream.schema).parquet(f"{base}/out")
-
-    def keep(df: DataFrame, epoch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{base}/out")  # complete mode: the last result holds all
+def run_available(stream: DataFrame) -> DataFrame:
+    """Run a stream over all that is there and read its output back.
 
-    q = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{base}/state").outputMode("complete").trigger(availableNow=True).start()
+    Append mode: a window comes out once the watermark has passed it, and its state is dropped.
+    """
+    spark = stream.sparkSession
+    base = place(spark, "stream")
+    q = stream.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").option("path", f"{base}/out").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
@@ -62,7 +55,6 @@ def read_stream(spark: SparkSession, path: str) -> DataFrame:
     return reader.option("pathGlobFilter", name).parquet(folder)
 
 
-
 _SAME = url_basic_scores(ORACLE).replace("{url_corpus}", "url_corpus")
 
 
@@ -72,7 +64,9 @@ def stream_url_scores(spark, d):
     return run_available(score_url_stream(read_stream(spark, f"{d}/url_corpus.parquet")))
 
 
-@query("stream_window_counts", """select time_bucket(interval '7 days', received_at, timestamp '1970-01-01') as window_start, coalesce(source, 'none') as source, count(*) as n from emails where received_at is not null group by 1, 2""")
+@query("stream_window_counts", """with t as (select time_bucket(interval '7 days', received_at, timestamp '1970-01-01') as window_start, coalesce(source, 'none') as source from emails where received_at is not null)
+  select window_start, source, count(*) as n from t where window_start + interval '7 days' <= (select max(received_at) - interval '3 days' from emails) group by 1, 2""")
 def stream_window_counts(spark, d):
-    """Windowed counts by a stream in complete mode, which drops no late row."""
-    return run_available(late_window_counts(read_stream(spark, f"{d}/emails.parquet")), "complete")
+    """Counts of the windows that the watermark has closed: those that end three days or
+    more before the newest message."""
+    return run_available(late_window_counts(read_stream(spark, f"{d}/emails.parquet")))

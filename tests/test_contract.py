@@ -40,9 +40,20 @@ def test_query(spark, duck, tables, name):
         assert got == Counter(tuple(value(row[k]) for k in at) for row in said.fetchall())
 
 
-@pytest.mark.parametrize("name", ["ml_url_calibrated", "ml_source_leakage", "ml_embedding_head"])
-def test_model_query(spark, tables, name):
-    assert catalogue.queries()[name](spark, tables).count() > 0
+#: Accuracy that a model has at least on the smallest tables (the share of the larger class is under 0.6).
+FLOORS = {"ml_url_ngrams": 0.75, "ml_url_trees": 0.75, "ml_url_calibrated": 0.75, "ml_joint_meta": 0.85, "ml_embedding_head": 0.3}
+
+
+@pytest.mark.parametrize("name", sorted(FLOORS))
+def test_models_reach_their_floor(spark, tables, name):
+    assert all(r["accuracy"] >= FLOORS[name] and r["n"] > 0 for r in catalogue.queries()[name](spark, tables).collect())
+
+
+def test_leakage_of_all_features(spark, tables):
+    from mailquarry.ml.models import NUMERIC
+
+    rows = catalogue.queries()["ml_source_leakage"](spark, tables).collect()
+    assert [r["feature"] for r in rows] == NUMERIC and all(0 < r["accuracy"] <= 1 for r in rows)
 
 
 def test_entry_point(spark):

@@ -1,6 +1,8 @@
 import io
 import tarfile
 
+import pytest
+
 from mailquarry.sources import readers, sinks
 
 
@@ -56,3 +58,37 @@ def test_sinks(spark, tmp_path):
     assert back["v"] == "[1,2]" and back["t"] == 'a "b"\nc'
     sinks.export_batch(df, str(tmp_path / "e"))
     assert '"0.1235"' in "".join(p.read_text() for p in (tmp_path / "e").glob("*.csv")).replace("0.1234", "0.1235")
+
+
+def test_reports_must_be_arrays(spark, tmp_path):
+    (tmp_path / "p.json").write_text(' {"url": "http://a.test", "phish_id": 3}')
+    with pytest.raises(ValueError):
+        readers.read_reports(spark, str(tmp_path / "p.json"))
+
+
+def test_bad_bytes_and_long_fields(spark, tmp_path):
+    long = "x" * 400_000
+    (tmp_path / "b.csv").write_bytes(b"case_id,body\n1,caf\xe9\n2,\"" + long.encode() + b"\"\n3,\n")
+    rows = {r["case_id"]: r["body"] for r in readers.read_csv(spark, str(tmp_path / "b.csv"), "case_id string, body string", ("case_id",)).collect()}
+    assert rows["1"].startswith("caf") and rows["2"] == long and len(rows) == 3
+    with pytest.raises(ValueError):
+        readers.read_csv(spark, str(tmp_path / "b.csv"), "case_id string, body string", ("subject",))
+
+
+def test_unicode_messages():
+    assert readers.parse_message("Subject: Čapkov €5\nFrom: Ł <a@b.test>\n\nČau €829") == ("Čapkov €5", "Čau €829", "Ł <a@b.test>")
+
+
+def test_rank_list_top(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("1,a.test\n2,b.test\n3,c.test\n")
+    assert {r["domain"] for r in readers.read_rank_list(spark, str(tmp_path / "r.csv"), 2).collect()} == {"a.test", "b.test"}
+
+
+def test_sender_domains(spark):
+    from mailquarry.operators.texts import sender_domain_strict, unescape_html
+
+    cases = {"Ann <a@B.test.>": "b.test", "a@b.test": "b.test", '"x@y" <a@c.test>': "c.test", "none": "", None: ""}
+    df = spark.createDataFrame([(k, s) for k, s in enumerate(cases)], "k int, sender string")
+    assert {r["sender"]: r["domain"] for r in sender_domain_strict(df, "sender").collect()} == cases
+    html = spark.createDataFrame([("<p>a&nbsp;&eacute;&#8364;</p>\n<b>c</b>",), (None,)], "t string")
+    assert [r["plain"] for r in unescape_html(html, "t").collect()] == ["a é€ c", None]
