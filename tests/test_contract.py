@@ -40,13 +40,14 @@ def test_query(spark, duck, tables, name):
         assert got == Counter(tuple(value(row[k]) for k in at) for row in said.fetchall())
 
 
-#: Accuracy that a model has at least on the smallest tables (the share of the larger class is under 0.6).
-FLOORS = {"ml_url_ngrams": 0.75, "ml_url_trees": 0.75, "ml_url_calibrated": 0.75, "ml_joint_meta": 0.85, "ml_embedding_head": 0.3}
+#: Accuracy that a model has at least at sf0.01 (the smallest tables hold too few URLs to fit trees to).
+FLOORS = {"ml_url_ngrams": 0.9, "ml_url_trees": 0.9, "ml_url_calibrated": 0.9, "ml_joint_meta": 0.9, "ml_embedding_head": 0.4}
 
 
 @pytest.mark.parametrize("name", sorted(FLOORS))
 def test_models_reach_their_floor(spark, tables, name):
-    assert all(r["accuracy"] >= FLOORS[name] and r["n"] > 0 for r in catalogue.queries()[name](spark, tables).collect())
+    larger = tables.replace("sf0.001", "sf0.01")
+    assert all(r["accuracy"] >= FLOORS[name] and r["n"] > 0 for r in catalogue.queries()[name](spark, larger).collect())
 
 
 def test_leakage_of_all_features(spark, tables):
