@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import broadcast_if_small, durable
+from . import words
 
 WORD = r"([\p{L}\p{N}]+)"
 #: Frequencies of at most this many words go to every task; those of rarer words are joined.
@@ -60,16 +61,10 @@ def _batch_words(batch: pa.RecordBatch, texts: list[str]):
     """
     cols = [pc.fill_null(batch.column(c).cast(pa.string()), "") for c in texts]
     text = pc.binary_join_element_wise(*cols, " ") if len(cols) > 1 else cols[0]
-    if pc.any(pc.match_substring_regex(text, "[\u0130\u03a3]")).as_py():  # letters with special lower-casing
-        text = pa.array([x.lower() for x in text.to_pylist()], pa.string())
-    lists = pc.split_pattern_regex(pc.utf8_lower(text), r"[^\p{L}\p{N}]+")
-    doc = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
-    coded = lists.flatten().dictionary_encode()
-    code, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
-    hashes = pd.util.hash_array(np.array(words.to_pylist(), dtype=object), categorize=False) if len(words) else np.empty(0, np.uint64)
-    empty = pc.index(words, "").as_py()
-    keep = code != empty
-    return doc[keep], code[keep].astype(np.int64), hashes
+    doc, code, distinct = words.pieces(text)
+    *where, known = words.words_of(distinct, r"[^\p{L}\p{N}]+")
+    at, word = words.spread(code, *where)
+    return doc[at], word, words.word_hash(known)
 
 
 def _distinct(doc: np.ndarray, rank: np.ndarray, size: int):
@@ -146,22 +141,22 @@ class _Ordered:
     def __init__(self, batch: pa.RecordBatch, texts: list[str], t: float, min_words: int, hashes: np.ndarray, freqs: np.ndarray) -> None:
         ids = batch.column("id").to_numpy(zero_copy_only=False)
         flags = batch.column("flags").to_numpy(zero_copy_only=False).astype(np.int64)
-        doc, code, words = _batch_words(batch, texts)
-        signed = words.view(np.int64)
-        of = np.ones(len(words), np.int64)  # every word that is not counted stands in one document
+        doc, code, hashed = _batch_words(batch, texts)
+        signed = hashed.view(np.int64)
+        of = np.ones(len(hashed), np.int64)  # every word that is not counted stands in one document
         counts = [(hashes, freqs)]
         if "own" in batch.schema.names:
             own = batch.column("own").flatten()
             h, at = np.unique(own.field("h").to_numpy(zero_copy_only=False), return_index=True)
             counts.append((h, own.field("c").to_numpy(zero_copy_only=False)[at]))
         for h, c in counts:
-            if len(h) and len(words):
+            if len(h) and len(hashed):
                 at = np.minimum(np.searchsorted(h, signed), len(h) - 1)
                 of = np.where(h[at] == signed, c[at], of)
         order = np.lexsort((signed, of))
         back = np.empty_like(order)
         back[order] = np.arange(len(order))
-        doc, rank = _distinct(doc, back[code], len(words))
+        doc, rank = _distinct(doc, back[code], len(hashed))
         n = np.bincount(doc, minlength=len(ids))
         enough = n >= max(1, min_words)
         keep = enough[doc]
@@ -172,7 +167,7 @@ class _Ordered:
         n = self.n
         self.start = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64) if len(n) else np.empty(0, np.int64)
         self.pos = np.arange(len(self.flat)) - np.repeat(self.start, n)
-        bits = _mix(words)
+        bits = _mix(hashed)
         self.sig = []
         for part in range(SIG):
             one = np.where((bits >> np.uint64(6)) % np.uint64(SIG) == part, np.uint64(1) << (bits & np.uint64(63)), np.uint64(0))
@@ -340,10 +335,10 @@ def _unranked(texts: list[str], hashes: np.ndarray):
 
     def run(batches):
         for b in batches:
-            doc, code, words = _batch_words(b, texts)
-            signed = words.view(np.int64)
+            doc, code, hashed = _batch_words(b, texts)
+            signed = hashed.view(np.int64)
             rest = ~np.isin(signed, hashes)[code] if len(hashes) else np.ones(len(code), bool)
-            doc, code = _distinct(doc[rest], code[rest], len(words))
+            doc, code = _distinct(doc[rest], code[rest], len(hashed))
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(doc)), pa.array(signed[code])], names=["id", "h"])
 
     return run

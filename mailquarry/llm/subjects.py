@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import broadcast_if_small, durable
+from . import words as words_
 
 ROUNDS = 5
 #: Labels of at most this many documents are used, those with the smallest hashes.
@@ -45,10 +46,8 @@ SENTENCE = 1.0
 #: Words that a heading has at most.
 HEADING = 10
 
-#: Ends of sentences and runs of letters, in the syntax of Arrow.
-_BLANK = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]"
-_ENDS = rf"([.!?:]){_BLANK}+"
-_NO_LETTERS = r"[^\p{L}\p{Nl}\p{No}]+"
+#: What parts words, in the syntax of Arrow.
+_BETWEEN = r"[^\p{L}\p{Nl}\p{No}]+"
 WORDS = re.compile(r"[^\W\d_]{2,}")
 
 # Seed words of the lexicon, by area and language.
@@ -66,8 +65,8 @@ SEEDS = {
 }
 
 
-def word_hash(words: list[str]) -> np.ndarray:
-    return pd.util.hash_array(np.array(words, dtype=object), categorize=False).view(np.int64) if len(words) else np.empty(0, np.int64)
+def word_hash(words: pa.Array | list[str]) -> np.ndarray:
+    return words_.word_hash(words).view(np.int64)
 
 
 def seed_words(areas: dict[str, str]) -> dict[str, list[int]]:
@@ -126,17 +125,20 @@ def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hold the word), and ``head`` (whether the first sentence is short)."""
     for b in batches:
         n = b.num_rows
-        text = pc.replace_substring_regex(pc.fill_null(b.column("text"), ""), _ENDS, "\\1\n")
-        sentences = pc.split_pattern_regex(text, r"\n+")
-        doc_of = np.repeat(np.arange(n), sentences.value_lengths().to_numpy(zero_copy_only=False))
-        parts = pc.split_pattern_regex(pc.utf8_lower(sentences.flatten()), _NO_LETTERS)
-        sent = np.repeat(np.arange(len(parts)), parts.value_lengths().to_numpy(zero_copy_only=False))
-        coded = parts.flatten().dictionary_encode()
-        code, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
-        keep = (pc.utf8_length(words).to_numpy(zero_copy_only=False) >= 2)[code]
-        sent, code = sent[keep], code[keep]
+        lines = pc.split_pattern(pc.fill_null(b.column("text"), ""), "\n")
+        doc_of_line = np.repeat(np.arange(n), lines.value_lengths().to_numpy(zero_copy_only=False))
+        line, piece, distinct = words_.pieces(lines.flatten())
+        # a sentence ends with its line, or with a mark before a blank
+        ends = pc.match_substring_regex(distinct, "[.!?:]$").to_numpy(zero_copy_only=False)[piece] if len(distinct) else np.empty(0, bool)
+        begins = np.ones(len(line), bool)
+        begins[1:] = (line[1:] != line[:-1]) | ends[:-1]
+        of = np.cumsum(begins) - 1
+        doc_of = doc_of_line[line[begins]]
+        *where, words = words_.words_of(distinct, _BETWEEN, 2)
+        at, code = words_.spread(piece, *where)
+        sent = of[at]
         size = max(1, len(words))
-        said = np.bincount(sent, minlength=len(parts))
+        said = np.bincount(sent, minlength=len(doc_of))
         key = np.unique(sent * size + code)
         sent, code = key // size, key % size
         doc = doc_of[sent]
@@ -148,7 +150,7 @@ def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = per_doc > 0
         head[some] = said[full[first[some]]] <= HEADING
         in_doc = np.bincount(doc, minlength=n)
-        new = [_pack(lens.astype(np.int32), per_doc), _pack(word_hash(words.to_pylist())[code], in_doc), _pack(times[at].astype(np.int32), in_doc), pa.array(head)]
+        new = [_pack(lens.astype(np.int32), per_doc), _pack(word_hash(words)[code], in_doc), _pack(times[at].astype(np.int32), in_doc), pa.array(head)]
         names = [c for c in b.schema.names if c != "text"]
         yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], *new], names=[*names, "lens", "words", "places", "head"])
 
