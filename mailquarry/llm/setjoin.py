@@ -69,9 +69,7 @@ def _batch_words(batch: pa.RecordBatch, texts: list[str]):
 
 def _distinct(doc: np.ndarray, rank: np.ndarray, size: int):
     """(document, rank) without repeats, sorted."""
-    key = np.sort(doc * size + rank)
-    if len(key):
-        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+    key = words.distinct(doc * size + rank)
     return key // max(size, 1), key % max(size, 1)
 
 
@@ -194,7 +192,7 @@ def _replicas(texts: list[str], t: float, min_words: int, hashes: np.ndarray, fr
         one = np.nonzero(keep & ~hot)[0]
         d, p = x.doc[one], x.pos[one]
         packed = (x.n[d] << 32) | (np.minimum(p, (1 << 24) - 1) << 8) | (x.flags[d] << 4) | (2 << 1) | (p < x.index[d])
-        marked = np.unique(x.doc[hot])
+        marked = words.distinct(x.doc[hot])
         ids = x.ids[marked]
         key = np.concatenate([x.flat[one], _mix(ids.view(np.uint64)).view(np.int64)])
         d = np.concatenate([d, marked])

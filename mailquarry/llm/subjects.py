@@ -139,7 +139,7 @@ def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent = of[at]
         size = max(1, len(words))
         said = np.bincount(sent, minlength=len(doc_of))
-        key = np.unique(sent * size + code)
+        key = words_.distinct(sent * size + code)
         sent, code = key // size, key % size
         doc = doc_of[sent]
         _, at, times = np.unique(doc * size + code, return_inverse=True, return_counts=True)

@@ -46,6 +46,12 @@ def spread(code: np.ndarray, start: np.ndarray, count: np.ndarray, ids: np.ndarr
     return at, ids[start[code][at] + within]
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """Keys without repeats, ascending, by a sort (numpy's own way goes through a hash table and is slower)."""
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
 def word_hash(words: pa.Array | list[str]) -> np.ndarray:
     """Hashes of words, the same in every process."""
     values = words if isinstance(words, list) else words.to_pylist()
