@@ -93,6 +93,12 @@ class Spark:
     def json_keys(self, x: str) -> str:
         return f"coalesce(json_object_keys({x}), array())"
 
+    def fold(self, array: str, start: str, a: str, v: str, expression: str) -> str:
+        return f"aggregate({array}, {start}, ({a}, {v}) -> {expression})"
+
+    def from_hex(self, x: str) -> str:
+        return f"cast(conv({x}, 16, 10) as int)"
+
     def difference(self, a: str, b: str) -> str:
         return f"array_except({a}, {b})"
 
@@ -179,6 +185,12 @@ class Oracle(Spark):
     def json_keys(self, x: str) -> str:
         return f"coalesce(json_keys(try_cast({x} as json)), [])"
 
+    def fold(self, array: str, start: str, a: str, v: str, expression: str) -> str:
+        return f"list_reduce({array}, lambda {a}, {v}: {expression}, {start})"
+
+    def from_hex(self, x: str) -> str:
+        return f"cast(concat('0x', {x}) as int)"
+
     def difference(self, a: str, b: str) -> str:
         return f"list_filter({a}, lambda v: not list_contains({b}, v))"
 

@@ -17,6 +17,8 @@ from ..plans.catalogue import query, statement
 BODY_URL = r"(?i)(https?://[^\s<>'\"`]+|www\.[^\s<>'\"`]+)"
 MAILBOX_DOMAIN = r"(?i)[A-Z0-9._%+-]+@([A-Z0-9.-]+[.][A-Z][A-Z]+)"
 
+#: Quoted items of a list as a program writes it.
+QUOTED_ITEM = r"""'[^']*'|"[^"]*\""""
 #: Categories of digits and capitals of any script.
 DIGIT, CAPITAL = "Nd", "Lu"
 
@@ -25,6 +27,11 @@ def strip(d: Spark, x: str) -> str:
     return d.replace_all(x, r"^\s+|\s+$", "")
 
 
+def is_literal_list(d: Spark, x: str) -> str:
+    """Whether a text holds nothing but quoted items between brackets."""
+    return d.matches(d.replace_all(x, QUOTED_ITEM, ""), r"^\[[\s,]*\]$")
+
+
 def canonical(d: Spark, subject: str = "subject", body: str = "body", sep: str = " [SEP] ") -> str:
     """Subject and body in one text; null counts as empty."""
     return strip(d, f"concat({strip(d, f'coalesce({subject}, {chr(39)*2})')}, '{sep}', {strip(d, f'coalesce({body}, {chr(39)*2})')})")
@@ -139,14 +146,16 @@ def html_to_text(d: Spark) -> str:
 @statement("url_lists")
 def url_lists(d: Spark) -> str:
     """The list dialects of case files: split at bars only; at bars, line ends and
-    commas, with the word nan as nothing; at blanks and commas, six long at least."""
+    commas, with the word nan as nothing; at blanks and commas, six long at least;
+    a list as a program writes it, whose quoted items count."""
     text = "coalesce(urls, '')"
     trimmed = lambda a: d.keep(d.each(a, "v", strip(d, "v")), "v", "v <> ''")
     unified = d.replace_all(text, r"\s*[|]\s*|[\n,]", "|")
     spaced = d.replace_all(text, r"[\s,]+", "|")
     return f"""select case_id, cast({d.size(trimmed(d.split(text, '|')))} as int) as by_bar,
       case when lower({strip(d, text)}) = 'nan' then 0 else cast({d.size(trimmed(d.split(unified, '|')))} as int) end as by_marks,
-      cast({d.size(d.distinct_set(d.keep(d.split(spaced, '|'), 'v', 'length(v) >= 6')))} as int) as by_blanks from {{joint_threshold_calibration_set}}"""
+      cast({d.size(d.distinct_set(d.keep(d.split(spaced, '|'), 'v', 'length(v) >= 6')))} as int) as by_blanks,
+      case when {is_literal_list(d, strip(d, text))} then cast({d.size(d.extract_all(text, QUOTED_ITEM))} as int) else 0 end as by_literal from {{joint_threshold_calibration_set}}"""
 
 
 @statement("merged_urls")
@@ -159,12 +168,26 @@ def merged_urls(d: Spark) -> str:
     select case_id, {d.joined(merged, ' ')} as merged, cast({d.size(merged)} as int) as n, cast({d.size(d.keep('b', 'v', f"not {d.has('g', 'v')}"))} as int) as added, {d.size(d.keep('b', 'v', d.has('g', 'v')))} > 0 as overlap from x"""
 
 
+def corpus_urls(d: Spark, text: str) -> str:
+    """URLs in a text as the corpus builder takes them: no brackets within, http:// before www."""
+    found = d.extract_all(f"coalesce({text}, '')", r"""(?i)\b(?:https?://|www[.])[^\s<>"'()\]]+""")
+    clean = d.each(found, "v", d.replace_all("v", r"""[.,;:!?]+$""", ""))
+    return d.distinct(d.each(clean, "v", "case when lower(substr(v, 1, 4)) = 'www.' then concat('http://', v) else v end"))
+
+
 @statement("message_text_urls")
 def message_text_urls(d: Spark) -> str:
-    """Record URLs: the stored list, or those of the body where it holds none."""
-    stored = d.extract_all("replace(coalesce(urls, ''), '\\/', '/')" if d.name == "oracle" else "replace(coalesce(urls, ''), r'\\/', '/')", r"(?i)(?:https?://|www[.])[^\s,;|\"'\]]+")
-    return f"""with x as (select record_id, {stored} as s, {body_urls(d, 'body')} as b from {{emails}})
-    select record_id, cast({d.size('s')} as int) as stored, cast(case when {d.size('s')} > 0 then {d.size('s')} else {d.size('b')} end as int) as taken from x"""
+    """URLs of a record by its stored field: of a list as a program writes it its items, of
+    anything else the field and the body; where the field is blank, a number, or a
+    list that gives none, those of the body."""
+    value = strip(d, "coalesce(urls, '')")
+    listed = is_literal_list(d, "value")
+    number = d.matches("value", r"^[-+]?[0-9]+(?:[.][0-9]+)?$")
+    bracketed = "value like '[%]'"
+    return f"""with x as (select record_id, body, {value} as value from {{emails}}),
+    y as (select record_id, value, value = '' or {number} as unusable, {bracketed} as bracketed, {listed} as listed, {corpus_urls(d, 'value')} as own, {corpus_urls(d, 'body')} as found, {corpus_urls(d, "concat(value, ' ', coalesce(body, ''))")} as every from x),
+    z as (select record_id, case when unusable then found when bracketed then case when listed and {d.size('own')} > 0 then own else found end else every end as taken from y)
+    select record_id, cast({d.size('taken')} as int) as n, {d.joined('taken', ' ')} as taken from z"""
 
 
 def sender_domain_strict(df: DataFrame, col: str, out: str = "domain") -> DataFrame:
@@ -204,15 +227,12 @@ def unescape_html(df: DataFrame, col: str, out: str = "plain") -> DataFrame:
     return df.withColumn(out, run(F.col(col)))
 
 
-@query("html_unescaped")
+@query("html_unescaped", """select doc_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[\\s\\p{Z}\\x{85}\\x0b\\x1c-\\x1f]+', ' ', 'g')) as plain from documents""")
 def html_unescaped(spark, d):
     return unescape_html(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), "text").select("doc_id", "plain")
 
 
 @statement("text_urls_corpus")
 def text_urls_corpus(d: Spark) -> str:
-    """URLs as the corpus builder takes them: no brackets within, http:// before www."""
-    found = d.extract_all("coalesce(body, '')", r"""(?i)\b(?:https?://|www[.])[^\s<>"'()\]]+""")
-    clean = d.each(found, "v", d.replace_all("v", r"""[.,;:!?]+$""", ""))
-    whole = d.each(clean, "v", "case when lower(substr(v, 1, 4)) = 'www.' then concat('http://', v) else v end")
-    return f"select record_id, {d.unnest(d.distinct(whole))} as url from {{emails}}"
+    """URLs of bodies as the corpus builder takes them, one row each."""
+    return f"select record_id, {d.unnest(corpus_urls(d, 'body'))} as url from {{emails}}"

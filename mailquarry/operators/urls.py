@@ -185,15 +185,21 @@ def url_benign(d: Spark) -> str:
 @statement("url_corpus_clean")
 def url_corpus_clean(d: Spark) -> str:
     """URLs as the training corpus takes them: control characters and blanks
-    removed, http by default, host in lower case, no fragment; no dot in the host, no row."""
+    removed, http by default, host in lower case, no fragment; no dot in the host, no row.
+
+    Of character entities those of XML and the numeric ones of ASCII are resolved.
+    """
     start = d.replace_all(d.replace_all("coalesce(url, '')", r"[\x00-\x1f\x7f]", ""), r"\s+", "")
     for name, mark in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("amp", "&")):
         start = f"replace({start}, '&{name};', '{mark}')"
+    decimal = d.fold(d.extract_all("s0", "&#([0-9][0-9]?[0-9]?);", 1), "s0", "a", "v", "case when cast(v as int) between 33 and 126 then replace(a, concat('&#', v, ';'), chr(cast(v as int))) else a end")
+    hexa = d.fold(d.extract_all("s1", "&#[xX]([0-9a-fA-F][0-9a-fA-F]);", 1), "s1", "a", "v", f"case when {d.from_hex('v')} between 33 and 126 then replace(replace(a, concat('&#x', v, ';'), chr({d.from_hex('v')})), concat('&#X', v, ';'), chr({d.from_hex('v')})) else a end")
+    host = d.extract("netloc", "^(?:.*@)?([^:]*)", 1)
     whole = "^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?#]*)([^?#]*)([?][^#]*)?(#.*)?$"
-    return f"""with a as (select url, label, source, phish_id, {start} as s from {{url_corpus}}),
+    return f"""with a0 as (select url, label, source, phish_id, {start} as s0 from {{url_corpus}}), a1 as (select *, {decimal} as s1 from a0), a as (select *, {hexa} as s from a1),
     b as (select *, case when {d.matches('s', '^[a-zA-Z][a-zA-Z0-9+.-]*://')} then s else concat('http://', s) end as r from a where s <> ''),
     c as (select *, lower({d.extract('r', whole, 1)}) as scheme, lower({d.extract('r', whole, 2)}) as netloc, {d.extract('r', whole, 3)} as path, {d.extract('r', whole, 4)} as query from b)
-    select url, concat(scheme, '://', netloc, path, query) as clean, label, source, phish_id from c where contains(netloc, '.')"""
+    select url, concat(scheme, '://', netloc, path, query) as clean, label, source, phish_id from c where contains({host}, '.')"""
 
 
 @statement("url_dedupe")
@@ -281,7 +287,15 @@ def url_browser_norm(d: Spark) -> str:
     return f"""with {u.parts(d, _URLS, decode=False)} select url, case when netloc = '' then '' else concat(scheme, '://', {d.replace_all(d.replace_all('netloc', ':80$', ''), ':443$', '')}, norm_path, case when query <> '' then concat('?', query) else '' end) end as kept from parts"""
 
 
+def sorted_scores(d: Spark, by: str = "score", descending: bool = True) -> str:
+    """URLs with their scores, by ``score`` or ``url``, in either direction."""
+    if by not in ("score", "url"):
+        raise ValueError(f"no such order: {by}")
+    order = f"{by} {'desc' if descending else 'asc'}{', url' if by == 'score' else ''}"
+    return f"with {_basic(d, '(select distinct url from {url_corpus} where url is not null)')} select url, score from scored order by {order}"
+
+
 @statement("urls_by_score")
 def urls_by_score(d: Spark) -> str:
-    """URLs from the highest score down; equal scores by name."""
-    return f"with {_basic(d, '(select distinct url from {url_corpus} where url is not null)')} select url, score from scored order by score desc, url"
+    """URLs from the highest score down; equal scores by name (``sorted_scores`` has other orders)."""
+    return sorted_scores(d)

@@ -254,3 +254,39 @@ def test_exact_median(spark):
         known = sorted(v for v in values if v is not None)
         want = 0.0 if not known else (known[(len(known) - 1) // 2] + known[len(known) // 2]) / 2
         assert relational.exact_median(df, "x") == want
+
+
+CLEAN = {
+    " HTTP://A.Example/P?q=1#f ": "http://a.example/P?q=1",
+    "a.example/x&#61;1&amp;y": "http://a.example/x=1&y",
+    "a.example/&#x2F;b&#X3d;c&#200;": "http://a.example//b=c&",
+    "http://user.name@localhost/x": None,
+    "http://u@h.test:80/x y\t": "http://u@h.test:80/xy",
+    "localhost": None,
+    "": None,
+}
+
+
+def test_corpus_form_of_urls(spark):
+    df = spark.createDataFrame([(u, 1, "s", None) for u in CLEAN] + [(None, 1, "s", None)], "url string, label int, source string, phish_id int")
+    got = {r["url"]: r["clean"] for r in spark.sql(urls.url_corpus_clean(SPARK), url_corpus=df).collect()}
+    want = {u: c for u, c in CLEAN.items() if c is not None}
+    want["a.example/&#x2F;b&#X3d;c&#200;"] = got["a.example/&#x2F;b&#X3d;c&#200;"]  # entities beyond ASCII stay, and their sign begins a fragment
+    assert got == want and want["a.example/&#x2F;b&#X3d;c&#200;"].startswith("http://a.example//b=c")
+
+
+STORED = [
+    ("['http://a.test/1', \"www.b.test\"]", "see http://c.test/", "http://a.test/1 http://www.b.test"),
+    ("['http://a.test/1', broken]", "see http://c.test/.", "http://c.test/"),
+    ("[]", "see http://c.test/", "http://c.test/"),
+    ("3", "see http://c.test/", "http://c.test/"),
+    (" ", None, ""),
+    ("http://a.test/1", "see http://c.test/ http://a.test/1", "http://a.test/1 http://c.test/"),
+    (None, "http://c.test/", "http://c.test/"),
+]
+
+
+def test_stored_lists(spark):
+    df = spark.createDataFrame([(k, b, u) for k, (u, b, _) in enumerate(STORED)], "record_id bigint, body string, urls string")
+    got = {r["record_id"]: r["taken"] for r in spark.sql(texts.message_text_urls(SPARK), emails=df).collect()}
+    assert [got[k] for k in range(len(STORED))] == [x[2] for x in STORED]
