@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..plans.catalogue import query
+from ..functions.dialect import ORACLE, SPARK
+from ..operators.requests import export_rows
+from ..plans.catalogue import query, run_sql
 from ..runtime import place
 from . import readers, sinks
 
@@ -22,6 +24,15 @@ def source_csv_round_trip(spark, d):
     return readers.read_csv(spark, path, rows.schema, ("case_id", "body"))
 
 
+@query("source_export_round_trip", export_rows(ORACLE).replace("{joint_eval_cases}", "joint_eval_cases"))
+def source_export_round_trip(spark, d):
+    """A batch export of eight columns, every cell quoted, read again."""
+    rows = run_sql(spark, d, export_rows(SPARK))
+    path = _place(spark)
+    sinks.export_batch(rows.withColumn("score", F.col("score").cast("double")), path)
+    return readers.read_csv(spark, path, rows.schema, ("case_id", "score"))
+
+
 @query("source_json_reports", "select url, phish_id from url_corpus where url is not null and phish_id is not null")
 def source_json_reports(spark, d):
     """Reports written as files of one JSON array each, and read again."""

@@ -92,3 +92,20 @@ def test_sender_domains(spark):
     assert {r["sender"]: r["domain"] for r in sender_domain_strict(df, "sender").collect()} == cases
     html = spark.createDataFrame([("<p>a&nbsp;&eacute;&#8364;</p>\n<b>c</b>",), (None,)], "t string")
     assert [r["plain"] for r in unescape_html(html, "t").collect()] == ["a é€ c", None]
+
+
+def test_model_bundle(spark, tmp_path):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+
+    df = spark.createDataFrame([(1.0, 2.0), (3.0, 5.0)], "a double, b double")
+    model = Pipeline(stages=[VectorAssembler(inputCols=["a", "b"], outputCol="v"), StandardScaler(inputCol="v", outputCol="s")]).fit(df)
+    sinks.save_model(model, str(tmp_path / "m"))
+    assert sinks.load_model(str(tmp_path / "m")).transform(df).collect() == model.transform(df).collect()
+
+
+def test_files_hold_the_columns_asked_for(spark, tmp_path):
+    df = spark.createDataFrame([("a", 0.5, 'x "q", y')], "case_id string, score double, t string")
+    sinks.export_batch(df, str(tmp_path / "e"))
+    back = readers.read_csv(spark, str(tmp_path / "e"), "case_id string, score string, t string", ("case_id",)).first()
+    assert tuple(back) == ("a", "0.5000", 'x "q", y')
