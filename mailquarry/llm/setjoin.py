@@ -24,7 +24,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -272,26 +271,29 @@ def _region_pairs(t: float, bipartite: bool):
         pos = (packed >> 8) & 0xFFFFFF
         flags, side, index = (packed >> 4) & 15, (packed >> 1) & 3, packed & 1
         sigs = [s.view(np.uint64) for s in sigs]  # bit counts of signed values are those of their magnitude
+        rest = n - pos  # words from the pivot on
+        blocks = bool((side != 2).any())
         out_a, out_b = [], []
         i = np.nonzero((key[:-1] == key[1:]) & (index[:-1] == 1))[0]
         step = 1
         while len(i):
+            if i[-1] + step >= len(key):
+                i = i[i + step < len(key)]
             j = i + step
-            ok = j < len(key)
-            i, j = i[ok], j[ok]
-            ok = (key[i] == key[j]) & (n[j] * t <= n[i] + 1e-6)
-            i, j = i[ok], j[ok]  # sorted by size: what leaves the window stays out
+            a, b = n[i], n[j]
+            ok = (key[i] == key[j]) & (b * t <= a + 1e-6)
+            i, j, a, b = i[ok], j[ok], a[ok], b[ok]  # sorted by size: what leaves the window stays out
             if not len(i):
                 break
-            a, b = n[i], n[j]
             need = np.ceil(t / (1 + t) * (a + b) - 1e-9)
-            ok = 1 + np.minimum(a - pos[i], b - pos[j]) - 1 >= need
-            ok &= (side[i] == 2) | (side[i] != side[j])
+            ok = np.minimum(rest[i], rest[j]) >= need
+            if blocks:
+                ok &= (side[i] == 2) | (side[i] != side[j])
             if bipartite:
                 ok &= (((flags[i] & 1) & (flags[j] >> 1)) | ((flags[i] >> 1) & (flags[j] & 1))) != 0
             k = np.nonzero(ok)[0]
             x, y = i[k], j[k]
-            room = n[x] + n[y] - 2 * need[k]
+            room = a[k] + b[k] - 2 * need[k]
             for s in sigs:  # far pairs drop out early
                 room = room - np.bitwise_count(s[x] ^ s[y])
                 near = room >= 0
@@ -302,8 +304,11 @@ def _region_pairs(t: float, bipartite: bool):
             step += 1
         if not out_a:
             return None
-        ab = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], names=["a", "b"])
+        a, b = np.concatenate(out_a), np.concatenate(out_b)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
 
     def run(batches):
         names = ["key", "id", "packed", *_SIGS]
