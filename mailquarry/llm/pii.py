@@ -30,7 +30,7 @@ ACCEPT = 0.5
 #: Lexicons of at most LEXICON entries go to every task as a whole; of larger ones each text gets its own entries.
 LEXICON = 200_000
 #: Nodes of the graph with more than HOT edges are split over SALTS parts where they are joined.
-HOT, SALTS = 100_000, 64
+HOT, SALTS = 100_000, 16
 KINDS = ("email", "phone", "id_number", "address", "name")
 
 _U = "[A-ZÀ-ÖØ-ÞĀĄĆČĎĐĒĘĚĞĢĪİĶŁĽŃŇŌŐŒŘŚŞŠŤŪŮŰŹŻŽА-ЯЁ]"
@@ -439,8 +439,10 @@ def _with_own(rows: DataFrame, lexicons: Lexicons | DataFrame) -> DataFrame:
         for pdf in frames:
             yield pd.DataFrame([(n, c) for n, text in zip(pdf["row_no"], pdf["text"]) for c in candidates(text)], columns=["row_no", "entry"])
 
-    wanted = keyed.select("row_no", "text").mapInPandas(run, "row_no bigint, entry string")
-    own = wanted.join(lexicons, "entry").groupBy("row_no").agg(F.collect_list(F.concat_ws("\t", "kind", "entry")).alias("own"))
+    # a name may stand in a third of all texts: those are split over the salts
+    wanted = keyed.select("row_no", "text").mapInPandas(run, "row_no bigint, entry string").withColumn("salt", F.pmod("row_no", F.lit(SALTS)).cast("int"))
+    salted = lexicons.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = wanted.join(salted, ["entry", "salt"]).groupBy("row_no").agg(F.collect_list(F.concat_ws("\t", "kind", "entry")).alias("own"))
     return keyed.join(own, "row_no", "left").drop("row_no")
 
 

@@ -39,6 +39,8 @@ LEAST = 3
 VOCABULARY = 200_000
 #: Parts into which the texts that hold one word are split where the lexicon is joined.
 SALTS = 16
+#: Domains and sources up to SMALL go to every task; of more only those with 1/HOT_KEYS of the documents.
+SMALL, HOT_KEYS = 500_000, 10_000
 SHRINK = 3.0
 SEED_WEIGHT = 12.0
 #: Weight that a sentence needs to be of an area.
@@ -347,7 +349,23 @@ def _combinations(b: pa.RecordBatch, base: np.ndarray) -> tuple[np.ndarray, np.n
     return code, votes
 
 
-def subject_posteriors(docs: DataFrame, areas: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_labelled: int = MAX_LABELLED, vocabulary: int = VOCABULARY) -> DataFrame:
+def _with_sizes(rows: DataFrame, sizes: DataFrame, f: str, total: int, small: int) -> DataFrame:
+    """``rows`` with the counts ``n_f`` and ``s_f`` of their domain or source.
+
+    More than ``small`` keys are joined by a shuffle, but keys of 1/``HOT_KEYS`` of the
+    documents or more (at most HOT_KEYS) go to every task, and rows without a key are spread.
+    """
+    if sizes.count() <= small:
+        return rows.join(F.broadcast(sizes), f, "left")
+    n, s = f"n_{f}", f"s_{f}"
+    hot = sizes.where(F.col(n) * HOT_KEYS >= total).select(f, F.col(n).alias("_n"), F.col(s).alias("_s"))
+    spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64("doc_id"), F.lit(4096)).cast("string"))
+    keyed = rows.join(F.broadcast(hot), f, "left").withColumn("_key", F.when(F.col(f).isNull() | F.col("_n").isNotNull(), spread).otherwise(F.col(f)))
+    found = keyed.join(sizes.withColumnRenamed(f, "_key"), "_key", "left")
+    return found.withColumns({n: F.coalesce(n, "_n"), s: F.coalesce(s, "_s")}).drop("_key", "_n", "_s")
+
+
+def subject_posteriors(docs: DataFrame, areas: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_labelled: int = MAX_LABELLED, vocabulary: int = VOCABULARY, small: int = SMALL) -> DataFrame:
     """(doc_id, subject_area, votes, posterior) of every area that some labelling function names.
 
     Null, empty and blank texts and rows without a doc_id give no row; labels of
@@ -388,7 +406,7 @@ def subject_posteriors(docs: DataFrame, areas: DataFrame, labels: DataFrame, rou
     rows = cast.drop(*areas_of)
     for f in (ADDRESS, ORIGIN):
         sizes = durable(cast.where(F.col(f).isNotNull()).groupBy(f).agg(F.count(F.lit(1)).alias(f"n_{f}"), F.array(*strong).alias(f"s_{f}")), f)
-        rows = rows.join(broadcast_if_small(sizes), f, "left")
+        rows = _with_sizes(rows, sizes, f, total, small)
     rows = rows.select("doc_id", "labels", "votes", HEAD, *[f"{x}_{f}" for f in (ADDRESS, ORIGIN) for x in "ns"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

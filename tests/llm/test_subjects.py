@@ -51,6 +51,14 @@ def test_a_lexicon_beyond_the_bound_gives_the_same(spark):
     assert want and [r[:3] for r in got] == [r[:3] for r in want] and all(abs(a[3] - b[3]) < 1e-9 for a, b in zip(got, want))
 
 
+def test_many_domains_are_joined_with_the_same_result(spark, monkeypatch):
+    docs, areas, labels = _corpus(spark, 60)
+    docs = docs.withColumn("sender_domain", F.when(F.col("doc_id") % 5 > 0, F.concat(F.lit("d"), (F.col("doc_id") % 7).cast("string")))).withColumn("source", F.lit("one"))
+    monkeypatch.setattr(subjects, "HOT_KEYS", 4)
+    want, got = (sorted(map(tuple, subjects.subject_posteriors(docs, areas, labels, rounds=1, small=n).collect())) for n in (subjects.SMALL, 0))
+    assert want and [r[:3] for r in got] == [r[:3] for r in want] and all(abs(a[3] - b[3]) < 1e-9 for a, b in zip(got, want))
+
+
 def test_tokens(spark):
     docs = spark.createDataFrame([(1, "One two. Two THREE: four!\n\nx two Ünïcode_5"), (2, "  .\n"), (3, None)], "doc_id bigint, text string")
     rows = {r["row_no"]: r for r in _tokens(docs).collect()}
