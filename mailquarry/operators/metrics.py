@@ -101,8 +101,9 @@ def threshold_sweep(d: Spark) -> str:
 @statement("threshold_picks")
 def threshold_picks(d: Spark) -> str:
     """Best accuracy (tie: F1), best F1 (tie: balanced accuracy), the middle of both,
-    and the best mean of three; last tie: the smaller threshold."""
-    orders = {"accuracy": "accuracy desc, f1 desc", "f1": "f1 desc, balanced_accuracy desc", "tradeoff": "0.5 * accuracy + 0.5 * f1 desc", "dev": "round((accuracy + balanced_accuracy + f1) / 3, 9) desc"}
+    the best mean of three, and for few misses or few false alarms the highest recall or
+    precision (ties: F1, then the other of the two); last tie: the smaller threshold."""
+    orders = {"high_recall": "recall_ desc, f1 desc, precision_ desc", "high_precision": "precision_ desc, f1 desc, recall_ desc", "accuracy": "accuracy desc, f1 desc", "f1": "f1 desc, balanced_accuracy desc", "tradeoff": "0.5 * accuracy + 0.5 * f1 desc", "dev": "round((accuracy + balanced_accuracy + f1) / 3, 9) desc"}
     picks = " union all ".join(f"select '{k}' as pick, threshold, accuracy, f1 from (select *, row_number() over (order by {o}, threshold) as n from m) t where n = 1" for k, o in orders.items())
     return f"with {SCORES}, {_sweep(d)}, p as ({picks}) select pick, cast(threshold as double) as threshold, accuracy, f1 from p"
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicons as lx
 from ..functions import url as u
-from ..functions.dialect import SPARK, Spark, any_of, count_of, entropy, hits, one_of
+from ..functions.dialect import SPARK, Spark, count_of, entropy, hits, one_of
 from ..plans.catalogue import query, run_sql, statement
 
 _URLS = "(select url, label, source, phish_id from {url_corpus})"
@@ -216,6 +216,22 @@ def url_sample(d: Spark) -> str:
     return f"select url, label from (select distinct url, label from {{url_corpus}} where url is not null) t order by {h}, label limit 200"
 
 
+def lookalikes(d: Spark, hosts: str) -> str:
+    least, name = u.closest_trusted(d, "registrable")
+    alike = u.shown_as_trusted("registrable")
+    shown = f"translate(registrable, '{''.join(lx.CONFUSABLES)}', '{''.join(lx.CONFUSABLES.values())}')"
+    return f"""with {u.parts(d, hosts, decode=False)}, h as (select distinct raw_host, registrable, is_ip, {u.trust_kind(d, 'raw_host', 'registrable')} as kind from parts), c as (select *, {least} as edits, {name} as near, {alike} as alike, {shown} as shown from h)
+    select raw_host as host, registrable, case when alike then shown else near end as closest_trusted, case when alike then null else cast(edits as int) end as distance, case when alike then 'confusable_skeleton' else 'levenshtein' end as match_type
+      from c where kind = 'untrusted' and not is_ip and (alike or edits <= 1)"""
+
+
+@statement("url_lookalikes")
+def url_lookalikes(d: Spark) -> str:
+    """Hosts that come within one edit of a trusted domain, or look like one: the closest and how they match."""
+    hosts = "(select distinct url from (select url from {url_corpus} union all select domain_name as url from {domain_ranks} union all select sender_domain as url from {emails}) t where url is not null)"
+    return lookalikes(d, hosts)
+
+
 _MAP = str.maketrans(lx.CONFUSABLES)
 
 

@@ -55,7 +55,7 @@ def scratch(spark: SparkSession, keep: bool = False) -> Iterator[None]:
         yield
         drop = not keep
     finally:
-        _SCOPES.remove(made)
+        _SCOPES[:] = [x for x in _SCOPES if x is not made]  # equal lists are not the same scope
         for path in made if drop else ():
             there = spark._jvm.org.apache.hadoop.fs.Path(path)
             there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)

@@ -290,3 +290,25 @@ def test_stored_lists(spark):
     df = spark.createDataFrame([(k, b, u) for k, (u, b, _) in enumerate(STORED)], "record_id bigint, body string, urls string")
     got = {r["record_id"]: r["taken"] for r in spark.sql(texts.message_text_urls(SPARK), emails=df).collect()}
     assert [got[k] for k in range(len(STORED))] == [x[2] for x in STORED]
+
+
+def test_lookalikes(spark):
+    hosts = ["http://paypa1.com/x", "https://sub.gooogle.com", "www.paypal.com", "аpple.com", "http://127.0.0.1/", "plain.example", "gthub.com", "gthb.com", None]
+    df = spark.createDataFrame([(h,) for h in hosts], "url string")
+    got = {r["host"]: (r["closest_trusted"], r["distance"], r["match_type"]) for r in spark.sql(urls.lookalikes(SPARK, "{t}"), t=df).collect()}
+    assert got == {"paypa1.com": ("paypal.com", 1, "levenshtein"), "sub.gooogle.com": ("google.com", 1, "levenshtein"), "gthub.com": ("github.com", 1, "levenshtein"), "аpple.com": ("apple.com", None, "confusable_skeleton")}
+
+
+def test_threshold_picks(spark):
+    rows = [(k, "p", int(k * 13 % 7 < 3)) for k in range(1, 200)]
+    df = spark.createDataFrame(rows, "record_id bigint, source string, label int")
+    data = [(round(0.3 * y + k * 37 % 101 / 151.5, 4), y) for k, _, y in rows]
+    table = []
+    for step in range(1, 20):
+        t = step * 5 / 100
+        tp, fp, fn, tn = (sum((s >= t) == a and y == b for s, y in data) for a, b in ((True, 1), (True, 0), (False, 1), (False, 0)))
+        precision, recall = tp / (tp + fp) if tp + fp else 0, tp / (tp + fn)
+        table.append((t, round((tp + tn) / len(data), 6), round(precision, 6), round(recall, 6), round(2 * tp / (2 * tp + fp + fn), 6)))
+    got = {r["pick"]: r["threshold"] for r in spark.sql(metrics.threshold_picks(SPARK), emails=df).collect()}
+    best = lambda key: min(table, key=lambda m: (*(-x for x in key(m)), m[0]))[0]
+    assert got["high_recall"] == best(lambda m: (m[3], m[4], m[2])) and got["high_precision"] == best(lambda m: (m[2], m[4], m[3])) and got["accuracy"] == best(lambda m: (m[1], m[4]))

@@ -97,3 +97,10 @@ def test_scratch_drops_its_tables(spark, tmp_path):
     with scratch(spark, keep=True):
         kept = durable(spark.range(3))
     assert kept.count() == 3
+    after = set(folder.iterdir())
+    with scratch(spark):
+        with scratch(spark, keep=True):
+            pass
+        durable(spark.range(3))
+        assert set(folder.iterdir()) > after
+    assert set(folder.iterdir()) == after
