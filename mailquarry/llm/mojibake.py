@@ -8,13 +8,20 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import durable
+from . import words
+
 LANGUAGES = ("en", "de", "fr", "es", "pt", "pl", "ru")
-#: Documents of each language whose words make its dictionary: at most this many come to the driver.
-SAMPLE_DOCS = 300
+#: A word of a dictionary is seen once in so many documents at least, and twice in all: a rarer one
+#: may be garbled itself, and in long dictionaries of rare words and names a match takes more bytes.
+FREQUENT = 150
 DICTIONARY_BYTES = 48_000
 #: Bytes that each step of a chain costs beside the compressed text.
 CHAIN_COST = 1.0
@@ -35,7 +42,7 @@ CYRILLIC = "".join(map(chr, range(0x430, 0x450))) + "ёіїєґ"
 PLAUSIBLE = frozenset(MARKS + LATIN + LATIN.upper() + "İ" + CYRILLIC + CYRILLIC.upper() + "ẞŸ")
 #: Letters of each language outside ASCII, with the marks it uses (fixed values).
 ALPHABETS = {"de": "äöüßÄÖÜẞ", "fr": "àâçèéêëîïôùûœæÀÂÇÈÉÊËÎÏÔÙÛŒ", "es": "áéíóúñüÁÉÍÓÚÑÜ", "pt": "áâãàçéêíóôõúÁÂÃÀÇÉÊÍÓÔÕÚ", "pl": "ąćęłńóśźżĄĆĘŁŃÓŚŹŻ", "ru": CYRILLIC + CYRILLIC.upper()}
-#: Seeds of the dictionaries, used also where no sample exists (fixed values).
+#: Seeds of the dictionaries, used also where no document exists (fixed values).
 SEEDS = {
     "en": "café résumé naïve façade déjà vu El Niño the of and to in is with for from that are was",
     "de": "für über müssen können möchte später natürlich Größe Grüße geprüft wäre während zurück Lösung Büro jährlich gemütlich plötzlich vorläufig nächstens ändern klärte und der die das nicht ist",
@@ -45,6 +52,7 @@ SEEDS = {
     "pl": "będzie już także później właśnie zupełnie według również ktoś dziś wysłał trafiła kosztować proszę być dość często około można żeby ważna dzień państwa są i w na z do się",
     "ru": "Сегодня завтра когда почти снова для наша номер сумму дело по словам отправит сведения коллеги обсудили проверена придёт спрашивает стоит будет начнётся вопросов про тему быстро уже ещё Ещё её Её неё моё своё всё Всё и в на не что из",
 }
+LETTERS = re.compile(r"[^\W\d_]+")
 FIELD_WORD = re.compile(r"[^\W\d_]*[^\x00-\x7f](?:[^\x00-\x7f]|[A-Za-z])*")
 
 
@@ -211,24 +219,46 @@ class Restorer:
         return FIELD_WORD.sub(lambda m: fixed.get(m[0], m[0]), text), chains
 
 
-def language_dictionaries(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """Raw zstd dictionaries: the words of a bounded sample of each language,
-    frequent ones last (nearest), words outside the language's alphabet left out."""
+def _good_words(counts: Counter, lang: str) -> dict[str, int]:
+    """The words that lie within the language's alphabet."""
+    letters = frozenset(ALPHABETS.get(lang, ""))
+    good = {w: n for w, n in counts.items() if all(ord(c) < 128 or c in letters for c in w)}
+    if lang == "ru":
+        good = {w: n for w, n in good.items() if _scripts(w) == 1 and not w.isascii()}
+    return good
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function: (lang, text) -> (lang, word, n) of each batch; the empty word stands for its documents."""
+    for b in batches:
+        for lang in LANGUAGES:
+            own = b.filter(pc.equal(b.column("lang"), lang))
+            if not own.num_rows:
+                continue
+            _, code, distinct = words.pieces(own.column("text"))
+            counts: Counter = Counter()
+            for piece, n in zip(distinct.to_pylist(), np.bincount(code, minlength=len(distinct)).tolist()):
+                for w in LETTERS.findall(piece):
+                    counts[w] += n
+            good = {"": own.num_rows} | _good_words(counts, lang)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(good), pa.string()), pa.array(list(good), pa.string()), pa.array(list(good.values()), pa.int64())], names=["lang", "word", "n"])
+
+
+def language_dictionaries(documents: DataFrame, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
+    """Raw zstd dictionaries: the frequent words of each language, counted over all its
+    documents, the most frequent ones last (nearest), as far as ``size`` bytes hold
+    them; words outside the language's alphabet left out."""
     lang = F.lower(F.substring(F.trim("lang"), 1, 2))
-    rows = documents.where(lang.isin(*LANGUAGES) & F.col("text").isNotNull()).select(lang.alias("lang"), "text", F.xxhash64("doc_id").alias("h"))
-    picked = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= sample_docs).select("lang", "text").collect()
-    counts: dict[str, Counter] = {k: Counter() for k in LANGUAGES}
-    for row in picked:
-        letters = frozenset(ALPHABETS.get(row["lang"], ""))
-        words = re.findall(r"[^\W\d_]+", row["text"])
-        good = [w for w in words if all(ord(c) < 128 or c in letters for c in w)]
-        if row["lang"] == "ru":
-            good = [w for w in good if _scripts(w) == 1 and not w.isascii()]
-        counts[row["lang"]].update(good)
+    rows = documents.where(lang.isin(*LANGUAGES) & F.col("text").isNotNull()).select(lang.alias("lang"), "text")
+    counts = durable(rows.mapInArrow(_word_counts, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")), "word_counts")
+    least = F.lit(2.0)
+    for row in counts.where("word = ''").collect():
+        least = F.when(F.col("lang") == row["lang"], max(2.0, row["n"] / FREQUENT)).otherwise(least)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    picked = counts.where((F.col("word") != "") & (F.col("n") >= least)).withColumn("r", rank).where(F.col("r") <= size // 2).collect()  # a word takes two bytes or more
     out = {}
     for k in LANGUAGES:
-        # a word seen once may be garbled itself
-        kept = [w for w, n in counts[k].most_common() if n > 1][: size // 8]
+        kept = [row["word"] for row in sorted((x for x in picked if x["lang"] == k), key=lambda x: x["r"])]
         content, room = [], size
         for w in [*SEEDS[k].split(), *kept]:
             room -= len(w.encode()) + 1

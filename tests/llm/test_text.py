@@ -57,6 +57,21 @@ def test_garbled_fields(spark):
     assert mojibake.garbled_fields(spark.createDataFrame([], MAIL), docs.limit(0)).count() == 0
 
 
+def test_dictionaries_count_all_documents(spark):
+    often, rare = ([f"{x}{''.join('abcdefghij'[int(c)] for c in f'{k:03}')}größe" for k in range(200)] for x in "xy")
+    # of 1,600 documents, 11 or 12 hold each of the first words, 2 each of the others
+    rows = [(k, f"Hier {often[k % 144]}, und 7 {rare[k % 200] if k < 400 else 'Wört'}.", "DE ") for k in range(1600)]
+    rows += [(k, "für Привет", "ru") for k in (1900, 1901)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    made = mojibake.language_dictionaries(docs)
+    de = made["de"].decode().split()
+    assert set(de) & {*often, *rare} == set(often[:144])
+    assert de.index("Wört") > max(de.index(w) for w in often[:144])  # frequent ones last
+    assert "Привет" in made["ru"].decode().split() and "für" not in made["ru"].decode().split()
+    small = mojibake.language_dictionaries(docs, size=600)["de"]
+    assert len(small) <= 602 and "Hier" in small.decode().split()
+
+
 BODY = """Hi Ann,
 
 Please send the report.
