@@ -6,10 +6,19 @@ rest.  Vocabularies are bounded by a parameter; the queries run with its default
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+from multiprocessing.pool import ThreadPool
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, ElementwiseProduct, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import DenseVector
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,6 +87,64 @@ def word_ngrams(col: str, vocabulary: int = 80_000, min_df: int = 2, max_df: flo
     )
 
 
+def _term_counts(splits: int):
+    """mapInArrow function: (words, inside) -> for each word and pair of a batch the times (tf)
+    and the texts (df) it has within each split; bit k of ``inside`` says that a text is in split k."""
+
+    def run(batches):
+        for b in batches:
+            lists, inside = b.column("words"), b.column("inside").to_numpy(zero_copy_only=False)
+            doc = np.repeat(np.arange(len(lists)), pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False))
+            coded = lists.flatten().dictionary_encode()
+            code, known = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+            size = max(len(known), 1)
+            first = np.nonzero(doc[:-1] == doc[1:])[0]
+            keys, at = np.unique(np.concatenate([code, (code[first] + 1) * size + code[first + 1]]), return_inverse=True)
+            each, times = np.unique(np.concatenate([doc, doc[first]]) * max(len(keys), 1) + at, return_counts=True)
+            doc, term = each // max(len(keys), 1), each % max(len(keys), 1)
+            one, two = keys[keys < size], keys[keys >= size] - size
+            pairs = pc.binary_join_element_wise(known.take(pa.array(two // size)), known.take(pa.array(two % size)), " ")
+            counts = []
+            for k in range(splits):
+                own = (inside[doc] >> k) & 1 == 1
+                counts += [np.bincount(term[own], times[own], len(keys)).astype(np.int64), np.bincount(term[own], minlength=len(keys))]
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([known.take(pa.array(one)), pairs]), *map(pa.array, counts)], names=["term", *(f"{c}{k}" for k in range(splits) for c in ("tf", "df"))])
+
+    return run
+
+
+def word_vectors(rows: DataFrame, splits: list[Column], vocabulary: int = 80_000, min_df: int = 2, max_df: float = 0.98) -> tuple[DataFrame, list[Pipeline]]:
+    """TF-IDF as ``word_ngrams`` gives it, fitted to each of several training parts of ``rows`` at once.
+
+    ``rows`` (durable) have their ``words``.  Returns them with the presence of every term that
+    stands in one of the vocabularies (durable, ``words`` left out), and for each split the stages
+    that weigh it.  A term outside a split's vocabulary weighs nothing there.  Terms are counted in
+    one pass; of equally frequent ones the alphabetically first enter a vocabulary.
+    """
+    bits = sum((F.when(inside, 1 << k).otherwise(0) for k, inside in enumerate(splits)), F.lit(0))
+    sizes = rows.agg(*[F.count_if(inside).alias(str(k)) for k, inside in enumerate(splits)]).first()
+    names = [f"{c}{k}" for k in range(len(splits)) for c in ("tf", "df")]
+    counted = rows.select("words", bits.cast("int").alias("inside")).mapInArrow(_term_counts(len(splits)), "term string, " + ", ".join(f"{c} bigint" for c in names))
+    often = F.greatest(*[F.col(f"df{k}") for k in range(len(splits))], F.lit(0)) >= min_df
+    counts = durable(counted.groupBy("term").agg(*[F.sum(c).alias(c) for c in names]).where(often), "term_counts")
+    terms: dict[str, int] = {}
+    found = []
+    for k in range(len(splits)):
+        mine = counts.where((F.col(f"df{k}") >= min_df) & (F.col(f"df{k}") <= max_df * sizes[k])).orderBy(F.desc(f"tf{k}"), "term").limit(vocabulary)
+        table = mine.select("term", f"df{k}").toArrow()
+        at = np.array([terms.setdefault(t, len(terms)) for t in table["term"].to_pylist()], np.int64)
+        found.append((at, np.log((sizes[k] + 1) / (table[f"df{k}"].to_numpy() + 1))))
+    stages = []
+    for at, idf in found:
+        weights = np.zeros(len(terms))
+        weights[at] = idf
+        stages.append(Pipeline(stages=[ElementwiseProduct(scalingVec=DenseVector(weights), inputCol="present", outputCol="_tfidf"), Normalizer(inputCol="_tfidf", outputCol="text_vector")]))
+    listed = rows.sparkSession._jvm.org.apache.commons.lang3.StringUtils.split("\n".join(terms), "\n")  # one call, not one a term
+    present = CountVectorizerModel._create_from_java_class("org.apache.spark.ml.feature.CountVectorizerModel", listed).setInputCol("_terms").setOutputCol("present").setBinary(True)
+    paired = NGram(n=2, inputCol="words", outputCol="_pairs").transform(rows).withColumn("_terms", F.concat("words", "_pairs"))
+    return durable(present.transform(paired).drop("words", "_pairs", "_terms"), "word_vectors"), stages
+
+
 def _urls(spark, d) -> DataFrame:
     df = spark.read.parquet(f"{d}/url_corpus.parquet").where("url is not null and label in (0, 1)")
     best = df.groupBy("url").agg(F.max("label").alias("label"))
@@ -96,9 +163,35 @@ def _emails(spark, d) -> DataFrame:
         df = df.join(run_sql(spark, d, plan(SPARK)), "record_id")
     for c in NUMERIC:
         df = df.withColumn(c, F.col(c).cast("double"))
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df = durable(df.repartition(tasks, "record_id"), "email_rows")
     return with_class_weight(df).withColumn("part", part_of(F.col("record_id")))
 
 
+#: Models that are fitted side by side: a round of a fit is a short job, so one fit alone leaves cores idle.
+FITS = 4
+
+
+def _side_by_side(spark, fits: list[Callable[[], DataFrame]]) -> DataFrame:
+    """The rows of several fits, in their order."""
+    with ThreadPool(FITS) as pool:
+        first, *rest = pool.map(inheritable_thread_target(spark)(lambda fit: fit()), fits, chunksize=1)
+    for found in rest:
+        first = first.unionByName(found)
+    return first
+
+
+def _email_words(spark, d) -> DataFrame:
+    """Messages with their words instead of their text."""
+    words = RegexTokenizer(inputCol="text", outputCol="words", pattern=r"(?U)\b\w\w+\b", gaps=False)
+    return durable(words.transform(_emails(spark, d)).drop("text"), "email_words")
+
+
+def _inside(held: str | None) -> Column:
+    """Training part of the random split, or of the one that holds out a source."""
+    return F.col("part") == "train" if held is None else F.col("source") != held
+
+
 def _logistic(features: str = "features", iterations: int = 30) -> LogisticRegression:
     return LogisticRegression(featuresCol=features, weightCol="weight", maxIter=iterations, regParam=1e-3)
 
@@ -167,15 +260,15 @@ def ml_url_calibrated(spark, d):
 @query("ml_email_words")
 def ml_email_words(spark, d):
     """Words and pairs, with the random split and each source held out."""
-    rows = _emails(spark, d)
-    out = None
-    for held in (None, "nazario", "spamassassin", "enron"):
-        train = rows.where("part = 'train'") if held is None else rows.where(F.col("source") != held)
-        test = rows.where("part = 'test'") if held is None else rows.where(F.col("source") == held)
-        model = Pipeline(stages=[word_ngrams("text"), _logistic("text_vector", 20)]).fit(train)
-        found = metrics(model.transform(test).withColumn("score", positive()), held or "random")
-        out = found if out is None else out.unionByName(found)
-    return out
+    splits = (None, "nazario", "spamassassin", "enron")
+    rows, texts = word_vectors(_email_words(spark, d).drop(*NUMERIC), [_inside(held) for held in splits])
+
+    def fitted(held: str | None, text: Pipeline) -> DataFrame:
+        vectors = text.fit(rows).transform(rows)
+        model = _logistic("text_vector", 20).fit(vectors.where(_inside(held)))
+        return metrics(model.transform(vectors.where(~_inside(held))).withColumn("score", positive()), held or "random")
+
+    return _side_by_side(spark, [partial(fitted, held, text) for held, text in zip(splits, texts)])
 
 
 def _fused(columns: list[str]) -> list:
