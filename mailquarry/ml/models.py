@@ -356,30 +356,36 @@ def ml_joint_meta(spark, d):
     return metrics(model.transform(rows.where("part = 'test'")).withColumn("score", positive()), "meta")
 
 
+def _with_hashed(rows: DataFrame) -> DataFrame:
+    return HashingTF(inputCol="words", outputCol="_hashed", numFeatures=1 << 14, binary=True).transform(rows)
+
+
 @query("ml_variant_grid")
 def ml_variant_grid(spark, d):
     """Variants by splits: text vectors that are fixed or fitted to the training part,
     alone or with the numeric features, on the random split and each source held
     out.  A split whose training or test part lacks a class is skipped, with no metrics."""
-    rows = _emails(spark, d)
-    out = None
-    for held in (None, "enron", "nazario", "spamassassin"):
-        inside = F.col("part") == "train" if held is None else F.col("source") != held
-        classes = rows.groupBy(inside.alias("inside")).agg(F.countDistinct("label").alias("n")).collect()
-        valid = len(classes) == 2 and all(r["n"] == 2 for r in classes)
-        words = RegexTokenizer(inputCol="text", outputCol="_words", pattern=r"(?U)\b\w\w+\b", gaps=False)
-        for name, text in (("frozen", Pipeline(stages=[words, HashingTF(inputCol="_words", outputCol="_hashed", numFeatures=1 << 14, binary=True), Normalizer(inputCol="_hashed", outputCol="text_vector")])), ("fitted", word_ngrams("text"))):
-            vectors = text.fit(rows.where(inside)).transform(rows) if valid else None
-            for fused in (False, True):
-                variant = f"{name}{'+numeric' if fused else ''}"
-                if valid:
-                    stages = [*_fused(NUMERIC), _logistic("features", 15)] if fused else [_logistic("text_vector", 15)]
-                    model = Pipeline(stages=stages).fit(vectors.where(inside))
-                    found = metrics(model.transform(vectors.where(~inside)).withColumn("score", positive()), variant, by=F.lit(held or "random")).withColumn("status", F.lit("ok"))
-                else:
-                    found = spark.createDataFrame([(variant, held or "random", 0, None, None, None, None, "skipped")], "model string, part string, n bigint, accuracy double, precision_ double, recall_ double, f1 double, status string")
-                out = found if out is None else out.unionByName(found)
-    return out
+    splits = (None, "enron", "nazario", "spamassassin")
+    rows, texts = word_vectors(_with_hashed(_email_words(spark, d)), [_inside(held) for held in splits])
+    labels = rows.groupBy("part", "source", "label").count().drop("count").toPandas()
+    frozen = Pipeline(stages=[Normalizer(inputCol="_hashed", outputCol="text_vector")])
+
+    def fitted(held: str | None, variant: str, text: Pipeline, fused: bool) -> DataFrame:
+        vectors = text.fit(rows).transform(rows)
+        stages = [*_fused(NUMERIC), _logistic("features", 15)] if fused else [_logistic("text_vector", 15)]
+        model = Pipeline(stages=stages).fit(vectors.where(_inside(held)))
+        return metrics(model.transform(vectors.where(~_inside(held))).withColumn("score", positive()), variant, by=F.lit(held or "random")).withColumn("status", F.lit("ok"))
+
+    def skipped(held: str | None, variant: str, *_) -> DataFrame:
+        return spark.createDataFrame([(variant, held or "random", 0, None, None, None, None, "skipped")], "model string, part string, n bigint, accuracy double, precision_ double, recall_ double, f1 double, status string")
+
+    fits = []
+    for held, own in zip(splits, texts):
+        inside = labels["part"] == "train" if held is None else labels["source"] != held
+        valid = labels["label"][inside].nunique() == 2 and labels["label"][~inside].nunique() == 2
+        for name, text in (("frozen", frozen), ("fitted", own)):
+            fits += [partial(fitted if valid else skipped, held, f"{name}{'+numeric' if fused else ''}", text, fused) for fused in (False, True)]
+    return _side_by_side(spark, fits)
 
 
 @query("ml_repeated_evaluation")
