@@ -13,6 +13,9 @@ are; what is still large is split into blocks, each pair of blocks being joined
 once.  Within a region, triangle-inequality windows
 in the symmetric-difference metric discard pairs: the distance to the empty
 set (sizes), to the pivot's position, and to 256 parity pivots (signatures).
+A pair counts in the region of its first common pivot, where all words before it
+are differences; so the signatures are those of the words after it, and the later
+(that is, the more common) a pivot is, the fewer differences are left for them.
 Survivors are verified on the whole sets, so the result is exact.
 
 Document pivots, as the method has them in low dimension, cannot separate text:
@@ -36,14 +39,16 @@ WORD = r"([\p{L}\p{N}]+)"
 #: Frequencies of at most this many words go to every task; those of rarer words are joined.
 MAX_RANKED = 500_000
 #: A region of more documents than this hands them on to regions of one pivot more.
-MAX_REGION = 60_000
+MAX_REGION = 400_000
 #: Pivots that a region has at most; larger regions are split into blocks.
 DEPTH = 4
-BLOCK = 30_000
+BLOCK = 200_000
 #: Documents whose replicas one task of the region join takes, on average.
 DOCS_A_TASK = 20_000
 #: 64-bit words of a signature.
 SIG = 4
+#: Regions of more documents are compared by tiles of so many rows and columns; smaller ones all at once, by steps.
+DENSE, TILE = 192, (64, 1024)
 
 
 def word_set(*cols: Column) -> Column:
@@ -165,10 +170,13 @@ class _Ordered:
         self.start = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64) if len(n) else np.empty(0, np.int64)
         self.pos = np.arange(len(self.flat)) - np.repeat(self.start, n)
         bits = _mix(hashed)
-        self.sig = []
+        self.sig, self.rest_sig = [], []  # of the whole sets, and of the words after each one
         for part in range(SIG):
             one = np.where((bits >> np.uint64(6)) % np.uint64(SIG) == part, np.uint64(1) << (bits & np.uint64(63)), np.uint64(0))
-            self.sig.append(np.bitwise_xor.reduceat(one[order][rank], self.start).view(np.int64) if len(n) else np.empty(0, np.int64))
+            upto = np.bitwise_xor.accumulate(one[order][rank]).view(np.int64)
+            ends = upto[self.start + n - 1]
+            self.sig.append(ends ^ np.concatenate([[0], ends[:-1]]) if len(n) else ends)
+            self.rest_sig.append(ends[self.doc] ^ upto)
         self.need = np.ceil(t * n - 1e-9).astype(np.int64)
         self.probe = n - self.need + 1
         self.index = n - np.ceil(2 * t / (1 + t) * n - 1e-9).astype(np.int64) + 1
@@ -180,14 +188,26 @@ _REPLICA = "key bigint, id bigint, packed bigint, " + ", ".join(f"{c} bigint" fo
 HOT = -1
 
 
-def _replicas(texts: list[str], t: float, min_words: int, hashes: np.ndarray, freqs: np.ndarray, max_region: int):
+def _window_counts(texts: list[str], t: float, min_words: int, hashes: np.ndarray, freqs: np.ndarray, max_region: int):
+    """mapInArrow function: (h, c) of the frequent words in windows of a batch, with the documents in whose window they are."""
+
+    def run(batches):
+        for b in batches:
+            x = _Ordered(b, texts, t, min_words, hashes, freqs)
+            h, c = np.unique(x.flat[(x.pos < x.probe[x.doc]) & (x.freq > max_region)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c)], names=["h", "c"])
+
+    return run
+
+
+def _replicas(texts: list[str], t: float, min_words: int, hashes: np.ndarray, freqs: np.ndarray, common: np.ndarray):
     """mapInArrow function: documents -> their replicas, one row a region; a row
-    HOT more for each document whose window holds a pivot that may be too common."""
+    HOT more for each document whose window holds a pivot that is too ``common``."""
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = _Ordered(batch, texts, t, min_words, hashes, freqs)
         keep = x.pos < x.probe[x.doc]
-        hot = keep & (x.freq > max_region)
+        hot = keep & np.isin(x.flat, common) if len(common) else np.zeros(len(keep), bool)
         one = np.nonzero(keep & ~hot)[0]
         d, p = x.doc[one], x.pos[one]
         packed = (x.n[d] << 32) | (np.minimum(p, (1 << 24) - 1) << 8) | (x.flags[d] << 4) | (2 << 1) | (p < x.index[d])
@@ -196,7 +216,7 @@ def _replicas(texts: list[str], t: float, min_words: int, hashes: np.ndarray, fr
         key = np.concatenate([x.flat[one], _mix(ids.view(np.uint64)).view(np.int64)])
         d = np.concatenate([d, marked])
         packed = np.concatenate([packed, np.full(len(marked), HOT)])
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(x.ids[d]), pa.array(packed), *[pa.array(v[d]) for v in x.sig]], names=["key", "id", "packed", *_SIGS])
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(x.ids[d]), pa.array(packed), *[pa.array(np.concatenate([v[one], v[x.start[marked]]])) for v in x.rest_sig]], names=["key", "id", "packed", *_SIGS])
 
     def run(batches):
         for b in batches:
@@ -206,18 +226,18 @@ def _replicas(texts: list[str], t: float, min_words: int, hashes: np.ndarray, fr
     return run
 
 
-_WINDOW = "id bigint, flags int, n int, need int, probe int, idx int, w array<bigint>, c array<bigint>, " + ", ".join(f"{c} bigint" for c in _SIGS)
+_WINDOW = "id bigint, flags int, n int, need int, probe int, idx int, w array<bigint>, c array<boolean>, " + ", ".join(f"{c} bigint" for c in _SIGS)
 
 
-def _windows(texts: list[str], t: float, min_words: int, hashes: np.ndarray, freqs: np.ndarray):
-    """mapInArrow function: documents -> the words of their widest window with their frequencies."""
+def _windows(texts: list[str], t: float, min_words: int, hashes: np.ndarray, freqs: np.ndarray, common: np.ndarray):
+    """mapInArrow function: documents -> the words of their widest window, and which of them are too ``common``."""
 
     def run(batches):
         for b in batches:
             x = _Ordered(b, texts, t, min_words, hashes, freqs)
             keep = x.pos < (x.probe + DEPTH - 1)[x.doc]
             ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(x.doc[keep], minlength=len(x.ids)))]).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(ends, pa.array(v[keep])) for v in (x.flat, x.freq)]
+            lists = [pa.ListArray.from_arrays(ends, pa.array(v[keep])) for v in (x.flat, np.isin(x.flat, common))]
             numbers = [pa.array(v.astype(np.int32)) for v in (x.flags, x.n, x.need, x.probe, x.index)]
             yield pa.RecordBatch.from_arrays([pa.array(x.ids), *numbers, *lists, *[pa.array(v) for v in x.sig]], names=["id", "flags", "n", "need", "probe", "idx", "w", "c", *_SIGS])
 
@@ -233,8 +253,8 @@ def _recursive_replicas(windows: DataFrame, max_region: int, block: int) -> Data
     than the region has pivots.
     """
     same = ["id", "flags", "n", "need", "probe", "idx", "w", *_SIGS]
-    first = F.posexplode(F.slice("c", F.lit(1), F.col("probe"))).alias("pos", "freq")
-    rows = windows.select(*same, first).where(F.col("freq") > max_region)
+    first = F.posexplode(F.slice("c", F.lit(1), F.col("probe"))).alias("pos", "hot")
+    rows = windows.select(*same, first).where("hot")
     rows = rows.select(*same, "pos", F.col("w")[F.col("pos")].alias("key"), (F.col("pos") < F.col("idx")).alias("inside"))
     done = None
     for level in range(1, DEPTH + 1):
@@ -259,33 +279,72 @@ def _recursive_replicas(windows: DataFrame, max_region: int, block: int) -> Data
     return blocks.select(key.alias("key"), "id", packed.cast("bigint").alias("packed"), *_SIGS)
 
 
-def _region_pairs(t: float, bipartite: bool):
+def _region_pairs(t: float, bipartite: bool, rest_sigs: bool = True):
     """mapInArrow function over rows sorted by key and size: candidate pairs (a, b);
-    rows HOT come out with their id as a and no b."""
+    rows HOT come out with their id as a and no b.
+
+    With ``rest_sigs`` the signatures are those of the words after the pivot, and
+    the words before it count as differences; else they are those of the whole sets.
+    """
+    share = t / (1 + t)
 
     def marks(ids):
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(len(ids), pa.int64())], names=["a", "b"])
 
-    def pairs(key, ids, packed, *sigs):
-        n = packed >> 32
-        pos = (packed >> 8) & 0xFFFFFF
-        flags, side, index = (packed >> 4) & 15, (packed >> 1) & 3, packed & 1
-        sigs = [s.view(np.uint64) for s in sigs]  # bit counts of signed values are those of their magnitude
-        rest = n - pos  # words from the pivot on
-        blocks = bool((side != 2).any())
-        out_a, out_b = [], []
+    def steps(key, n, most, index):
+        """(i, j) of all pairs within sizes, j after i."""
         i = np.nonzero((key[:-1] == key[1:]) & (index[:-1] == 1))[0]
         step = 1
         while len(i):
             if i[-1] + step >= len(key):
                 i = i[i + step < len(key)]
             j = i + step
-            a, b = n[i], n[j]
-            ok = (key[i] == key[j]) & (b * t <= a + 1e-6)
-            i, j, a, b = i[ok], j[ok], a[ok], b[ok]  # sorted by size: what leaves the window stays out
+            ok = (key[i] == key[j]) & (n[j] <= most[i])  # sorted by size: what leaves the window stays out
+            i = i[ok]
             if not len(i):
                 break
-            need = np.ceil(t / (1 + t) * (a + b) - 1e-9)
+            yield i, j[ok]
+            step += 1
+
+    def tiles(n, most, index, room, bits):
+        """(i, j) of the pairs of one region within sizes that one folded signature leaves, j after i."""
+        kind = np.int8 if np.abs(room).max() <= 60 else np.int16
+        long = n > 15_000  # their room doesn't count, so that 16 bits hold the sum of two
+        up, down = (np.where(long, 16_000, f(room)).astype(kind) for f in (np.ceil, np.floor))
+        high, wide = TILE
+        xor, count, left, near = np.empty(high * wide, np.uint64), np.empty(high * wide, np.uint8), np.empty(high * wide, kind), np.empty(high * wide, bool)
+        rows = np.nonzero(index)[0]
+        rows = rows[np.lexsort((most[rows], np.log(n[rows]) // 0.06))]  # alike in size and reach
+        for at in range(0, len(rows), high):
+            i = rows[at : at + high]
+            first, end = int(i.min()) + 1, int(np.searchsorted(n, most[i].max(), "right"))
+            cols = first + np.nonzero(most[first:end] >= n[i].min())[0]
+            for k in range(0, len(cols), wide):
+                j = cols[k : k + wide]
+                shape, size = (len(i), len(j)), len(i) * len(j)
+                np.bitwise_xor(bits[i][:, None], bits[j][None, :], out=xor[:size].reshape(shape))
+                np.bitwise_count(xor[:size], out=count[:size])
+                np.add(up[i][:, None], down[j][None, :], out=left[:size].reshape(shape))
+                np.less_equal(count[:size].view(np.int8), left[:size], out=near[:size])
+                hit = np.flatnonzero(near[:size])
+                if len(hit):
+                    x, y = i[hit // len(j)], j[hit % len(j)]
+                    ok = (y > x) & (n[y] <= most[x]) & (n[x] <= most[y])
+                    yield x[ok], y[ok]
+
+    def pairs(key, ids, packed, *sigs):
+        n = packed >> 32
+        pos = (packed >> 8) & 0xFFFFFF
+        flags, side, index = (packed >> 4) & 15, (packed >> 1) & 3, packed & 1
+        sigs = [s.view(np.uint64) for s in sigs]  # bit counts of signed values are those of their magnitude
+        rest = n - pos  # words from the pivot on
+        before = pos if rest_sigs else np.zeros_like(pos)
+        most = np.floor(rest / share - n + 1e-6).astype(np.int64)  # size of the largest partner
+        blocks = bool((side != 2).any())
+        out_a, out_b = [], []
+
+        def keep(i, j):
+            need = np.ceil(share * (n[i] + n[j]) - 1e-9)
             ok = np.minimum(rest[i], rest[j]) >= need
             if blocks:
                 ok &= (side[i] == 2) | (side[i] != side[j])
@@ -293,7 +352,7 @@ def _region_pairs(t: float, bipartite: bool):
                 ok &= (((flags[i] & 1) & (flags[j] >> 1)) | ((flags[i] >> 1) & (flags[j] & 1))) != 0
             k = np.nonzero(ok)[0]
             x, y = i[k], j[k]
-            room = a[k] + b[k] - 2 * need[k]
+            room = n[x] + n[y] - 2 * need[k] - before[x] - before[y]
             for s in sigs:  # far pairs drop out early
                 room = room - np.bitwise_count(s[x] ^ s[y])
                 near = room >= 0
@@ -301,7 +360,25 @@ def _region_pairs(t: float, bipartite: bool):
             if len(x):
                 out_a.append(np.minimum(ids[x], ids[y]))
                 out_b.append(np.maximum(ids[x], ids[y]))
-            step += 1
+
+        start = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
+        sizes = np.diff(np.append(start, len(key)))
+        small = np.nonzero(np.repeat(sizes <= DENSE, sizes))[0]
+        for i, j in steps(key[small], n[small], most[small], index[small]):
+            keep(small[i], small[j])
+        folded = np.bitwise_xor.reduce(sigs)
+        room = (1 - 2 * share) * n - before + 1e-6  # of each row's part of the differences
+        for at, size in zip(start[sizes > DENSE], sizes[sizes > DENSE]):
+            of = slice(at, at + size)
+            held, n_held = [], 0
+            for i, j in tiles(n[of], most[of], index[of], room[of], folded[of]):
+                held.append((at + i, at + j))
+                n_held += len(i)
+                if n_held > 100_000:
+                    keep(*map(np.concatenate, zip(*held)))
+                    held, n_held = [], 0
+            if held:
+                keep(*map(np.concatenate, zip(*held)))
         if not out_a:
             return None
         a, b = np.concatenate(out_a), np.concatenate(out_b)
@@ -412,16 +489,21 @@ def similar_sets(
     # a task holds the regions of about DOCS_A_TASK documents, however many there are
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size["docs"] / DOCS_A_TASK))
 
-    def joined(replicas: DataFrame) -> DataFrame:
+    common = np.empty(0, np.int64)
+    if (ranked[1] > max_region).any() or (rest is not None and not rest.where(F.col("c") > max_region).isEmpty()):
+        counts = reps.mapInArrow(_window_counts(texts, threshold, min_words, *ranked, max_region), "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
+        common = np.sort(counts.where(F.col("c") > max_region).select("h").toArrow()["h"].to_numpy().astype(np.int64))
+
+    def joined(replicas: DataFrame, rest_sigs: bool) -> DataFrame:
         regions = replicas.repartition(tasks, "key").sortWithinPartitions("key", "packed")
-        return durable(regions.mapInArrow(_region_pairs(threshold, bipartite), "a bigint, b bigint").distinct(), "candidates")
+        return durable(regions.mapInArrow(_region_pairs(threshold, bipartite, rest_sigs), "a bigint, b bigint").distinct(), "candidates")
 
-    found = joined(reps.mapInArrow(_replicas(texts, threshold, min_words, *ranked, max_region), _REPLICA))
+    found = joined(reps.mapInArrow(_replicas(texts, threshold, min_words, *ranked, common), _REPLICA), True)
     hot = found.where("b is null").select(F.col("a").alias("id"))
     found = found.where("b is not null")
-    if not hot.isEmpty():
-        windows = reps.join(broadcast_if_small(hot), "id", "left_semi").mapInArrow(_windows(texts, threshold, min_words, *ranked), _WINDOW)
-        found = found.unionByName(joined(_recursive_replicas(durable(windows, "windows"), max_region, block))).distinct()
+    if len(common):
+        windows = reps.join(broadcast_if_small(hot), "id", "left_semi").mapInArrow(_windows(texts, threshold, min_words, *ranked, common), _WINDOW)
+        found = found.unionByName(joined(_recursive_replicas(durable(windows, "windows"), max_region, block), False)).distinct()
 
     ids = durable(found.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidate_ids")
     held = durable(base.join(broadcast_if_small(ids), "id", "left_semi").select("id", *texts).mapInArrow(_hashed(texts), "id bigint, h array<bigint>"), "candidate_sets")

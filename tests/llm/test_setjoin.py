@@ -1,7 +1,10 @@
 import random
 import re
+import time
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +122,56 @@ def test_overlap_between_splits(spark):
     assert overlap.overlap_report(emails, table, 0.8, 5).agg(F.sum("pairs")).first()[0] == len(want)
     assert overlap.cross_split_pairs(emails.limit(0), table, 0.8, 5).count() == 0
     assert overlap.cross_split_pairs(emails, table.limit(0), 0.8, 5).count() == 0
+
+
+def _candidates(rows):
+    """Pairs of ``_region_pairs`` over rows (key, id, packed, signatures)."""
+    rows = rows[:, np.lexsort((rows[2], rows[0]))]
+    table = pa.table(dict(zip(["key", "id", "packed", *setjoin._SIGS], rows)))
+    got = setjoin._region_pairs(0.7, False)(iter(table.to_batches(max_chunksize=10_000)))
+    return {(a, b) for x in got for a, b in zip(x.column("a").to_pylist(), x.column("b").to_pylist())}
+
+
+@pytest.mark.parametrize("dense, tile", [(2, (3, 5)), (8, (64, 1024)), (10**9, (64, 1024))])
+def test_tiles_and_steps_lose_no_pair(monkeypatch, dense, tile):
+    monkeypatch.setattr(setjoin, "DENSE", dense)
+    monkeypatch.setattr(setjoin, "TILE", tile)
+    docs = {k: words(s, b) for k, s, b in corpus(300)}
+    docs |= {9000: frozenset(f"l{k}" for k in range(16_000)), 9001: frozenset(f"l{k}" for k in range(20_000)), 9002: frozenset(f"l{k}" for k in range(9_000))}
+    freq = {}
+    for x in docs.values():
+        for w in x:
+            freq[w] = freq.get(w, 0) + 1
+    hashes = setjoin.words.word_hash(sorted(freq)).view(np.int64)
+    order = np.argsort(hashes)
+    batch = pa.record_batch({"id": pa.array(list(docs), pa.int64()), "flags": pa.array([3] * len(docs), pa.int32()), "t0": [" ".join(sorted(x)) for x in docs.values()]})
+    made = setjoin._replicas(["t0"], 0.7, 5, hashes[order], np.array([freq[w] for w in sorted(freq)])[order], np.empty(0, np.int64))(iter([batch]))
+    rows = np.concatenate([np.stack([c.to_numpy() for c in x.columns]) for x in made], axis=1)
+    want = brute([(k, " ".join(x)) for k, x in docs.items()], 0.7, 5)
+    assert (9000, 9001) in want and want <= _candidates(rows)
+
+
+def test_a_large_region_takes_little_time():
+    """40,000 records whose first common word is their 11th to 13th: 800 million pairs in one region."""
+    rnd = np.random.default_rng(1)
+    m = 40_000
+    n, pos, inside = rnd.integers(70, 80, m), rnd.integers(10, 13, m), 1
+    sigs = rnd.integers(0, 2**63, (4, m)) & rnd.integers(0, 2**63, (4, m))
+    sigs[:, 1], n[:2], pos[:2] = sigs[:, 0] ^ 1, 79, 10
+    rows = np.stack([np.full(m, 7), np.arange(m), (n << 32) | (pos << 8) | (3 << 4) | (2 << 1) | inside, *sigs])
+    began = time.process_time()
+    assert _candidates(rows) == {(0, 1)}
+    assert time.process_time() - began < 10
+
+
+def test_regions_are_large_by_their_members(spark, monkeypatch):
+    """A word in many records but in few windows doesn't make a large region."""
+    rows = [(k, None, "c " + " ".join(f"r{k}x{j}" for j in range(20))) for k in range(60)] + [(100, None, "c d e f g"), (101, None, "c d e f g h")]
+    rows += [(200 + k, None, "d e f g h") for k in range(40)]
+
+    def never(*_):
+        raise AssertionError("no region is large")
+
+    monkeypatch.setattr(setjoin, "_recursive_replicas", never)
+    members, pairs = setjoin.similar_sets(spark.createDataFrame(rows, SCHEMA), "record_id", ["body"], 0.7, 5, max_region=20)
+    assert {(r["x"], r["y"]) for r in neardup.expand_pairs(members, pairs).collect()} == brute([(k, b) for k, _, b in rows], 0.7, 5)
